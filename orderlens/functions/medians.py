@@ -13,69 +13,97 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 
-def _bucket(value: Column, width: int) -> Column:
-    """Floor of ``value / width`` on integers, also for negative values."""
-    if width == 1:
-        return value
-    return ((value - F.pmod(value, F.lit(width))) / F.lit(width)).cast("bigint")
+# Most groups whose located buckets may be broadcast: two short rows per group.
+_BROADCAST_GROUPS = 10_000
 
 
 def middle_values(
     df: DataFrame,
     value: str,
     keys: Sequence[str] = (),
-    widths: Sequence[int] = (1_000_000, 1_000, 1),
+    widths: Sequence[int] = (1_000_000, 1),
+    groups_at_most: int | None = None,
 ) -> DataFrame:
     """Lower and upper middle value of an integer column, NULLs ignored.
 
-    Returns ``keys + (lower, upper)``, the exact median being their mean. The
+    Returns ``keys + (lower, upper)``, the exact median being their mean; the
     two are equal for an odd number of rows. Without keys there is always one
     row, holding NULLs for an empty input. ``widths`` descend to 1.
+
+    With a known small number of groups the located buckets are broadcast and
+    only their rows are counted again. Otherwise rows are counted per finer
+    bucket first and the counts joined to the located buckets, so a group with
+    very many equal values is one row per task.
     """
     if widths[-1] != 1:
         raise ValueError("the last bucket width must be 1")
     keys = list(keys)
+    groups = groups_at_most if keys else 1
+    few = groups is not None and groups <= _BROADCAST_GROUPS
     rows = df.select(*keys, F.col(value).cast("bigint").alias("value")).where("value IS NOT NULL")
 
-    wanted: DataFrame | None = None
-    for level, width in enumerate(widths):
-        bucket = _bucket(F.col("value"), width).alias("bucket")
-        if wanted is None:
-            groups = keys
-            counted = rows.groupBy(*groups, bucket).agg(F.count("*").alias("n"))
-        else:
-            outer = _bucket(F.col("value"), widths[level - 1]).alias("outer_bucket")
-            # Without keys there are at most two wanted rows (one per middle rank).
-            located = wanted if keys else F.broadcast(wanted)
-            groups = [*keys, "side", "rank"]
+    located = _locate_ranks(rows.groupBy(*keys, _bucket(widths[0], "bucket")), keys)
+    for outer, inner in zip(widths, widths[1:]):
+        sized = rows.select(*keys, _bucket(outer, "outer"), _bucket(inner, "bucket"))
+        if few:
             counted = (
-                rows.select(*keys, "value", outer)
-                .join(located, [*keys, "outer_bucket"])
-                .groupBy(*groups, bucket)
+                sized.join(F.broadcast(located), [*keys, "outer"])
+                .groupBy(*keys, "side", "rank", "bucket")
                 .agg(F.count("*").alias("n"))
             )
-        per_group = Window.partitionBy(*(groups or [F.lit(0)]))
-        running = per_group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counted.withColumn("through", F.sum("n").over(running))
-        if wanted is None:
-            total = F.sum("n").over(per_group)
-            sides = F.array(
-                F.struct(F.lit("lower").alias("side"), F.expr("(total + 1) div 2").alias("rank")),
-                F.struct(F.lit("upper").alias("side"), F.expr("total div 2 + 1").alias("rank")),
-            )
-            ranked = ranked.withColumn("total", total).select(
-                "*", F.inline(sides).alias("side", "rank")
+        else:
+            counted = (
+                sized.groupBy(*keys, "outer", "bucket")
+                .agg(F.count("*").alias("n"))
+                .join(located, [*keys, "outer"])
             )
-        wanted = ranked.where("rank > through - n AND rank <= through").select(
-            *keys,
-            "side",
-            (F.col("rank") - (F.col("through") - F.col("n"))).alias("rank"),
-            F.col("bucket").alias("outer_bucket"),
-        )
-    return wanted.groupBy(*keys).agg(
-        F.min("outer_bucket").alias("lower"), F.max("outer_bucket").alias("upper")
+        located = _narrow(counted, keys)
+    return located.groupBy(*keys).agg(
+        F.min("outer").alias("lower"), F.max("outer").alias("upper")
+    )
+
+
+def _bucket(width: int, name: str) -> Column:
+    """Floor of ``value / width`` on integers, also for negative values."""
+    if width == 1:
+        return F.col("value").alias(name)
+    return F.expr(f"(value - pmod(value, {width}L)) div {width}L").alias(name)
+
+
+def _running_count(groups: Sequence[str]) -> Column:
+    group = Window.partitionBy(*(groups or [F.lit(0)]))
+    return F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def _locate_ranks(grouped: GroupedData, keys: Sequence[str]) -> DataFrame:
+    """The buckets holding the two middle ranks, with each rank counted from the bucket's start."""
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    counted = grouped.agg(F.count("*").alias("n"))
+    ranked = counted.select("*", F.sum("n").over(group).alias("total"))
+    sides = F.expr(
+        "inline(array(named_struct('side', 'lower', 'rank', (total + 1) div 2),"
+        " named_struct('side', 'upper', 'rank', total div 2 + 1)))"
+    )
+    return _within(
+        ranked.select(*keys, "bucket", "n", "total", _running_count(keys).alias("through")).select(
+            "*", sides
+        ),
+        keys,
+    )
+
+
+def _narrow(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The finer buckets holding the ranks that were counted from the coarser bucket's start."""
+    return _within(
+        counted.withColumn("through", _running_count([*keys, "side", "rank"])), keys
+    )
+
+
+def _within(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return ranked.where("rank > through - n AND rank <= through").selectExpr(
+        *keys, "side", "rank - (through - n) AS rank", "bucket AS outer"
     )

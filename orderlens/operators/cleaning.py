@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.medians import middle_values
+from ..sources.lazy_tables import LazyTables
 from ..sources.tables import (
     ALL_TABLES,
     ENGLISH_CATEGORY,
@@ -86,25 +88,16 @@ def _median(lower: Column, upper: Column) -> Column:
     )
 
 
-def impute_medians(
-    products: DataFrame, measures: tuple[str, ...] = IMPUTED, by: str | None = None
+def measure_medians(
+    products: DataFrame, measures: Sequence[str], by: str | None = None
 ) -> DataFrame:
-    """Fill missing measures with the median over all products, or within a category.
+    """Exact median of each measure as one struct column, over all products or per group.
 
-    ``by`` names a column to take the median within; a group without any value
-    keeps its NULLs.
+    The measures are stacked into rows, so all of them share the same passes.
     """
-    if by is None:
-        filled = {}
-        for m in measures:
-            middle = middle_values(products.select(_in_hundredths(m).alias("v")), "v")
-            median = middle.select(_median(F.col("lower"), F.col("upper"))).scalar()
-            filled[m] = F.coalesce(F.col(m).cast(IMPUTED_TYPE), median)
-        return products.withColumns(filled)
-
-    # One row per (group, measure, value), so all measures share the same passes.
+    keys = [] if by is None else [by]
     stacked = products.select(
-        by,
+        *keys,
         F.inline(
             F.array(
                 *[
@@ -114,27 +107,37 @@ def impute_medians(
             )
         ),
     )
-    medians = (
-        middle_values(stacked, "v", keys=[by, "measure"])
-        .groupBy(by)
-        .agg(
-            *[
-                F.max(
-                    F.when(F.col("measure") == m, _median(F.col("lower"), F.col("upper")))
-                ).alias(f"median_{m}")
-                for m in measures
-            ]
-        )
+    middle = middle_values(
+        stacked,
+        "v",
+        keys=[*keys, "measure"],
+        groups_at_most=len(measures) if by is None else None,
     )
-    return (
-        products.join(medians, by, "left")
-        .withColumns(
-            {m: F.coalesce(F.col(m).cast(IMPUTED_TYPE), F.col(f"median_{m}")) for m in measures}
-        )
-        .select(*products.columns)
+    median = _median(F.col("lower"), F.col("upper"))
+    return middle.groupBy(*keys).agg(
+        F.struct(
+            *[F.max(F.when(F.col("measure") == m, median)).alias(m) for m in measures]
+        ).alias("medians")
     )
 
 
+def impute_medians(
+    products: DataFrame, measures: Sequence[str] = IMPUTED, by: str | None = None
+) -> DataFrame:
+    """Fill missing measures with the median over all products, or within a group.
+
+    ``by`` names the grouping column; a group without any value of a measure
+    keeps its NULLs.
+    """
+    medians = measure_medians(products, measures, by)
+    if by is None:
+        source, found = products, medians.scalar()
+    else:
+        source, found = products.join(medians, by, "left"), F.col("medians")
+    filled = {m: F.coalesce(F.col(m).cast(IMPUTED_TYPE), found.getField(m)) for m in measures}
+    return source.withColumns(filled).select(*products.columns)
+
+
 def clean_products(
     products: DataFrame, translation: DataFrame, impute_by: str | None = None
 ) -> DataFrame:
@@ -144,13 +147,15 @@ def clean_products(
 
 def clean_all(
     raw: Mapping[str, DataFrame], impute_by: str | None = None
-) -> dict[str, DataFrame]:
+) -> Mapping[str, DataFrame]:
     """Every table in its cleaned form."""
-    cleaned = {
-        name: parse_moments(raw[name], table) for name, table in ALL_TABLES.items() if name in raw
+    builders = {
+        name: partial(lambda name, table: parse_moments(raw[name], table), name, table)
+        for name, table in ALL_TABLES.items()
+        if name in raw
     }
-    cleaned["order_reviews"] = clean_reviews(raw["order_reviews"])
-    cleaned["products"] = clean_products(
+    builders["order_reviews"] = lambda: clean_reviews(raw["order_reviews"])
+    builders["products"] = lambda: clean_products(
         raw["products"], raw["category_translation"], impute_by=impute_by
     )
-    return cleaned
+    return LazyTables(builders)

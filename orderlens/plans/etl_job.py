@@ -39,7 +39,7 @@ def run(
 
     # The medians look at products several times; do not parse the text each time.
     raw["products"] = raw["products"].persist(StorageLevel.DISK_ONLY)
-    cleaned = clean_all(raw, impute_by=impute_by)
+    cleaned = dict(clean_all(raw, impute_by=impute_by))
 
     # Both the uniqueness check and the save need the deduplicated reviews.
     use_checkpoint_dir(spark)

@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.delivered import is_delivered, is_late
 from ..settings import DateRange, Period, Settings
-from .tables import MONEY
+from .lazy_tables import LazyTables
 
 # Ranges and thresholds that fit the benchmark's dates and sizes.
 BENCHMARK_SETTINGS = Settings(
@@ -30,209 +31,184 @@ BENCHMARK_SETTINGS = Settings(
 )
 
 
-def _plus_seconds(ts: Column, n: Column) -> Column:
-    return F.timestamp_add("SECOND", n, ts)
-
-
-def _plus_hours(ts: Column, n: Column) -> Column:
-    return F.timestamp_add("HOUR", n, ts)
-
-
-def _unless(condition: Column, value: Column) -> Column:
-    return F.when(~condition, value)
-
-
-def _zip(key: Column) -> Column:
-    return F.lpad((key % 100000).cast("string"), 5, "0")
-
-
 def orders(source: DataFrame) -> DataFrame:
-    k, ck = F.col("o_orderkey"), F.col("o_custkey")
-    status = (
-        F.when(F.col("o_orderstatus") != "P", "delivered")
-        .when(k % 2 == 0, "canceled")
-        .otherwise("shipped")
-    )
-    purchase = F.col("order_purchase_timestamp")
-    handover = _plus_hours(purchase, (k * 37) % 240 - 4)
-    transit_hours = (
-        (k * 101) % 480
-        + (ck % 7) * 12
-        + F.when(F.month(F.to_date(purchase)).isin(2, 3, 11), 72).otherwise(0)
-        - F.when(k % 331 == 0, 600).otherwise(0)
-    )
-    return source.select(
-        "o_orderkey",
-        "o_custkey",
-        status.alias("order_status"),
-        _plus_seconds(F.col("o_orderdate"), (k * 7919) % 86400).alias("order_purchase_timestamp"),
-    ).select(
-        k.alias("order_id"),
-        ck.alias("customer_id"),
-        "order_status",
-        purchase,
-        _unless(k % 613 == 0, _plus_hours(purchase, k % 48)).alias("order_approved_at"),
-        _unless(k % 997 == 1, handover).alias("order_delivered_carrier_date"),
-        _unless(
-            (F.col("order_status") != "delivered") | (k % 499 == 0),
-            _plus_hours(handover, transit_hours),
-        ).alias("order_delivered_customer_date"),
-        F.date_add(F.to_date(purchase), (18 + (k * 13) % 24).cast("int"))
-        .cast("timestamp_ntz")
-        .alias("order_estimated_delivery_date"),
+    return (
+        source.selectExpr(
+            "o_orderkey AS k",
+            "o_custkey AS ck",
+            "CASE WHEN o_orderstatus <> 'P' THEN 'delivered'"
+            " WHEN o_orderkey % 2 = 0 THEN 'canceled' ELSE 'shipped' END AS status",
+            "timestampadd(SECOND, o_orderkey * 7919 % 86400, o_orderdate) AS bought",
+        )
+        .selectExpr("*", "timestampadd(HOUR, k * 37 % 240 - 4, bought) AS handover")
+        .selectExpr(
+            "k AS order_id",
+            "ck AS customer_id",
+            "status AS order_status",
+            "bought AS order_purchase_timestamp",
+            "CASE WHEN k % 613 <> 0 THEN timestampadd(HOUR, k % 48, bought) END"
+            " AS order_approved_at",
+            "CASE WHEN k % 997 <> 1 THEN handover END AS order_delivered_carrier_date",
+            "CASE WHEN status = 'delivered' AND k % 499 <> 0 THEN timestampadd(HOUR,"
+            " k * 101 % 480 + ck % 7 * 12"
+            " + if(month(to_date(bought)) IN (2, 3, 11), 72, 0) - if(k % 331 = 0, 600, 0),"
+            " handover) END AS order_delivered_customer_date",
+            "CAST(date_add(to_date(bought), CAST(18 + k * 13 % 24 AS INT)) AS TIMESTAMP_NTZ)"
+            " AS order_estimated_delivery_date",
+        )
     )
 
 
 def order_reviews(shop_orders: DataFrame) -> DataFrame:
     """Zero, one or two reviews of every delivered order."""
-    k, n = F.col("order_id"), F.col("n")
-    arrived = F.col("order_delivered_customer_date")
-    late = F.to_date(arrived) > F.to_date("order_estimated_delivery_date")
-    score = (
-        F.when(late, 1 + (k * 17 + n) % 4)
-        .when((k * 13) % 100 < 9, 1 + (k * 17 + n) % 2)
-        .otherwise(3 + (k * 17 + n) % 3)
-    )
     return (
-        shop_orders.where((F.col("order_status") == "delivered") & arrived.isNotNull())
+        shop_orders.where(is_delivered())
         .select(
-            "order_id",
-            "order_delivered_customer_date",
-            "order_estimated_delivery_date",
+            F.col("order_id").alias("k"),
+            F.col("order_delivered_customer_date").alias("arrived"),
+            is_late().alias("late"),
             F.explode(F.array(F.lit(0), F.lit(1))).alias("n"),
         )
-        .where(((n == 0) & (k % 130 != 0)) | ((n == 1) & (k % 180 == 0)))
-        .select(
-            (k * 10 + n).alias("review_id"),
-            "order_id",
-            score.cast("int").alias("review_score"),
-            F.when(k % 8 == 0, F.concat(F.lit("title "), k.cast("string"))).alias(
-                "review_comment_title"
-            ),
-            F.when(k % 5 < 2, F.concat(F.lit("message "), k.cast("string"))).alias(
-                "review_comment_message"
-            ),
-            F.to_date(arrived).cast("timestamp_ntz").alias("review_creation_date"),
-            _unless((n == 0) & (k % 360 == 0), _plus_hours(arrived, k % 72 + n * 24)).alias(
-                "review_answer_timestamp"
-            ),
+        .where("(n = 0 AND k % 130 <> 0) OR (n = 1 AND k % 180 = 0)")
+        .selectExpr(
+            "k * 10 + n AS review_id",
+            "k AS order_id",
+            "CAST(CASE WHEN late THEN 1 + (k * 17 + n) % 4"
+            " WHEN k * 13 % 100 < 9 THEN 1 + (k * 17 + n) % 2"
+            " ELSE 3 + (k * 17 + n) % 3 END AS INT) AS review_score",
+            "CASE WHEN k % 8 = 0 THEN concat('title ', k) END AS review_comment_title",
+            "CASE WHEN k % 5 < 2 THEN concat('message ', k) END AS review_comment_message",
+            "CAST(to_date(arrived) AS TIMESTAMP_NTZ) AS review_creation_date",
+            "CASE WHEN n = 1 OR k % 360 <> 0 THEN"
+            " timestampadd(HOUR, k % 72 + n * 24, arrived) END AS review_answer_timestamp",
         )
     )
 
 
 def order_items(source: DataFrame) -> DataFrame:
-    return source.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
-        F.col("l_extendedprice").cast(MONEY).alias("price"),
-        F.col("l_quantity").cast(MONEY).alias("freight_value"),
+    return source.selectExpr(
+        "l_orderkey AS order_id",
+        "l_linenumber AS order_item_id",
+        "l_partkey AS product_id",
+        "l_suppkey AS seller_id",
+        "l_shipdate AS shipping_limit_date",
+        "CAST(l_extendedprice AS DECIMAL(12,2)) AS price",
+        "CAST(l_quantity AS DECIMAL(12,2)) AS freight_value",
     )
 
 
 def order_payments(source: DataFrame) -> DataFrame:
     """One payment per order, and a second one for some."""
-    k, n = F.col("o_orderkey"), F.col("n")
-    kinds = ["credit_card", "boleto", "voucher", "debit_card"]
     return (
-        source.select(
-            "o_orderkey", "o_totalprice", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")
-        )
-        .where((n == 1) | (k % 20 == 0))
-        .select(
-            k.alias("order_id"),
-            n.alias("payment_sequential"),
-            F.element_at(
-                F.array(*[F.lit(kind) for kind in kinds]), (k % 4 + 1).cast("int")
-            ).alias("payment_type"),
-            (1 + k % 10).cast("int").alias("payment_installments"),
-            F.when(n == 1, F.col("o_totalprice")).otherwise(10.0).cast(MONEY).alias(
-                "payment_value"
-            ),
+        source.selectExpr("o_orderkey AS k", "o_totalprice AS total", "explode(array(1, 2)) AS n")
+        .where("n = 1 OR k % 20 = 0")
+        .selectExpr(
+            "k AS order_id",
+            "n AS payment_sequential",
+            "CASE k % 4 WHEN 0 THEN 'credit_card' WHEN 1 THEN 'boleto' WHEN 2 THEN 'voucher'"
+            " ELSE 'debit_card' END AS payment_type",
+            "CAST(1 + k % 10 AS INT) AS payment_installments",
+            "CAST(if(n = 1, total, 10D) AS DECIMAL(12,2)) AS payment_value",
         )
     )
 
 
 def products(source: DataFrame) -> DataFrame:
-    pk = F.col("p_partkey")
-    listed, weighed = pk % 53 != 0, pk % 97 != 0
-    return source.select(
-        pk.alias("product_id"),
-        F.when(listed, F.col("p_brand")).alias("product_category_name"),
-        F.when(listed, F.length("p_name")).cast("decimal(10,0)").alias("product_name_lenght"),
-        F.when(listed, F.length("p_type"))
-        .cast("decimal(10,0)")
-        .alias("product_description_lenght"),
-        F.when(listed, pk % 5 + 1).cast("decimal(10,0)").alias("product_photos_qty"),
-        F.when(weighed, F.col("p_size") * 100).cast(MONEY).alias("product_weight_g"),
-        F.when(weighed, pk % 50 + 10).cast(MONEY).alias("product_length_cm"),
-        F.when(pk % 89 != 0, pk % 30 + 5).cast(MONEY).alias("product_height_cm"),
-        F.when(weighed, pk % 40 + 8).cast(MONEY).alias("product_width_cm"),
+    return source.selectExpr(
+        "p_partkey AS product_id",
+        "CASE WHEN p_partkey % 53 <> 0 THEN p_brand END AS product_category_name",
+        "CAST(CASE WHEN p_partkey % 53 <> 0 THEN length(p_name) END AS DECIMAL(10,0))"
+        " AS product_name_lenght",
+        "CAST(CASE WHEN p_partkey % 53 <> 0 THEN length(p_type) END AS DECIMAL(10,0))"
+        " AS product_description_lenght",
+        "CAST(CASE WHEN p_partkey % 53 <> 0 THEN p_partkey % 5 + 1 END AS DECIMAL(10,0))"
+        " AS product_photos_qty",
+        "CAST(CASE WHEN p_partkey % 97 <> 0 THEN p_size * 100 END AS DECIMAL(12,2))"
+        " AS product_weight_g",
+        "CAST(CASE WHEN p_partkey % 97 <> 0 THEN p_partkey % 50 + 10 END AS DECIMAL(12,2))"
+        " AS product_length_cm",
+        "CAST(CASE WHEN p_partkey % 89 <> 0 THEN p_partkey % 30 + 5 END AS DECIMAL(12,2))"
+        " AS product_height_cm",
+        "CAST(CASE WHEN p_partkey % 97 <> 0 THEN p_partkey % 40 + 8 END AS DECIMAL(12,2))"
+        " AS product_width_cm",
     )
 
 
 def category_translation(source: DataFrame) -> DataFrame:
     """English names of all categories but one."""
     return (
-        source.select(F.col("p_brand").alias("product_category_name"))
-        .where(F.col("p_brand") != "Brand#7")
+        source.where("p_brand <> 'Brand#7'")
+        .select("p_brand")
         .distinct()
-        .withColumn("product_category_name_english", F.upper("product_category_name"))
+        .selectExpr(
+            "p_brand AS product_category_name", "upper(p_brand) AS product_category_name_english"
+        )
     )
 
 
 def customers(source: DataFrame, nation: DataFrame) -> DataFrame:
-    ck = F.col("c_custkey")
-    return source.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        ck.alias("customer_id"),
-        ck.alias("customer_unique_id"),
-        _zip(ck).alias("customer_zip_code_prefix"),
-        F.lower("c_mktsegment").alias("customer_city"),
-        F.col("n_name").alias("customer_state"),
+    return source.join(nation, F.expr("c_nationkey = n_nationkey")).selectExpr(
+        "c_custkey AS customer_id",
+        "c_custkey AS customer_unique_id",
+        "lpad(CAST(c_custkey % 100000 AS STRING), 5, '0') AS customer_zip_code_prefix",
+        "lower(c_mktsegment) AS customer_city",
+        "n_name AS customer_state",
     )
 
 
 def sellers(source: DataFrame, nation: DataFrame) -> DataFrame:
-    sk = F.col("s_suppkey")
-    return source.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        sk.alias("seller_id"),
-        _zip(sk).alias("seller_zip_code_prefix"),
-        F.lower("s_name").alias("seller_city"),
-        F.col("n_name").alias("seller_state"),
+    return source.join(nation, F.expr("s_nationkey = n_nationkey")).selectExpr(
+        "s_suppkey AS seller_id",
+        "lpad(CAST(s_suppkey % 100000 AS STRING), 5, '0') AS seller_zip_code_prefix",
+        "lower(s_name) AS seller_city",
+        "n_name AS seller_state",
     )
 
 
 def geolocation(source: DataFrame, nation: DataFrame) -> DataFrame:
-    ck = F.col("c_custkey")
-    return source.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        _zip(ck).alias("geolocation_zip_code_prefix"),
-        (F.lit(-33.0) + (ck % 380) / 10.0).alias("geolocation_lat"),
-        (F.lit(-73.0) + (ck % 390) / 10.0).alias("geolocation_lng"),
-        F.lower("c_mktsegment").alias("geolocation_city"),
-        F.col("n_name").alias("geolocation_state"),
+    return source.join(nation, F.expr("c_nationkey = n_nationkey")).selectExpr(
+        "lpad(CAST(c_custkey % 100000 AS STRING), 5, '0') AS geolocation_zip_code_prefix",
+        "-33D + c_custkey % 380 / 10D AS geolocation_lat",
+        "-73D + c_custkey % 390 / 10D AS geolocation_lng",
+        "lower(c_mktsegment) AS geolocation_city",
+        "n_name AS geolocation_state",
     )
 
 
-def raw_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
-    """The nine source tables, before cleaning."""
+# Columns read from the benchmark files; stating them saves a schema-reading job per file.
+_FILES = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz",
+}
 
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
-    nation, part, customer, source_orders = (
-        read(name) for name in ("nation", "part", "customer", "orders")
+def raw_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
+    """The nine source tables, before cleaning."""
+    files = LazyTables(
+        {
+            name: lambda name=name, columns=columns: spark.read.schema(columns).parquet(
+                f"{folder.rstrip('/')}/{name}.parquet"
+            )
+            for name, columns in _FILES.items()
+        }
+    )
+    shop = LazyTables(
+        {
+            "customers": lambda: customers(files["customer"], files["nation"]),
+            "sellers": lambda: sellers(files["supplier"], files["nation"]),
+            "products": lambda: products(files["part"]),
+            "category_translation": lambda: category_translation(files["part"]),
+            "orders": lambda: orders(files["orders"]),
+            "order_items": lambda: order_items(files["lineitem"]),
+            "order_payments": lambda: order_payments(files["orders"]),
+            "order_reviews": lambda: order_reviews(shop["orders"]),
+            "geolocation": lambda: geolocation(files["customer"], files["nation"]),
+        }
     )
-    shop_orders = orders(source_orders)
-    return {
-        "customers": customers(customer, nation),
-        "sellers": sellers(read("supplier"), nation),
-        "products": products(part),
-        "category_translation": category_translation(part),
-        "orders": shop_orders,
-        "order_items": order_items(read("lineitem")),
-        "order_payments": order_payments(source_orders),
-        "order_reviews": order_reviews(shop_orders),
-        "geolocation": geolocation(customer, nation),
-    }
+    return shop
