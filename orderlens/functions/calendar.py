@@ -12,22 +12,26 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SECONDS_PER_DAY = 86400.0
+MICROS_PER_DAY = 86_400_000_000.0
 
 
 def column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def seconds_between(start: Column | str, end: Column | str) -> Column:
-    """Exact seconds from ``start`` to ``end`` as ``decimal(18,6)``; NULL if either is NULL."""
-    elapsed = column(end) - column(start)
-    return elapsed.cast("interval second").cast("decimal(18,6)")
+def micros_between(start: Column | str, end: Column | str) -> Column:
+    """Exact microseconds from ``start`` to ``end``; NULL if either is NULL."""
+    seconds = (column(end) - column(start)).cast("interval second").cast("decimal(18,6)")
+    return (seconds * 1_000_000).cast("bigint")
 
 
-def as_days(seconds: Column) -> Column:
-    """Fractional days of a number of seconds."""
-    return seconds.cast("double") / F.lit(SECONDS_PER_DAY)
+def as_days(micros: Column | str) -> Column:
+    """Fractional days of a number of microseconds.
+
+    Totals are taken over these doubles: a BIGINT sum of microseconds would
+    overflow after some ten million ten-day durations.
+    """
+    return column(micros).cast("double") / F.lit(MICROS_PER_DAY)
 
 
 def calendar_days_between(start: Column | str, end: Column | str) -> Column:

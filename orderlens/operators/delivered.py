@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import as_days, later_date, seconds_between
+from ..functions.calendar import as_days, later_date, micros_between
 
 DELIVERED_COLUMNS = (
     "order_id",
@@ -46,19 +46,15 @@ def delivered_facts(orders: DataFrame) -> DataFrame:
         "order_delivered_customer_date",
         "order_estimated_delivery_date",
         is_late().alias("is_late"),
-        seconds_between("order_purchase_timestamp", "order_delivered_customer_date").alias(
-            "delivery_seconds"
+        micros_between("order_purchase_timestamp", "order_delivered_customer_date").alias(
+            "delivery_micros"
         ),
-    )
+    ).withColumn("delivery_days", as_days("delivery_micros"))
 
 
 def delivered_orders(orders: DataFrame) -> DataFrame:
     """The shared view: one row per delivered, dated order."""
-    return (
-        delivered_facts(orders)
-        .withColumn("delivery_days", as_days(F.col("delivery_seconds")))
-        .select(*DELIVERED_COLUMNS)
-    )
+    return delivered_facts(orders).select(*DELIVERED_COLUMNS)
 
 
 def order_values(items: DataFrame) -> DataFrame:
@@ -74,14 +70,15 @@ def with_review_score(orders: DataFrame, reviews: DataFrame, how: str = "left")
 
 
 def handling_durations(delivered: DataFrame) -> DataFrame:
-    """Exact seconds spent with the seller and with the carrier."""
+    """Days spent with the seller and with the carrier, and whether both are possible.
+
+    ``possible`` is NULL without a carrier date and false when the carrier date
+    lies before the purchase or after the delivery.
+    """
+    bought, handed = "order_purchase_timestamp", "order_delivered_carrier_date"
     return delivered.select(
-        "order_purchase_timestamp",
+        bought,
         "is_late",
-        seconds_between("order_purchase_timestamp", "order_delivered_carrier_date").alias(
-            "seller_seconds"
-        ),
-        seconds_between("order_delivered_carrier_date", "order_delivered_customer_date").alias(
-            "carrier_seconds"
-        ),
-    )
+        as_days(micros_between(bought, handed)).alias("seller_days"),
+        as_days(micros_between(handed, "order_delivered_customer_date")).alias("carrier_days"),
+    ).withColumn("possible", (F.col("seller_days") >= 0) & (F.col("carrier_days") >= 0))

@@ -7,13 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import (
-    SECONDS_PER_DAY,
-    as_days,
-    calendar_days_between,
-    month_of,
-    within,
-)
+from ..functions.calendar import as_days, calendar_days_between, month_of, within
 from ..functions.medians import middle_values
 from ..functions.rates import (
     count_when,
@@ -60,16 +54,13 @@ def baseline_kpis(t: Tables, s: Settings) -> DataFrame:
 def late_delivery_rate(t: Tables, s: Settings) -> DataFrame:
     """Delivered orders, late share, mean and exact median delivery time."""
     delivered = delivered_facts(t["orders"])
-    micros = (F.col("delivery_seconds") * 1_000_000).cast("bigint").alias("micros")
-    middle = middle_values(delivered.select(micros), "micros", widths=_DURATION_WIDTHS)
-    median_days = (F.col("lower") + F.col("upper")) / F.lit(2 * 1e6 * SECONDS_PER_DAY)
+    middle = middle_values(delivered, "delivery_micros", widths=_DURATION_WIDTHS)
+    median_days = (as_days("lower") + as_days("upper")) / 2.0
     return delivered.agg(
         F.count("*").alias("delivered_orders"),
         F.count_if("is_late").alias("late_orders"),
         rounded(percent(F.count_if("is_late"), F.count("is_late"))).alias("late_rate_pct"),
-        rounded(as_days(F.sum("delivery_seconds")) / F.count("delivery_seconds")).alias(
-            "avg_delivery_days"
-        ),
+        rounded(F.avg("delivery_days")).alias("avg_delivery_days"),
     ).withColumn("median_delivery_days", middle.select(rounded(median_days)).scalar())
 
 
@@ -85,7 +76,8 @@ def state_totals(t: Tables) -> DataFrame:
         F.count("*").alias("orders"),
         F.count_if(late).alias("late_orders"),
         F.count(late).alias("dated_orders"),
-        F.sum("delivery_seconds").alias("delivery_seconds"),
+        F.count("delivery_days").alias("timed_orders"),
+        F.sum("delivery_days").alias("delivery_days"),
         F.count(score).alias("reviewed"),
         F.sum(score).alias("score"),
         count_when(late, score).alias("late_reviewed"),
@@ -110,9 +102,7 @@ def state_performance(t: Tables, s: Settings) -> DataFrame:
             "customer_state",
             F.col("orders").alias("delivered_orders"),
             rounded(percent("late_orders", "dated_orders")).alias("late_rate_pct"),
-            rounded(as_days(F.col("delivery_seconds")) / F.col("orders")).alias(
-                "avg_delivery_days"
-            ),
+            rounded(ratio("delivery_days", "timed_orders")).alias("avg_delivery_days"),
             rounded(ratio("score", "reviewed")).alias("avg_review_score"),
         )
         .orderBy(F.col("late_rate_pct").desc_nulls_first(), "customer_state")
@@ -197,20 +187,15 @@ def seller_vs_carrier(t: Tables, s: Settings) -> DataFrame:
     Impossible durations are left out of the two means only. The moving
     average weighs months equally and starts once enough months exist.
     """
-    seller, carrier = F.col("seller_seconds"), F.col("carrier_seconds")
-    possible = (seller >= 0) & (carrier >= 0)
+    possible = F.col("possible")
     by_month = Window.partitionBy(F.lit(0)).orderBy("month")
     recent = by_month.rowsBetween(1 - s.moving_months, 0)
     return (
         handling_durations(_delivered_in_window(t, s))
         .groupBy(month_of("order_purchase_timestamp").alias("month"))
         .agg(
-            rounded(
-                as_days(total_when(possible, seller)) / count_when(possible, seller)
-            ).alias("avg_seller_days"),
-            rounded(
-                as_days(total_when(possible, carrier)) / count_when(possible, carrier)
-            ).alias("avg_carrier_days"),
+            rounded(F.avg(F.when(possible, F.col("seller_days")))).alias("avg_seller_days"),
+            rounded(F.avg(F.when(possible, F.col("carrier_days")))).alias("avg_carrier_days"),
             percent(F.count_if("is_late"), F.count("is_late")).alias("late_rate"),
         )
         .select(

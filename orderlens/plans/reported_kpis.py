@@ -7,14 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import as_days
-from ..functions.rates import (
-    count_when,
-    growth_percent,
-    percent,
-    rounded,
-    total_when,
-)
+from ..functions.rates import growth_percent, percent, rounded
 from ..operators.delivered import delivered_facts, handling_durations
 from ..settings import Settings
 from .business_cases import gmv_by_delivery_quarter, gmv_by_purchase_quarter
@@ -56,19 +49,18 @@ def repeat_purchase_rate(t: Tables, s: Settings) -> DataFrame:
 
 def carrier_share(t: Tables, s: Settings) -> DataFrame:
     """Part of the handling time spent with the carrier, over possible durations."""
-    seller, carrier = F.col("seller_seconds"), F.col("carrier_seconds")
-    possible = (seller >= 0) & (carrier >= 0)
     return (
         handling_durations(delivered_facts(t["orders"]))
+        .where("possible")
         .agg(
-            count_when(possible, seller).alias("orders"),
-            total_when(possible, seller).alias("seller"),
-            total_when(possible, carrier).alias("carrier"),
+            F.count("*").alias("orders"),
+            F.avg("seller_days").alias("seller"),
+            F.avg("carrier_days").alias("carrier"),
         )
         .select(
             "orders",
-            rounded(as_days(F.col("seller")) / F.col("orders")).alias("avg_seller_days"),
-            rounded(as_days(F.col("carrier")) / F.col("orders")).alias("avg_carrier_days"),
+            rounded("seller").alias("avg_seller_days"),
+            rounded("carrier").alias("avg_carrier_days"),
             rounded(percent("carrier", F.col("seller") + F.col("carrier"))).alias(
                 "carrier_share_pct"
             ),

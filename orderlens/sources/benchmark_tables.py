@@ -32,28 +32,31 @@ BENCHMARK_SETTINGS = Settings(
 
 
 def orders(source: DataFrame) -> DataFrame:
+    """Orders bought at some second of their (midnight) order date."""
     return (
         source.selectExpr(
             "o_orderkey AS k",
             "o_custkey AS ck",
+            "o_orderdate AS day",
+            "o_orderkey * 7919 % 86400 AS bought",
             "CASE WHEN o_orderstatus <> 'P' THEN 'delivered'"
             " WHEN o_orderkey % 2 = 0 THEN 'canceled' ELSE 'shipped' END AS status",
-            "timestampadd(SECOND, o_orderkey * 7919 % 86400, o_orderdate) AS bought",
         )
-        .selectExpr("*", "timestampadd(HOUR, k * 37 % 240 - 4, bought) AS handover")
+        .selectExpr("*", "bought + 3600 * (k * 37 % 240 - 4) AS handed")
         .selectExpr(
             "k AS order_id",
             "ck AS customer_id",
             "status AS order_status",
-            "bought AS order_purchase_timestamp",
-            "CASE WHEN k % 613 <> 0 THEN timestampadd(HOUR, k % 48, bought) END"
+            "timestampadd(SECOND, bought, day) AS order_purchase_timestamp",
+            "CASE WHEN k % 613 <> 0 THEN timestampadd(SECOND, bought + 3600 * (k % 48), day) END"
             " AS order_approved_at",
-            "CASE WHEN k % 997 <> 1 THEN handover END AS order_delivered_carrier_date",
-            "CASE WHEN status = 'delivered' AND k % 499 <> 0 THEN timestampadd(HOUR,"
-            " k * 101 % 480 + ck % 7 * 12"
-            " + if(month(to_date(bought)) IN (2, 3, 11), 72, 0) - if(k % 331 = 0, 600, 0),"
-            " handover) END AS order_delivered_customer_date",
-            "CAST(date_add(to_date(bought), CAST(18 + k * 13 % 24 AS INT)) AS TIMESTAMP_NTZ)"
+            "CASE WHEN k % 997 <> 1 THEN timestampadd(SECOND, handed, day) END"
+            " AS order_delivered_carrier_date",
+            "CASE WHEN status = 'delivered' AND k % 499 <> 0 THEN timestampadd(SECOND, handed"
+            " + 3600 * (k * 101 % 480 + ck % 7 * 12"
+            " + if(month(to_date(day)) IN (2, 3, 11), 72, 0) - if(k % 331 = 0, 600, 0)),"
+            " day) END AS order_delivered_customer_date",
+            "CAST(date_add(to_date(day), CAST(18 + k * 13 % 24 AS INT)) AS TIMESTAMP_NTZ)"
             " AS order_estimated_delivery_date",
         )
     )
