@@ -1,0 +1,199 @@
+"""What the physical plans must and must not contain, and results under heavy skew."""
+
+import random
+import re
+
+import pytest
+
+import __spark_entry__ as registry
+from orderlens.operators.cleaning import clean_all, clean_reviews
+from orderlens.plans import business_cases, chart_data, kpis
+from orderlens.plans.catalogue import QUERIES
+from orderlens.settings import Settings
+from orderlens.sources.benchmark_tables import BENCHMARK_SETTINGS, raw_tables
+from orderlens.sources.parquet_files import load_all, save_all
+from tests.shop import dicts, item, order, product, raw_shop, review, rows
+
+FOLDER = "/root/testdata/sf0.001"
+S = Settings()
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def saved(spark, tmp_path_factory):
+    """Cleaned benchmark tables as Parquet, as the job leaves them."""
+    folder = str(tmp_path_factory.mktemp("saved"))
+    save_all(clean_all(raw_tables(spark, FOLDER)), folder)
+    return load_all(spark, folder)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", list(registry.queries()))
+def test_no_cross_join_and_no_python(spark, no_broadcast, name):
+    text = plan(registry.queries()[name](spark, FOLDER))
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
+        assert operator not in text
+
+
+def scans(text: str) -> list[str]:
+    return [line for line in text.splitlines() if "FileScan" in line]
+
+
+def test_filters_and_columns_reach_the_scan(saved, capsys):
+    chart_data.monthly_late_rate(saved, S).explain("formatted")
+    text = capsys.readouterr().out
+    pushed = re.search(r"PushedFilters: \[(.*)\]", text).group(1)
+    assert "EqualTo(order_status,delivered)" in pushed
+    assert "IsNotNull(order_delivered_customer_date)" in pushed
+    assert "GreaterThanOrEqual(order_purchase_timestamp,2017-01-01" in pushed
+    assert "LessThan(order_purchase_timestamp,2018-09-01" in pushed
+    columns = set(re.findall(r"(\w+):", re.search(r"ReadSchema: struct<(.*)>", text).group(1)))
+    assert columns == {
+        "order_status", "order_purchase_timestamp", "order_delivered_customer_date",
+        "order_estimated_delivery_date"}
+
+
+@pytest.mark.parametrize(
+    "query, tables",
+    [
+        (kpis.seller_vs_carrier, 1), (kpis.promised_vs_actual, 1), (kpis.baseline_kpis, 2),
+        (kpis.monthly_trend, 2), (kpis.delay_vs_review, 2), (kpis.state_performance, 3),
+        (kpis.seller_late_rate, 3), (kpis.category_analysis, 4),
+        (chart_data.monthly_buffer_vs_late, 1), (business_cases.gmv_by_purchase_quarter, 2),
+    ],
+)
+def test_each_table_is_scanned_once(saved, query, tables):
+    # Category analysis reads products twice: for the items and for the mean weight.
+    assert len(scans(plan(query(saved, S)))) == tables
+
+
+@pytest.mark.parametrize("query", [kpis.baseline_kpis, kpis.monthly_trend, kpis.delay_vs_review])
+def test_joins_by_order_shuffle_each_side_once(saved, no_broadcast, query):
+    text = plan(query(saved, S))
+    assert len(re.findall(r"Exchange hashpartitioning\(order_id#\d+L?, \d+\)", text)) <= 2
+
+
+def test_reviews_are_limited_before_the_shuffle(spark):
+    text = plan(clean_reviews(raw_tables(spark, FOLDER)["order_reviews"]))
+    before_shuffle = text[text.index("Exchange hashpartitioning"):]
+    assert re.search(r"WindowGroupLimit .* row_number\(\), 1, Partial", before_shuffle)
+
+
+def test_median_has_no_unbounded_buffer(saved):
+    text = plan(kpis.late_delivery_rate(saved, S))
+    assert "percentile" not in text and "median" not in text.replace("median_delivery_days", "")
+
+
+def test_subquery_of_medians_runs_once(spark):
+    cleaned = clean_all(raw_tables(spark, FOLDER))["products"]
+    cleaned.collect()
+    final = plan(cleaned).partition("== Initial Plan ==\n   Project")[0]
+    assert len(re.findall(r"[:+]- ReusedSubquery", final)) == 3
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    raw = raw_tables(spark, FOLDER)
+    split = {name: raw[name].repartition(7) for name in raw}
+    for name in ("monthly_trend", "seller_late_rate", "category_analysis", "late_delivery_rate"):
+        query = QUERIES[name]
+        assert rows(query(clean_all(split), BENCHMARK_SETTINGS)) == rows(
+            query(clean_all(raw), BENCHMARK_SETTINGS)
+        )
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """A third of the items in one order, of one seller and one product; a hot customer and state."""
+    rng = random.Random(11)
+    orders, items, reviews, customers = [], [], [], []
+    for i in range(600):
+        late = rng.random() < 0.2
+        arrived = "2017-05-20 00:00:00" if late else "2017-05-06 00:00:00"
+        who = "hot" if i % 3 == 0 else f"c{i}"
+        orders.append(order(f"o{i}", "2017-05-01 00:00:00", arrived, "2017-05-10 00:00:00",
+                            carrier="2017-05-02 00:00:00", customer=who))
+        reviews.append(review(f"r{i}", f"o{i}", rng.randint(1, 5), None))
+        if who != "hot":
+            customers.append((who, who, "0", "x", "SP" if i % 3 else "BA"))
+    customers.append(("hot", "hot", "0", "x", "SP"))
+    for i in range(6000):
+        key = "o1" if i % 3 == 0 else f"o{rng.randrange(600)}"
+        seller = "hot" if i % 3 == 1 else f"s{rng.randrange(20)}"
+        what = "hot" if i % 3 == 2 else f"p{rng.randrange(50)}"
+        items.append(item(key, i, what, seller, f"{rng.randint(1, 9999) / 100:.2f}"))
+    for _ in range(300):
+        reviews.append(review(f"x{_:03d}", "o1", 1, "2017-06-01 00:00:00"))
+    raw = raw_shop(
+        spark, orders=orders, items=items, reviews=reviews, customers=customers,
+        products=[product("hot", "casa", 1, 1)] + [
+            product(f"p{i}", ["casa", "arte", None][i % 3], i + 1, 1) for i in range(50)],
+        sellers=[("hot", "SP")] + [(f"s{i}", "BA") for i in range(20)],
+    )
+    return orders, items, reviews, {n: df.repartition(5) for n, df in raw.items()}
+
+
+def test_sellers_under_skew(skewed):
+    orders, items, _, raw = skewed
+    late = {o[0]: o[6] > o[7] for o in orders}
+    by_seller: dict = {}
+    for key, _, _, seller, _, price, freight in items:
+        entry = by_seller.setdefault(seller, [set(), 0])
+        entry[0].add(key)
+        entry[1] += price + freight
+    expected = {
+        seller: (len(keys), round(100 * sum(late[k] for k in keys) / len(keys), 2), value)
+        for seller, (keys, value) in by_seller.items()
+        if len(keys) >= S.min_seller_orders
+    }
+    found = {
+        r["seller_id"]: (r["orders"], r["late_rate_pct"], r["total_gmv"])
+        for r in dicts(kpis.seller_late_rate(clean_all(raw), S))
+    }
+    assert found.keys() == expected.keys()
+    for seller, (n, rate, value) in expected.items():
+        assert found[seller] == (n, pytest.approx(rate, abs=0.011), value)
+
+
+def test_categories_under_skew(skewed):
+    orders, items, _, raw = skewed
+    names = {"hot": "home", **{f"p{i}": ["home", "art", "unknown"][i % 3] for i in range(50)}}
+    by_category: dict = {}
+    for key, _, what, _, _, price, freight in items:
+        entry = by_category.setdefault(names[what], [set(), 0])
+        entry[0].add(key)
+        entry[1] += price + freight
+    found = {
+        r["category"]: (r["orders"], r["total_gmv"])
+        for r in dicts(kpis.category_analysis(clean_all(raw), S))
+    }
+    assert found == {c: (len(keys), value) for c, (keys, value) in by_category.items()}
+
+
+def test_states_under_skew(skewed):
+    orders, _, reviews, raw = skewed
+    late = {o[0]: o[6] > o[7] for o in orders}
+    answered = [r for r in reviews if r[6] is None]
+    scores = {r[1]: r[2] for r in answered}
+    found = {r["customer_state"]: r for r in dicts(kpis.state_performance(clean_all(raw), S))}
+    assert sum(r["delivered_orders"] for r in found.values()) == len(orders)
+    assert found["SP"]["late_rate_pct"] == pytest.approx(
+        100 * sum(late.values()) / len(late), abs=0.01)
+    assert found["SP"]["avg_review_score"] == pytest.approx(
+        sum(scores.values()) / len(scores), abs=0.01)
+
+
+def test_items_of_an_order_are_summed_before_the_shuffle(saved, no_broadcast):
+    for query in (kpis.seller_late_rate, kpis.category_analysis, kpis.monthly_trend):
+        text = plan(query(saved, S))
+        for match in re.finditer(r"Exchange hashpartitioning\(order_id#\d+L?, (seller_id|category)", text):
+            following = text[match.start():].splitlines()[1]
+            assert "HashAggregate" in following and "partial_sum" in following
