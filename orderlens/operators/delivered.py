@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import as_days, later_date, micros_between
+from ..functions.money import in_cents, require_cents
 
 DELIVERED_COLUMNS = (
     "order_id",
@@ -57,13 +58,23 @@ def delivered_orders(orders: DataFrame) -> DataFrame:
     return delivered_facts(orders).select(*DELIVERED_COLUMNS)
 
 
-def order_values(items: DataFrame) -> DataFrame:
-    """Value of each order's items, so later joins by order never fan out."""
-    return items.groupBy("order_id").agg(
-        F.sum(F.col("price") + F.col("freight_value")).alias("gmv")
+def item_values(items: DataFrame, *grain: str | Column) -> DataFrame:
+    """Value of the items, in cents, per order or per finer ``grain`` that includes the order.
+
+    Summing before any join by order keeps that join from fanning out, and
+    sends a huge order, seller or product as one row per task.
+    """
+    require_cents(items, "price", "freight_value")
+    return items.groupBy(*grain).agg(
+        F.sum(in_cents(F.col("price") + F.col("freight_value"))).alias("cents")
     )
 
 
+def order_values(items: DataFrame) -> DataFrame:
+    """Value of each order's items, in cents."""
+    return item_values(items, "order_id")
+
+
 def with_review_score(orders: DataFrame, reviews: DataFrame, how: str = "left") -> DataFrame:
     """Add the score of the order's one review; ``left`` keeps unreviewed orders."""
     return orders.join(reviews.select("order_id", "review_score"), "order_id", how)

@@ -217,7 +217,7 @@ def foreign_keys(tables: Tables) -> DataFrame:
 
 def unreviewed_orders(tables: Tables) -> DataFrame:
     """Orders without any review."""
-    reviewed = tables["order_reviews"].select("order_id")
+    reviewed = tables["order_reviews"].select("order_id").distinct()
     orders = tables["orders"].select("order_id")
     return _stack(
         [

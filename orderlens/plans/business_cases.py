@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_of, quarter_of, within
+from ..functions.money import from_cents
 from ..functions.rates import percent, ratio, rounded, total_when
 from ..operators.delivered import (
     delivered_facts,
@@ -29,7 +30,7 @@ def gmv_by_purchase_quarter(t: Tables, s: Settings) -> DataFrame:
     denominator of the average.
     """
     delivered = has_status_delivered()
-    delivered_gmv = total_when(delivered, "gmv")
+    delivered_gmv = from_cents(total_when(delivered, "cents"))
     return (
         t["orders"]
         .where(within(BOUGHT, s.quarters.start, s.quarters.end))
@@ -38,7 +39,7 @@ def gmv_by_purchase_quarter(t: Tables, s: Settings) -> DataFrame:
         .groupBy("quarter")
         .agg(
             F.count("*").alias("all_orders"),
-            F.sum("gmv").alias("all_orders_gmv"),
+            from_cents(F.sum("cents")).alias("all_orders_gmv"),
             F.count_if(delivered).alias("delivered_orders"),
             delivered_gmv.alias("delivered_gmv"),
             rounded(ratio(delivered_gmv, F.count_if(delivered))).alias("aov"),
@@ -58,9 +59,9 @@ def gmv_by_delivery_quarter(t: Tables, s: Settings) -> DataFrame:
         .groupBy("quarter")
         .agg(
             F.count("*").alias("delivered_orders"),
-            F.sum("gmv").alias("delivered_gmv"),
-            rounded(ratio(F.sum("gmv"), F.count("gmv"))).alias("aov"),
+            from_cents(F.sum("cents")).alias("delivered_gmv"),
         )
+        .withColumn("aov", rounded(ratio("delivered_gmv", "delivered_orders")))
         .orderBy("quarter")
     )
 

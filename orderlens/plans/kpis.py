@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import as_days, calendar_days_between, month_of, within
 from ..functions.medians import middle_values
+from ..functions.money import from_cents
 from ..functions.rates import (
     count_when,
     growth_percent,
@@ -23,6 +24,7 @@ from ..operators.delivered import (
     has_status_delivered,
     is_delivered,
     is_late,
+    item_values,
     order_values,
     with_review_score,
 )
@@ -31,8 +33,9 @@ from ..sources.tables import ENGLISH_CATEGORY
 
 Tables = Mapping[str, DataFrame]
 
-# Bucket widths, in microseconds, that locate a median duration: hour, second, exact.
-_DURATION_WIDTHS = (3_600_000_000, 1_000_000, 1)
+# Bucket widths, in microseconds, that locate a median duration: a minute, then exact.
+# A year of durations is half a million minutes, and a minute holds few of the orders.
+_DURATION_WIDTHS = (60_000_000, 1)
 
 
 def _delivered_in_window(t: Tables, s: Settings) -> DataFrame:
@@ -46,7 +49,10 @@ def baseline_kpis(t: Tables, s: Settings) -> DataFrame:
     return (
         order_values(t["order_items"])
         .join(delivered, "order_id")
-        .agg(F.count("*").alias("total_orders"), F.sum("gmv").alias("total_revenue"))
+        .agg(
+            F.count("*").alias("total_orders"),
+            from_cents(F.sum("cents")).alias("total_revenue"),
+        )
         .withColumn("aov", rounded(ratio("total_revenue", "total_orders")))
     )
 
@@ -167,7 +173,7 @@ def monthly_trend(t: Tables, s: Settings) -> DataFrame:
         .groupBy("month")
         .agg(
             F.count("*").alias("delivered_orders"),
-            F.sum("gmv").alias("gmv"),
+            from_cents(F.sum("cents")).alias("gmv"),
             percent(F.count_if("is_late"), F.count("is_late")).alias("late_rate"),
         )
         .select(
@@ -248,21 +254,17 @@ def promised_vs_actual(t: Tables, s: Settings) -> DataFrame:
 def seller_late_rate(t: Tables, s: Settings) -> DataFrame:
     """Late rate and value per seller with enough orders.
 
-    An order counts once for each of its sellers. Items are summed per (order,
-    seller) before the join by order, so neither a huge order nor a huge seller
-    travels as single items.
+    An order counts once for each of its sellers.
     """
     late = delivered_facts(t["orders"]).select("order_id", "is_late")
     return (
-        t["order_items"]
-        .groupBy("order_id", "seller_id")
-        .agg(F.sum(F.col("price") + F.col("freight_value")).alias("gmv"))
+        item_values(t["order_items"], "order_id", "seller_id")
         .join(late, "order_id")
         .groupBy("seller_id")
         .agg(
             F.count("*").alias("orders"),
             rounded(percent(F.count_if("is_late"), F.count("*"))).alias("late_rate_pct"),
-            F.sum("gmv").alias("total_gmv"),
+            from_cents(F.sum("cents")).alias("total_gmv"),
         )
         .where(F.col("orders") >= s.min_seller_orders)
         .join(t["sellers"].select("seller_id", "seller_state"), "seller_id")
@@ -285,17 +287,15 @@ def category_analysis(t: Tables, s: Settings) -> DataFrame:
         .groupBy(category)
         .agg(rounded(ratio(F.sum(weight), F.count(weight))).alias("avg_weight_g"))
     )
+    named_items = t["order_items"].join(t["products"].select("product_id", category), "product_id")
     return (
-        t["order_items"]
-        .join(t["products"].select("product_id", category), "product_id")
-        .groupBy("order_id", "category")
-        .agg(F.sum(F.col("price") + F.col("freight_value")).alias("gmv"))
+        item_values(named_items, "order_id", "category")
         .join(late, "order_id")
         .groupBy("category")
         .agg(
             F.count("*").alias("orders"),
             rounded(percent(F.count_if("is_late"), F.count("*"))).alias("late_rate_pct"),
-            F.sum("gmv").alias("total_gmv"),
+            from_cents(F.sum("cents")).alias("total_gmv"),
         )
         .where(F.col("orders") >= s.min_category_orders)
         .join(weights, "category")

@@ -1,6 +1,7 @@
 import math
 import random
 from datetime import date
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from orderlens.functions.calendar import (
     within,
 )
 from orderlens.functions.medians import middle_values
+from orderlens.functions.money import from_cents, in_cents, require_cents
 from orderlens.functions.probability import (
     normal_two_sided_p,
     student_two_sided_p,
@@ -91,6 +93,18 @@ def test_rounding_and_ratios(spark):
     assert tuple(df.first()) == (1.01, -1.01, 2.68, 1.2345678901234568e26, None, 12.5, 50.0, None, None)
 
 
+def test_cents(spark):
+    amounts = [Decimal("0.01"), Decimal("-12.30"), Decimal("9999999999.99"), None]
+    df = spark.createDataFrame([(a,) for a in amounts], "a decimal(12,2)")
+    found = df.select(in_cents("a").alias("c")).select("c", from_cents("c")).collect()
+    assert [tuple(r) for r in found] == [
+        (1, amounts[0]), (-1230, amounts[1]), (999_999_999_999, amounts[2]), (None, None)]
+    require_cents(df, "a")
+    for kind in ("decimal(12,3)", "double"):
+        with pytest.raises(TypeError, match="a must be a decimal"):
+            require_cents(df.selectExpr(f"CAST(a AS {kind}) AS a"), "a")
+
+
 def exact_middles(values):
     ordered = sorted(values)
     n = len(ordered)
@@ -98,7 +112,7 @@ def exact_middles(values):
 
 
 @pytest.mark.parametrize("widths", [(1,), (1000, 1), (1_000_000, 1_000, 1)])
-@pytest.mark.parametrize("size", [1, 2, 3, 10, 501, 1000])
+@pytest.mark.parametrize("size", [1, 2, 501])
 def test_middle_values_match_sorting(spark, widths, size):
     rng = random.Random(size)
     values = [rng.randint(-5_000_000, 5_000_000) for _ in range(size)]
@@ -129,10 +143,11 @@ def test_widths_must_reach_single_values(spark):
         middle_values(spark.range(3).withColumnRenamed("id", "v"), "v", widths=(10,))
 
 
-@pytest.mark.parametrize("z", [0.0, 0.3, -1.0, 1.96, 2.7, 2.9, -5.0, 10.07, 30.0])
-def test_normal_tail(spark, z):
-    p = spark.range(1).select(normal_two_sided_p(F.lit(z))).first()[0]
-    assert p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-12)
+def test_normal_tail(spark):
+    points = [0.0, 0.3, -1.0, 1.96, 2.7, 2.9, -5.0, 10.07, 30.0]
+    df = spark.createDataFrame([(z,) for z in points], "z double")
+    for z, p in df.select("z", normal_two_sided_p(F.col("z"))).collect():
+        assert p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-12)
 
 
 def student_tail_by_integration(t, nu):
@@ -150,11 +165,11 @@ def student_tail_by_integration(t, nu):
     return 2 * total / (3 * n)
 
 
-@pytest.mark.parametrize("nu", [1, 2, 3, 4, 17, 18, 60, 201])
-@pytest.mark.parametrize("t", [0.0, 0.4, -1.3, 3.27, 12.0])
-def test_student_tail(spark, t, nu):
-    p = spark.range(1).select(student_two_sided_p(F.lit(t), F.lit(nu))).first()[0]
-    assert p == pytest.approx(student_tail_by_integration(t, nu), rel=1e-7, abs=1e-300)
+def test_student_tail(spark):
+    points = [(t, nu) for t in (0.0, 0.4, -1.3, 1.99, 3.27, 12.0) for nu in (1, 2, 3, 17, 18, 60, 201)]
+    df = spark.createDataFrame(points, "t double, nu bigint")
+    for t, nu, p in df.select("t", "nu", student_two_sided_p(F.col("t"), F.col("nu"))).collect():
+        assert p == pytest.approx(student_tail_by_integration(t, nu), rel=1e-7, abs=1e-300)
 
 
 def test_published_correlation_is_significant(spark):
@@ -164,14 +179,11 @@ def test_published_correlation_is_significant(spark):
     assert round(p, 3) == 0.004
 
 
-@pytest.mark.parametrize(
-    "pct, n, low, high",
-    [(15.22, 335, 11.37, 19.07), (13.87, 476, 10.76, 16.98), (12.16, 3256, 11.04, 13.28)],
-)
-def test_published_intervals(spark, pct, n, low, high):
-    bounds = wald_interval(F.lit(pct), F.lit(n))
-    found = spark.range(1).select(*[rounded(b) for b in bounds]).first()
-    assert tuple(found) == (low, high)
+def test_published_intervals(spark):
+    df = spark.createDataFrame([(15.22, 335), (13.87, 476), (12.16, 3256)], "pct double, n int")
+    low, high = wald_interval("pct", "n")
+    found = [tuple(r) for r in df.select(rounded(low), rounded(high)).collect()]
+    assert found == [(11.37, 19.07), (10.76, 16.98), (11.04, 13.28)]
 
 
 def test_two_proportions(spark):
