@@ -28,6 +28,7 @@ from ..operators.delivered import (
     order_values,
     with_review_score,
 )
+from ..operators.joins import lookup
 from ..settings import Settings
 from ..sources.tables import ENGLISH_CATEGORY
 
@@ -287,7 +288,8 @@ def category_analysis(t: Tables, s: Settings) -> DataFrame:
         .groupBy(category)
         .agg(rounded(ratio(F.sum(weight), F.count(weight))).alias("avg_weight_g"))
     )
-    named_items = t["order_items"].join(t["products"].select("product_id", category), "product_id")
+    items = t["order_items"].select("order_id", "product_id", "price", "freight_value")
+    named_items = lookup(items, t["products"].select("product_id", category), "product_id")
     return (
         item_values(named_items, "order_id", "category")
         .join(late, "order_id")

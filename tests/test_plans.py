@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as registry
 from orderlens.operators.cleaning import clean_all, clean_reviews
+from orderlens.operators.joins import lookup
 from orderlens.plans import business_cases, chart_data, kpis
 from orderlens.plans.catalogue import QUERIES
 from orderlens.settings import Settings
@@ -197,3 +198,24 @@ def test_items_of_an_order_are_summed_before_the_shuffle(saved, no_broadcast):
         for match in re.finditer(r"Exchange hashpartitioning\(order_id#\d+L?, (seller_id|category)", text):
             following = text[match.start():].splitlines()[1]
             assert "HashAggregate" in following and "partial_sum" in following
+
+
+def test_lookup_of_a_large_table_with_hot_keys(spark, skewed, no_broadcast):
+    _, items, _, raw = skewed
+    many = raw["order_items"].unionByName(raw["order_items"].limit(1).selectExpr(
+        *[f"CAST(NULL AS STRING) AS {c}" if c == "product_id" else c
+          for c in raw["order_items"].columns]))
+    one = raw["products"].where("product_id <> 'p49'").selectExpr(
+        "product_id", "product_category_name AS category", "product_weight_g AS weight")
+    category = {r["product_id"]: (r["category"], r["weight"]) for r in one.collect()}
+    expected = sorted((i[0], i[1], i[2], str(category[i[2]])) for i in items if i[2] in category)
+    for limit in (0, 10, 10_000):
+        joined = lookup(many, one, "product_id", broadcast_rows=limit)
+        assert joined.columns == ["product_id", *[c for c in many.columns if c != "product_id"],
+                                  "category", "weight"]
+        found = sorted((r["order_id"], r["order_item_id"], r["product_id"],
+                        str((r["category"], r["weight"]))) for r in joined.collect())
+        assert found == expected
+        assert ("SortMergeJoin" in plan(joined)) == (limit < 10_000)
+    empty = lookup(many.limit(0), one, "product_id", broadcast_rows=0)
+    assert empty.collect() == []
