@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from .plans import etl_job
 from .plans.catalogue import AUDITS, QUERIES
-from .session import SETTINGS
+from .session import SETTINGS, shuffle_settings
 from .settings import Settings
 from .sources.parquet_files import load_all
 
@@ -31,11 +31,15 @@ def main(argv: list[str] | None = None) -> None:
     query.add_argument("name", choices=[*QUERIES, *AUDITS])
     query.add_argument("tables")
     query.add_argument("--rows", type=int, default=50, help="rows to print")
+    for command in (load, query):
+        command.add_argument(
+            "--shuffled-gb", type=int, default=0, help="expected size of the largest shuffle"
+        )
     args = parser.parse_args(argv)
 
     logging.basicConfig(level=logging.INFO, format="%(asctime)s | %(levelname)s | %(message)s")
     builder = SparkSession.builder.appName("orderlens")
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **shuffle_settings(args.shuffled_gb << 30)}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     if args.command == "load":

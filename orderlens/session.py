@@ -6,17 +6,28 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Adaptive execution sizes shuffles, splits skewed join partitions and turns
-# joins with a side that proves small into broadcasts.
+# Adaptive execution sizes shuffles, splits skewed join partitions, turns joins
+# with a side that proves small into broadcasts, and hashes instead of sorting
+# where every partition of one side proves small.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.ui.enabled": "false",
 }
 
 
+# Shuffled data a task should hold, well inside an executor's memory per core.
+PARTITION_BYTES = 128 << 20
+
+
+def shuffle_settings(shuffled_bytes: int) -> dict[str, str]:
+    """Enough shuffle partitions for the given bytes; adaptive execution merges spare ones."""
+    return {"spark.sql.shuffle.partitions": str(max(200, -(-shuffled_bytes // PARTITION_BYTES)))}
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra) -> SparkSession:
     """A single-machine session for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("orderlens")

@@ -4,9 +4,10 @@ from decimal import Decimal
 
 import pytest
 
+from orderlens.__main__ import main
 from orderlens.operators.delivered import DELIVERED_COLUMNS
 from orderlens.plans import etl_job
-from orderlens.session import use_checkpoint_dir
+from orderlens.session import shuffle_settings, use_checkpoint_dir
 from orderlens.sources.csv_files import read_all, read_table
 from orderlens.sources.parquet_files import load_all, save_all, table_path
 from orderlens.sources.tables import ALL_TABLES, ORDER_REVIEWS, PRODUCTS, SELLERS, published_columns
@@ -166,6 +167,20 @@ def test_views_for_sql(spark, folder, tmp_path):
     assert total == Decimal("72.30")
 
 
+def test_command_line(spark, folder, tmp_path, capsys):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    main(["load", str(folder), str(tmp_path / "p"), "--database", "shop_d", "--batch", "one"])
+    assert spark.table("shop_d.orders").count() == 2
+    main(["query", "late_delivery_rate", str(tmp_path / "p")])
+    assert "|1               |0          |0.0          |8.44" in capsys.readouterr().out
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_shuffle_partitions_follow_the_data():
+    assert shuffle_settings(0) == {"spark.sql.shuffle.partitions": "200"}
+    assert shuffle_settings(25 << 40) == {"spark.sql.shuffle.partitions": "204800"}
+
+
 def test_orders_are_sorted_by_purchase_inside_files(spark, folder, tmp_path):
     raw = read_all(spark, str(folder))
     save_all({"orders": raw["orders"].orderBy("order_id", ascending=False)}, str(tmp_path))
