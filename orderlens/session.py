@@ -15,7 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
@@ -33,7 +33,12 @@ def shuffle_settings(shuffled_bytes: int) -> dict[str, str]:
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra) -> SparkSession:
     """A single-machine session for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("orderlens")
-    settings = {**SETTINGS, "spark.sql.shuffle.partitions": str(shuffle_partitions), **extra}
+    settings = {
+        **SETTINGS,
+        "spark.driver.memory": "8g",
+        "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        **extra,
+    }
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
