@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import simhash
+from orderlens.llm import packing, quality_rules, simhash
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,29 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """A vocabulary file of the public tokenizers, which every machine has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Runner] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 # DuckDB SQL of the queries that SQL can express.
