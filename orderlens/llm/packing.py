@@ -94,7 +94,7 @@ def tokenized_pieces(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_ids(tokenizer)
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches):
             rows, numbers, starts, lengths, sums = [], [], [], [], []
             for row, ids in enumerate(known.of_texts([t.decode() for t in texts])):
                 ids += end

@@ -198,7 +198,7 @@ def quality_rules(
     """
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches):
             found = _measured(texts, min_repeat, max_covered, max_repeat)
             columns = [part.column("key"), *[pa.array(values) for values in found.values()]]
             names = ["key", *found]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import packing, quality_rules, simhash
+from orderlens.llm import packing, quality_rules, simhash, toxicity
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -34,10 +34,15 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, folder, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Runner] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
 }
 
 # DuckDB SQL of the queries that SQL can express.

@@ -44,7 +44,7 @@ def fingerprints(
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches):
             found = np.fromiter((_fingerprint(t, words) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays(
                 [part.column("key"), pa.array(found.view(np.int64))], ["key", "fingerprint"]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderlens.session import use_checkpoint_dir
 
@@ -36,22 +37,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """All columns as one column ``row``, so that added columns cannot clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"))
+
+
+def column_of(name: str, field: str | None = None) -> Callable[[pa.RecordBatch], pa.Array]:
+    """A column of a batch, or a field of a struct column."""
+    if field is None:
+        return lambda batch: batch.column(name)
+    return lambda batch: batch.column(name).field(field)
+
+
 def slices(
-    batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES
+    batches: Iterator[pa.RecordBatch],
+    text_of: Callable[[pa.RecordBatch], pa.Array] = column_of("text"),
+    limit: int = SLICE_BYTES,
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows with about ``limit`` bytes of text, and their texts (null: empty) as UTF-8.
 
     A longer text is a run of its own.
     """
     for batch in batches:
-        text = batch.column(column)
-        lengths = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(text_of(batch)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths.astype(np.int64))
         start = 0
         while start < len(lengths):
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             part = batch.slice(start, stop - start)
-            texts = part.column(column).cast(pa.binary()).to_pylist()
+            texts = text_of(part).cast(pa.binary()).to_pylist()
             yield part, [t or b"" for t in texts]
             start = stop
