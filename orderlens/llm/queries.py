@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import packing, quality_rules, simhash, toxicity
+from orderlens.llm import packing, quality_classifier, quality_rules, simhash, toxicity
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,11 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    return quality_classifier.quality_scores(docs, labels)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -40,6 +45,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Runner] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
