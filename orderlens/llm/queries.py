@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderlens.llm import packing, quality_classifier, quality_rules, simhash, toxicity
+from orderlens.llm import packing, quality_classifier, quality_rules, simhash, toxicity, url_filter
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,81 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Pages carry no fetch day and there is no list, so both follow from the page:
+# every seventh page changes a list by its host, its first path segment or its address.
+FETCHED = "date_add(DATE'2024-01-01', CAST(page_id * 7919 % 365 AS INT))"
+CHANGED = "date_add(DATE'2024-01-01', CAST(page_id * 31 % 365 AS INT))"
+
+
+def captures_and_changes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    captures = pages.select("page_id", "url", F.expr(FETCHED).alias("fetched"))
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    first = F.substring_index(path, "/", 1)
+    key = (
+        F.when(F.expr("page_id % 3 = 0"), F.concat(F.lit("host "), host))
+        .when(F.expr("page_id % 3 = 1"), F.concat(F.lit("path "), host, F.lit("/"), first))
+        .otherwise(F.concat(F.lit("address "), host, F.lit("/"), path))
+    )
+    changes = pages.where("page_id % 7 = 0").select(
+        F.when(F.expr("page_id % 2 = 0"), "malware").otherwise("spam").alias("list"),
+        key.alias("key"),
+        F.when(F.expr("page_id % 5 < 2"), url_filter.ADD).otherwise(url_filter.REMOVE).alias("action"),
+        F.expr(CHANGED).alias("day"),
+    )
+    return captures, changes
+
+
+def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    captures, changes = captures_and_changes(_table(spark, folder, "pages"))
+    return url_filter.filter_urls(captures, changes).select(
+        "row.page_id", F.col("row.fetched").cast("string").alias("fetched"), "host", "n_entries", "lists", "kept"
+    )
+
+
+URL_FILTERS_SQL = r"""
+WITH parsed AS (
+  SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id * 7919 % 365 AS INT) AS DATE) AS fetched,
+         regexp_replace(regexp_replace(regexp_replace(
+           lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)),
+           '^.*@', ''), '(:[0-9]*)?$', ''), '\.$', '') AS site,
+         list_filter(string_split(
+           regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)', 2), '/'), lambda s: s <> '') AS segments
+  FROM pages
+), addressed AS (
+  SELECT page_id, fetched, CASE WHEN site <> '' THEN site END AS host, segments,
+         array_to_string(segments, '/') AS path, string_split(site, '.') AS labels
+  FROM parsed
+), changes AS (
+  SELECT CASE WHEN page_id % 2 = 0 THEN 'malware' ELSE 'spam' END AS list,
+         CASE WHEN page_id % 3 = 0 THEN 'host ' || host
+              WHEN page_id % 3 = 1 THEN 'path ' || host || '/' || coalesce(segments[1], '')
+              ELSE 'address ' || host || '/' || path END AS key,
+         max(CASE WHEN page_id % 5 < 2 THEN 1 ELSE 0 END) AS listed,
+         CAST(DATE '2024-01-01' + CAST(page_id * 31 % 365 AS INT) AS DATE) AS day
+  FROM addressed WHERE page_id % 7 = 0 AND host IS NOT NULL GROUP BY ALL
+), intervals AS (
+  SELECT list, key, listed, day AS valid_from, lead(day) OVER (PARTITION BY list, key ORDER BY day) AS valid_to
+  FROM changes
+), probes AS (
+  SELECT page_id, fetched, 'host ' || array_to_string(labels[i:], '.') AS key
+  FROM (SELECT *, unnest(range(1, greatest(2, len(labels)))) AS i FROM addressed WHERE host IS NOT NULL)
+  UNION ALL
+  SELECT page_id, fetched, 'path ' || host || '/' || array_to_string(segments[:i], '/')
+  FROM (SELECT *, unnest(range(1, len(segments) + 1)) AS i FROM addressed WHERE host IS NOT NULL)
+  UNION ALL
+  SELECT page_id, fetched, 'address ' || host || '/' || path FROM addressed WHERE host IS NOT NULL
+), found AS (
+  SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
+  FROM probes JOIN intervals USING (key)
+  WHERE listed = 1 AND fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)
+  GROUP BY page_id
+)
+SELECT page_id, CAST(fetched AS VARCHAR) AS fetched, host, coalesce(n, 0) AS n_entries,
+       coalesce(lists, '') AS lists, n IS NULL AS kept
+FROM addressed LEFT JOIN found USING (page_id)
+"""
+
+
 def _tokenizer(name: str) -> str:
     """A vocabulary file of the public tokenizers, which every machine has installed."""
     import public_tokenizers
@@ -44,6 +120,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Runner] = {
+    "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
@@ -52,4 +129,6 @@ QUERIES: dict[str, Runner] = {
 }
 
 # DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filters": URL_FILTERS_SQL,
+}
