@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import packing, quality_classifier, quality_rules, simhash, toxicity, url_filter
+from orderlens.llm import (
+    graph_index,
+    packing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    toxicity,
+    url_filter,
+)
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -111,6 +119,10 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return graph_index.nearest(_table(spark, folder, "embeddings"), F.expr("vec_id % 50 = 0"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, folder, "documents"))
 
@@ -124,6 +136,7 @@ QUERIES: dict[str, Runner] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
 }
