@@ -15,7 +15,9 @@ cell costs at most a few sequences more than one packing of everything would.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,9 +35,21 @@ END_ID = 0
 GROUPS = 64
 SMALL_PART = 8
 CELL_PIECES = 1 << 16
-# Words whose ids a worker remembers (in two generations), and the longest such word.
-MEMORY_WORDS = 300_000
+# Words (in two generations) and pre-tokens whose ids a worker remembers, and the longest of them.
+MEMORY_WORDS, MEMORY_TOKENS = 250_000, 600_000
 MEMORY_CHARS = 64
+# Letters that normalization only lower-cases, and signs but the apostrophe (which may take a letter).
+PLAIN_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return {byte: chr(byte) for byte in shown} | {byte: chr(256 + i) for i, byte in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class WordIds(dict):
@@ -43,42 +57,50 @@ class WordIds(dict):
 
     The pre-tokenizer never joins text across white space, so a text's ids are
     those of its words one after the other. Only characters that every Unicode
-    version counts as white space separate words here.
+    version counts as white space separate words here. A word of plain letters and
+    signs behind them is two pre-tokens, whose ids the model gives without
+    normalization; any other word goes the whole way.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.older: dict[str, bytes] = {}
-
-    def of_texts(self, texts: list[str]) -> list[bytes]:
-        if len(self) > MEMORY_WORDS:
-            self.older = dict(self)
-            self.clear()
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        fresh = set().union(*split).difference(self)
-        self.update((w, self.older[w]) for w in fresh & self.older.keys())
-        fresh.difference_update(self)
-        self.learn([w for w in fresh if len(w) <= MEMORY_CHARS])
-        own = {w: self.encode(w) for w in fresh if len(w) > MEMORY_CHARS}
-        if own:
-            return [b"".join([own[w] if w in own else self[w] for w in words]) for words in split]
-        return [b"".join(map(self.__getitem__, words)) for words in split]
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Tokenize the words in one go and cut the ids at the words' places."""
-        if not words:
-            return
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        places = np.array([start for start, _ in found.offsets], np.int64)
-        starts = np.cumsum([0] + [len(w) + 1 for w in words])
-        cuts = np.searchsorted(places, starts).tolist()
-        for word, start, stop in zip(words, cuts, cuts[1:]):
-            self[word] = ids[start:stop].tobytes()
+        self.tokens: dict[str, bytes] = {"": b""}
+
+    def of_texts(self, texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            if len(self) > MEMORY_WORDS:
+                self.older = dict(self)
+                self.clear()
+            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            yield b"".join(map(self.__getitem__, words))
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            parts = PLAIN_WORD(word)
+            if parts:
+                found = self.token(parts[1].lower()) + self.token(parts[2])
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                found = array("I", ids).tobytes()
+        if len(word) <= MEMORY_CHARS:
+            self[word] = found
+        return found
+
+    def token(self, text: str) -> bytes:
+        """The ids of one normalized pre-token."""
+        found = self.tokens.get(text)
+        if found is None:
+            if len(self.tokens) > MEMORY_TOKENS:
+                self.tokens = {"": b""}
+            letters = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+            found = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
+            if len(text) <= MEMORY_CHARS:
+                self.tokens[text] = found
+        return found
 
 
 @lru_cache(maxsize=2)
