@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orderlens.llm import (
     graph_index,
     packing,
+    piece_sampling,
     quality_classifier,
     quality_rules,
     simhash,
@@ -110,6 +111,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op3_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_sampling.round_trip(_table(spark, folder, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     return quality_classifier.quality_scores(docs, labels)
@@ -134,6 +139,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Runner] = {
     "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
