@@ -14,6 +14,8 @@ from orderlens.llm import (
     quality_classifier,
     quality_rules,
     simhash,
+    substring_dedup,
+    suffix_dedup,
     toxicity,
     url_filter,
 )
@@ -115,6 +117,11 @@ def op3_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     return piece_sampling.round_trip(_table(spark, folder, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.remove_repeated_words(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     return quality_classifier.quality_scores(docs, labels)
@@ -136,15 +143,23 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeated_bytes(_table(spark, folder, "documents").select("doc_id", "text"))
+    kept = F.sha2("kept", 256).alias("kept_sha256")
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", kept)
+
+
 QUERIES: dict[str, Runner] = {
     "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 # DuckDB SQL of the queries that SQL can express.
