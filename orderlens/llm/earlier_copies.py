@@ -35,14 +35,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm import anchors
-from orderlens.llm.workspace import slices, written
+from orderlens.llm.workspace import slices, small, written
 
 BLOCK_SYMBOLS = 1 << 20
 BUCKET_CONTENTS = 16_384
 HOT_CONTENTS = 4096
-# Rows of a few numbers that may be broadcast (some tens of MB), counted before.
-BROADCAST_ROWS = 1_500_000
-
 # From the anchors and symbols of passages, ordered by anchor and then by place, and the
 # window: for each passage a mask of its windows with a copy in an earlier passage.
 Resolver = Callable[[np.ndarray, list[np.ndarray], int], list[np.ndarray]]
@@ -96,10 +93,6 @@ def _all_runs(symbols_of, window: int, gram: int):
     return found
 
 
-def _small(rows: DataFrame, count: int) -> DataFrame:
-    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
-
-
 def earlier_copies(
     docs: DataFrame,
     symbols_of: Callable,
@@ -124,7 +117,7 @@ def earlier_copies(
     shared = written(
         shared.where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("differ")), "shared"
     )
-    runs = written(runs.join(_small(shared, shared.count()), "anchor"), "shared-runs")
+    runs = written(runs.join(small(shared, shared.count()), "anchor"), "shared-runs")
     contents = runs.groupBy("anchor", "content").agg(
         F.min(F.struct("key", "start")).alias("at"), F.first("windows").alias("windows"),
         F.first("differ").alias("differ"),
@@ -138,7 +131,7 @@ def earlier_copies(
     sizes = unsure.groupBy("anchor").agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > hot_contents).select("anchor", F.lit(True).alias("hot"))
     hot = written(hot, "hot")
-    unsure = unsure.join(_small(hot, hot.count()), "anchor", "left")
+    unsure = unsure.join(small(hot, hot.count()), "anchor", "left")
     passages = written(_passages(docs, unsure, symbols_of, window), "passages")
     kind = symbols_of([])[0].dtype.type
     spans = spans.unionByName(_by_bucket(passages.where("hot IS NULL"), kind, window, resolve))
@@ -154,7 +147,7 @@ def _passages(docs: DataFrame, wanted: DataFrame, symbols_of: Callable, window:
     )
     grouped = written(grouped.select("key", "runs.start", "runs.windows", "runs.anchor", "runs.hot"), "wanted")
     total = grouped.agg(F.coalesce(F.sum(F.size("start")), F.lit(0))).first()[0]
-    rows = docs.join(_small(grouped, total), "key")
+    rows = docs.join(small(grouped, total), "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
@@ -239,5 +232,5 @@ def with_spans(docs: DataFrame, key: str, spans: DataFrame) -> DataFrame:
     grouped = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("s"))
     grouped = grouped.select("key", F.col("s.start").alias("starts"), F.col("s.length").alias("lengths"))
     rows = docs.select(F.struct("*").alias("row"))
-    rows = rows.join(_small(grouped, spans.count()), F.col(f"row.{key}") == F.col("key"), "left")
+    rows = rows.join(small(grouped, spans.count()), F.col(f"row.{key}") == F.col("key"), "left")
     return rows.select("row", "starts", "lengths")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.components import connected_components
-from orderlens.llm.workspace import slices, written
+from orderlens.llm.workspace import slices, small, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -154,3 +154,19 @@ def near_duplicates(
     return prints.join(of_print, "fingerprint").select(
         key, hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id"
     )
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose key is the smallest of their component, all columns kept.
+
+    Of several rows with the same key one stays, any if they differ. A row with a
+    null key has no duplicates.
+    """
+    found = near_duplicates(docs, key, text)
+    gone = written(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "near-duplicates")
+    kept = docs.join(small(gone, gone.count()), key, "left_anti")
+    keys = docs.where(F.col(key).isNotNull()).groupBy(key).count()
+    if keys.where("count > 1").isEmpty():
+        return kept
+    unnamed = kept.where(F.col(key).isNull())
+    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(unnamed)

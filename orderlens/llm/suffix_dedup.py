@@ -75,12 +75,15 @@ def remove_repeated_bytes(
     window: int = WINDOW,
     gram: int = GRAM,
     hot_contents: int = HOT_CONTENTS,
+    as_text: bool = False,
 ) -> DataFrame:
     """``row`` (all columns of docs), ``n_bytes, n_removed, n_spans`` and ``kept``, the bytes that stay.
 
     A byte goes if a string of ``window`` bytes around it also starts earlier: in a
     document with a smaller key, or before it in the same document, judged on the
     texts as given, as UTF-8. ``n_spans`` counts the maximal runs of removed bytes.
+    ``as_text`` gives what stays as text, less the characters that lost some of
+    their bytes.
     Keys are integers; rows with the same key count as one document. A null or
     empty text has no bytes; a row with a null key keeps all of them and removes
     none elsewhere. An empty table gives no rows.
@@ -102,11 +105,16 @@ def remove_repeated_bytes(
                 rest = b"".join(kept)
                 found.append((len(own), len(own) - len(rest), len(starts or []), rest))
             n_bytes, n_removed, n_spans, rest = zip(*found)
+            if as_text:
+                rest = pa.array([r.decode(errors="ignore") for r in rest], pa.string())
+            else:
+                rest = pa.array(rest, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), *map(pa.array, (n_bytes, n_removed, n_spans)), pa.array(rest, pa.binary())],
+                [part.column("row"), *map(pa.array, (n_bytes, n_removed, n_spans)), rest],
                 ["row", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     added = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
-    schema = T.StructType([rows.schema["row"], *added, T.StructField("kept", T.BinaryType())])
+    kind = T.StringType() if as_text else T.BinaryType()
+    schema = T.StructType([rows.schema["row"], *added, T.StructField("kept", kind)])
     return rows.mapInArrow(cut, schema)

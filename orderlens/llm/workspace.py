@@ -15,6 +15,8 @@ from orderlens.session import use_checkpoint_dir
 
 # Text bytes that a Python step looks at in one go.
 SLICE_BYTES = 4 << 20
+# Rows of a few numbers that may be broadcast, some tens of MB.
+BROADCAST_ROWS = 1_500_000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small(rows: DataFrame, count: int) -> DataFrame:
+    """The rows, to be broadcast if their count, taken before, allows it."""
+    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
+
+
 def whole_rows(docs: DataFrame) -> DataFrame:
     """All columns as one column ``row``, so that added columns cannot clash with them."""
     return docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"))
