@@ -1,0 +1,89 @@
+import random
+
+import pytest
+import xxhash
+
+from orderlens.llm import simhash
+from tests.llm.helpers import AWKWARD, collected, documents, prose
+
+
+def fingerprint(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(prints, bits):
+    """Smallest id reachable over pairs within the limit, all pairs tried."""
+    least = {i: i for i in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if (prints[a] ^ prints[b]).bit_count() <= bits and least[b] < least[a]:
+                    least[a], changed = least[b], True
+    return least
+
+
+def near_copies():
+    draw, texts = random.Random(4), []
+    for group in range(6):
+        words = prose(group + 100, 300).split()
+        for _ in range(6):
+            words[draw.randrange(300)] = "changed"
+            texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("list_limit", [1, 1000])
+def test_against_all_pairs(spark, list_limit):
+    texts = near_copies() + AWKWARD
+    found = simhash.near_duplicates(documents(spark, texts), list_limit=list_limit)
+    prints = {i: fingerprint(t) for i, t in enumerate(texts)}
+    least = components(prints, 2)
+    expected = sorted((i, f"{p:016x}", least[i]) for i, p in prints.items())
+    assert collected(found, "doc_id", "fingerprint", "component_id") == expected
+    assert len(set(least.values())) < len(texts) - 10
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+@pytest.mark.parametrize("list_limit", [1, 1000])
+def test_links_of_random_fingerprints(spark, bits, list_limit):
+    draw = random.Random(bits)
+    values = {draw.getrandbits(64) for _ in range(30)}
+    for value in list(values):
+        for _ in range(4):
+            value ^= 1 << draw.randrange(64)
+            values.add(value)
+    prints = dict(enumerate(sorted(values)))
+    signed = [(i, v - (1 << 64) if v >> 63 else v) for i, v in prints.items()]
+    nodes = spark.createDataFrame(signed, "node bigint, fingerprint bigint")
+    pairs = simhash.links(nodes, bits, list_limit)
+    found = simhash.connected_components(pairs, "a", "b")
+    least = {i: i for i in prints} | dict(collected(found, "node", "component"))
+    assert least == components(prints, bits)
+
+
+def test_null_keys_empty_table_and_clashing_columns(spark):
+    texts = [(None, "a b c"), (5, "a b c"), (3, "A  B\tC")]
+    docs = documents(spark, texts, ["1 AS node", "'x' AS fingerprint", "2 AS component_id"])
+    assert [(r[0], r[2]) for r in simhash.near_duplicates(docs).collect()] in ([(5, 3), (3, 3)], [(3, 3), (5, 3)])
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    kept = simhash.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {None, 3}
+
+
+def test_repeated_rows_leave_one(spark):
+    docs = documents(spark, [(1, "a b c"), (1, "a b c"), (2, "quite another text")])
+    assert collected(simhash.without_near_duplicates(docs), "doc_id") == [(1,), (2,)]
+
+
+def test_one_component_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(None, 3), (7, 7)], "a bigint, b bigint")
+    found = simhash.connected_components(edges, "a", "b")
+    assert collected(found, "node", "component") == [(i, 0) for i in range(61)]
