@@ -1,6 +1,6 @@
 """One SQL text per registered query."""
 
-from .shop import SHOP, big, dbl, div, pct, r
+from .shop import SHOP, big, dbl, div, pct, r, sig
 
 LATE = "COUNT(*) FILTER (WHERE late)"
 LATE_RATE = pct(LATE, "COUNT(late)")
@@ -93,7 +93,7 @@ def _null_counts(table: str, source: str, columns: dict[str, str]) -> str:
 # Shop columns by table: name in the result and the SQL expression behind it.
 _COLUMNS = {
     "customers": ("shoppers", {
-        "customer_id": "ck", "customer_unique_id": "ck", "customer_zip_code_prefix": "zip",
+        "customer_id": "ck", "customer_unique_id": "ck - ck % 2", "customer_zip_code_prefix": "zip",
         "customer_city": "city", "customer_state": "state",
     }),
     "sellers": ("shops", {
@@ -339,7 +339,7 @@ _BODIES = {
       SELECT {big('COUNT(*)')} AS customers,
              {big('COUNT(*) FILTER (WHERE n >= 2)')} AS repeat_customers,
              {r(pct('COUNT(*) FILTER (WHERE n >= 2)', 'COUNT(*)'))} AS repeat_purchase_pct
-      FROM (SELECT ck, COUNT(*) AS n FROM shop_orders JOIN shoppers USING (ck) GROUP BY ck)""",
+      FROM (SELECT ck - ck % 2, COUNT(*) AS n FROM shop_orders JOIN shoppers USING (ck) GROUP BY 1)""",
     "carrier_share": f"""
       SELECT {big('COUNT(*)')} AS orders,
              {r(days('SUM(seller_micros)', 'COUNT(*)'))} AS avg_seller_days,
@@ -371,9 +371,9 @@ _BODIES = {
       FROM ({_BUFFER})""",
     "buffer_late_significance": f"""
       SELECT {big('n')} AS months, {r('r', 6)} AS r,
-             {r('2 * ' + _integral(
+             {sig('2 * ' + _integral(
                  "exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(nu * pi())"
-                 " * pow(1 + x * x / nu, -(nu + 1) / 2)", 't'), 8)} AS p_value
+                 " * pow(1 + x * x / nu, -(nu + 1) / 2)", 't'))} AS p_value
       FROM (
         SELECT *, abs(r) * sqrt(nu / (1 - r * r)) AS t
         FROM (SELECT COUNT(*) AS n, {dbl('COUNT(*) - 2')} AS nu, corr(buffer, late_rate) AS r
@@ -393,7 +393,7 @@ _BODIES = {
     "low_score_z_test": f"""
       SELECT {r(pct('x0', 'n0'))} AS base_rate_pct, {r(pct('x1', 'n1'))} AS next_rate_pct,
              {r('z', 6)} AS z,
-             {r('2 * ' + _integral('exp(-x * x / 2) / sqrt(2 * pi())', 'abs(z)'), 8)} AS p_value
+             {sig('2 * ' + _integral('exp(-x * x / 2) / sqrt(2 * pi())', 'abs(z)'))} AS p_value
       FROM (
         SELECT *, (x1 / n1 - x0 / n0)
                   / sqrt((x0 + x1) / (n0 + n1) * (1 - (x0 + x1) / (n0 + n1))
@@ -462,7 +462,7 @@ _BODIES = {
     "audit_duplicate_reviews": f"""
       SELECT {big('COUNT(*) FILTER (WHERE n > 1)')} AS repeated_keys,
              {big('SUM(n) - COUNT(*)')} AS extra_rows
-      FROM (SELECT COUNT(*) AS n FROM reviews GROUP BY k)""",
+      FROM (SELECT COUNT(*) AS n FROM all_reviews GROUP BY k)""",
     "audit_primary_keys": _union([_key_check(t) for t in _KEYS]),
     "audit_required_columns": _union([
         _null_counts(t, _COLUMNS[t][0], {c: _COLUMNS[t][1][c] for c in required})
@@ -522,8 +522,8 @@ _BODIES = {
     "audit_customer_identity": _union([
         f"""SELECT '{c}' AS id_column, {big('COUNT(*)')} AS distinct_ids,
                    {big('MAX(n)')} AS max_rows_per_id
-            FROM (SELECT COUNT(*) AS n FROM shoppers GROUP BY ck)"""
-        for c in ("customer_id", "customer_unique_id")
+            FROM (SELECT COUNT(*) AS n FROM shoppers GROUP BY {expr})"""
+        for c, expr in (("customer_id", "ck"), ("customer_unique_id", "ck - ck % 2"))
     ]),
     "audit_window_coverage": f"""
       SELECT {text('MIN(CAST(ts AS DATE))')} AS first_purchase_date,

@@ -10,6 +10,11 @@ def r(value: str, places: int = 2) -> str:
     return f"CAST(ROUND(CAST({value} AS DECIMAL(38,8)), {places}) AS DOUBLE)"
 
 
+def sig(value: str) -> str:
+    """Six significant digits, through text."""
+    return f"CAST(printf('%.5e', {value}) AS DOUBLE)"
+
+
 def div(a: str, b: str) -> str:
     """Double division, NULL on a zero divisor."""
     return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0))"
@@ -76,7 +81,8 @@ reviews AS (
   QUALIFY row_number() OVER (PARTITION BY k ORDER BY answered DESC NULLS FIRST, review_id DESC) = 1
 ),
 items AS (
-  SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS pk, l_suppkey AS sk,
+  SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS pk, 
+         CASE WHEN l_suppkey = 1 AND l_orderkey % 97 <> 0 THEN 2 ELSE l_suppkey END AS sk,
          l_shipdate AS ship_limit,
          CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
          CAST(l_quantity AS DECIMAL(12,2)) AS freight

@@ -12,6 +12,8 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MICROS_PER_SECOND = 1_000_000
+SECONDS_PER_DAY = 86_400.0
 MICROS_PER_DAY = 86_400_000_000.0
 
 
@@ -26,12 +28,30 @@ def micros_between(start: Column | str, end: Column | str) -> Column:
 
 
 def as_days(micros: Column | str) -> Column:
-    """Fractional days of a number of microseconds.
+    """Fractional days of a number of microseconds. Totals are `total_days`, not sums of these."""
+    return column(micros).cast("double") / F.lit(MICROS_PER_DAY)
+
 
-    Totals are taken over these doubles: a BIGINT sum of microseconds would
-    overflow after some ten million ten-day durations.
+def split_sum(micros: Column | str) -> tuple[Column, Column]:
+    """Sums of the whole seconds and of the microseconds beyond them, two exact BIGINTs.
+
+    A single BIGINT sum would overflow after some ten million ten-day durations;
+    these two have room for 9e12 of them and do not depend on the rows' order.
     """
-    return column(micros).cast("double") / F.lit(MICROS_PER_DAY)
+    beyond = F.pmod(column(micros), F.lit(MICROS_PER_SECOND))
+    seconds = ((column(micros) - beyond) / MICROS_PER_SECOND).cast("bigint")
+    return F.sum(seconds), F.sum(beyond)
+
+
+def mean_days(seconds: Column | str, beyond: Column | str, n: Column | str) -> Column:
+    """Mean fractional days from the two sums of `split_sum`; NULL without rows."""
+    total = column(seconds).cast("double") + column(beyond).cast("double") / MICROS_PER_SECOND
+    return total / SECONDS_PER_DAY / F.nullif(column(n).cast("double"), F.lit(0.0))
+
+
+def average_days(micros: Column | str) -> Column:
+    """Mean fractional days of the non-null durations, as an aggregate."""
+    return mean_days(*split_sum(micros), F.count(column(micros)))
 
 
 def calendar_days_between(start: Column | str, end: Column | str) -> Column:

@@ -11,9 +11,9 @@ number is bounded by the bucket widths and not by the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, GroupedData, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,51 +27,73 @@ def middle_values(
     keys: Sequence[str] = (),
     widths: Sequence[int] = (1_000_000, 1),
     groups_at_most: int | None = None,
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Lower and upper middle value of an integer column, NULLs ignored.
 
-    Returns ``keys + (lower, upper)``, the exact median being their mean; the
-    two are equal for an odd number of rows. Without keys there is always one
-    row, holding NULLs for an empty input. ``widths`` descend to 1.
+    Returns ``keys + (lower, upper)`` and the totals, the exact median being the
+    mean of the two, which are equal for an odd number of values. Without keys
+    there is always one row, holding NULLs for an empty input. ``widths`` descend
+    to 1. ``totals`` are sums or counts over all rows of a group, NULL values
+    included; the first pass takes them along.
 
     With a known small number of groups the located buckets are broadcast and
-    only their rows are counted again. Otherwise rows are counted per finer
-    bucket first and the counts joined to the located buckets, so a group with
-    very many equal values is one row per task.
+    only their rows are counted again. Otherwise rows are counted per value
+    first and the counts joined to the located buckets, so a group with very
+    many equal values is one row per task. Buckets of the widths in between are
+    made of these counts, without another scan.
     """
     if widths[-1] != 1:
         raise ValueError("the last bucket width must be 1")
-    keys = list(keys)
+    keys, totals = list(keys), dict(totals or {})
     groups = groups_at_most if keys else 1
     few = groups is not None and groups <= _BROADCAST_GROUPS
-    rows = df.select(*keys, F.col(value).cast("bigint").alias("value")).where("value IS NOT NULL")
-
-    located = _locate_ranks(rows.groupBy(*keys, _bucket(widths[0], "bucket")), keys)
-    for outer, inner in zip(widths, widths[1:]):
-        sized = rows.select(*keys, _bucket(outer, "outer"), _bucket(inner, "bucket"))
+    rows = df.withColumn("value", F.col(value).cast("bigint"))
+    counted = rows.groupBy(*keys, _bucket(widths[0], "bucket")).agg(
+        F.count("value").alias("n"), *[total.alias(name) for name, total in totals.items()]
+    )
+    carried = [*keys, "side", "total", *totals]
+    located = _locate_ranks(counted, keys, list(totals))
+    narrowed = located
+    if len(widths) > 1:
+        sized = rows.where("value IS NOT NULL").select(
+            *keys, _bucket(widths[0], "outer"), F.col("value").alias("bucket")
+        )
         if few:
-            counted = (
+            exact = (
                 sized.join(F.broadcast(located), [*keys, "outer"])
-                .groupBy(*keys, "side", "rank", "bucket")
+                .groupBy(*carried, "rank", "bucket")
                 .agg(F.count("*").alias("n"))
             )
         else:
-            counted = (
+            exact = (
                 sized.groupBy(*keys, "outer", "bucket")
                 .agg(F.count("*").alias("n"))
                 .join(located, [*keys, "outer"])
             )
-        located = _narrow(counted, keys)
-    return located.groupBy(*keys).agg(
-        F.min("outer").alias("lower"), F.max("outer").alias("upper")
+        for width in widths[1:-1]:
+            exact = exact.withColumn("outer", _bucket(width, "outer", "bucket"))
+            coarse = exact.groupBy(*carried, "rank", F.col("outer").alias("bucket")).agg(
+                F.sum("n").alias("n")
+            )
+            found = _narrow(coarse, carried).select(*keys, "side", "outer", "rank")
+            exact = exact.drop("rank").join(F.broadcast(found) if few else found, [*keys, "side", "outer"])
+        narrowed = _narrow(exact, carried)
+    if totals:  # a group without any value still has its totals
+        empty = located.where("total = 0").select(narrowed.columns)
+        narrowed = narrowed.unionByName(empty)
+    return narrowed.groupBy(*keys).agg(
+        F.min("outer").alias("lower"),
+        F.max("outer").alias("upper"),
+        *[F.max(name).alias(name) for name in totals],
     )
 
 
-def _bucket(width: int, name: str) -> Column:
+def _bucket(width: int, name: str, value: str = "value") -> Column:
     """Floor of ``value / width`` on integers, also for negative values."""
     if width == 1:
-        return F.col("value").alias(name)
-    return F.expr(f"(value - pmod(value, {width}L)) div {width}L").alias(name)
+        return F.col(value).alias(name)
+    return F.expr(f"({value} - pmod({value}, {width}L)) div {width}L").alias(name)
 
 
 def _running_count(groups: Sequence[str]) -> Column:
@@ -79,31 +101,33 @@ def _running_count(groups: Sequence[str]) -> Column:
     return F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
 
 
-def _locate_ranks(grouped: GroupedData, keys: Sequence[str]) -> DataFrame:
-    """The buckets holding the two middle ranks, with each rank counted from the bucket's start."""
+def _locate_ranks(counted: DataFrame, keys: Sequence[str], totals: Sequence[str]) -> DataFrame:
+    """The buckets holding the two middle ranks, with each rank counted from the bucket's start.
+
+    A group without values has the bucket of its NULLs instead, with rank 0.
+    """
     group = Window.partitionBy(*(keys or [F.lit(0)]))
-    counted = grouped.agg(F.count("*").alias("n"))
-    ranked = counted.select("*", F.sum("n").over(group).alias("total"))
+    ranked = counted.select(
+        *keys,
+        "bucket",
+        "n",
+        F.sum("n").over(group).alias("total"),
+        *[F.sum(name).over(group).alias(name) for name in totals],
+        _running_count(keys).alias("through"),
+    )
     sides = F.expr(
         "inline(array(named_struct('side', 'lower', 'rank', (total + 1) div 2),"
-        " named_struct('side', 'upper', 'rank', total div 2 + 1)))"
-    )
-    return _within(
-        ranked.select(*keys, "bucket", "n", "total", _running_count(keys).alias("through")).select(
-            "*", sides
-        ),
-        keys,
+        " named_struct('side', 'upper', 'rank', IF(total = 0, 0, total div 2 + 1))))"
     )
+    return _within(ranked.select("*", sides), [*keys, "side", "total", *totals])
 
 
-def _narrow(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _narrow(counted: DataFrame, carried: Sequence[str]) -> DataFrame:
     """The finer buckets holding the ranks that were counted from the coarser bucket's start."""
-    return _within(
-        counted.withColumn("through", _running_count([*keys, "side", "rank"])), keys
-    )
+    return _within(counted.withColumn("through", _running_count([*carried, "rank"])), carried)
 
 
-def _within(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return ranked.where("rank > through - n AND rank <= through").selectExpr(
-        *keys, "side", "rank - (through - n) AS rank", "bucket AS outer"
+def _within(ranked: DataFrame, carried: Sequence[str]) -> DataFrame:
+    return ranked.where("rank > through - n AND rank <= through OR total = 0 AND bucket IS NULL").selectExpr(
+        *carried, "rank - (through - n) AS rank", "bucket AS outer"
     )

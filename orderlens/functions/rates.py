@@ -18,6 +18,11 @@ def rounded(value: Column | str, places: int = 2) -> Column:
     return F.round(column(value).cast("decimal(38,8)"), places).cast("double")
 
 
+def significant(value: Column | str) -> Column:
+    """Six significant digits, however small the value is; through text, so zero means zero."""
+    return F.format_string("%.5e", column(value).cast("double")).try_cast("double")
+
+
 def ratio(part: Column | str, whole: Column | str) -> Column:
     """``part / whole`` as a double, NULL when ``whole`` is zero."""
     return column(part).cast("double") / F.nullif(column(whole).cast("double"), F.lit(0.0))

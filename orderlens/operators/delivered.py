@@ -81,7 +81,7 @@ def with_review_score(orders: DataFrame, reviews: DataFrame, how: str = "left")
 
 
 def handling_durations(delivered: DataFrame) -> DataFrame:
-    """Days spent with the seller and with the carrier, and whether both are possible.
+    """Microseconds spent with the seller and with the carrier, and whether both are possible.
 
     ``possible`` is NULL without a carrier date and false when the carrier date
     lies before the purchase or after the delivery.
@@ -90,6 +90,6 @@ def handling_durations(delivered: DataFrame) -> DataFrame:
     return delivered.select(
         bought,
         "is_late",
-        as_days(micros_between(bought, handed)).alias("seller_days"),
-        as_days(micros_between(handed, "order_delivered_customer_date")).alias("carrier_days"),
-    ).withColumn("possible", (F.col("seller_days") >= 0) & (F.col("carrier_days") >= 0))
+        micros_between(bought, handed).alias("seller_micros"),
+        micros_between(handed, "order_delivered_customer_date").alias("carrier_micros"),
+    ).withColumn("possible", (F.col("seller_micros") >= 0) & (F.col("carrier_micros") >= 0))

@@ -5,26 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a few short columns that are safe to hold on every executor.
-BROADCAST_ROWS = 100_000
+# Bytes of a table that are safe to hold on every executor.
+BROADCAST_BYTES = 64 << 20
 # A key with at least this share of the rows counts as frequent: at most 1,000 keys.
 FREQUENT_SHARE = 0.001
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer expects the rows to take, from file sizes and chosen columns."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def lookup(
-    many: DataFrame, one: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS
+    many: DataFrame, one: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Inner join of a large table with a table that has one short row per ``key``.
 
-    ``one`` is broadcast when a bounded count shows it is small. Otherwise a
-    key may hold a third of ``many``, so frequent keys are found first, by
-    Spark's bounded frequent-items pass over that one column. Rows holding them
-    meet a broadcast of their at most 1,000 rows of ``one`` without a shuffle;
-    the others meet the rest of ``one``, each key now holding a small share.
-    Which keys count as frequent affects speed only: every row is in exactly
-    one of the two parts.
+    ``one`` is broadcast if its estimated size allows it, which needs no job.
+    Otherwise a key may hold a third of ``many``, so frequent keys are found first,
+    by Spark's bounded frequent-items pass over that one column. Rows holding them
+    meet a broadcast of their at most 1,000 rows of ``one`` without a shuffle; the
+    others meet the rest of ``one``, each key now holding a small share. Which keys
+    count as frequent affects speed only: every row is in exactly one of the two
+    parts. That way gives up buckets of ``many`` on another column.
     """
-    if one.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if estimated_bytes(one) <= broadcast_bytes:
         return many.join(F.broadcast(one), key)
     found = many.stat.freqItems([key], FREQUENT_SHARE).first()[0]
     is_frequent = F.col(key).isin([k for k in found if k is not None])

@@ -58,6 +58,7 @@ QUERIES: dict[str, Query] = {
 AUDITS: dict[str, Query] = {
     "audit_row_counts": lambda t, s: quality.row_counts(t),
     "audit_row_floors": lambda t, s: quality.row_floors(t),
+    "audit_duplicate_reviews": lambda t, s: quality.duplicate_rows(t["order_reviews"], ["order_id"]),
     "audit_primary_keys": lambda t, s: quality.primary_keys(t),
     "audit_required_columns": lambda t, s: quality.required_columns(t),
     "audit_foreign_keys": lambda t, s: quality.foreign_keys(t),

@@ -1,4 +1,4 @@
-"""The batch job: read, clean, check, save as Parquet, publish."""
+"""The batch job: read, audit, clean, check, save or publish."""
 
 from __future__ import annotations
 
@@ -6,20 +6,33 @@ import logging
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.cleaning import clean_all
-from ..operators.quality import require_unique, row_counts, row_floors
+from ..operators.cleaning import clean_all, parse_moments
+from ..operators.quality import require_unique
 from ..session import use_checkpoint_dir
-from ..sources.csv_files import read_all
-from ..sources.parquet_files import load_all, save_all
-from ..sources.tables import ORDER_REVIEWS
-from ..sources.warehouse import publish, published_form
+from ..settings import Settings
+from ..sources.csv_files import malformed_numbers, read_all_text, with_numbers
+from ..sources.parquet_files import load_all, save_all, table_path
+from ..sources.tables import ALL_TABLES, ORDER_REVIEWS
+from ..sources.warehouse import publish, published_form, published_tables
+from .catalogue import AUDITS
 
 log = logging.getLogger(__name__)
 
 
+class MalformedNumbersError(ValueError):
+    """A source file holds values that are no numbers."""
+
+
+def audit(raw: Mapping[str, DataFrame], folder: str, settings: Settings | None = None) -> None:
+    """Save every audit of the raw tables as ``folder/NAME.parquet``."""
+    for name, query in AUDITS.items():
+        query(raw, settings or Settings()).coalesce(1).write.mode("overwrite").parquet(
+            table_path(folder, name)
+        )
+
+
 def run(
     spark: SparkSession,
     source_folder: str,
@@ -28,38 +41,47 @@ def run(
     batch: str | None = None,
     impute_by: str | None = None,
     buckets: Mapping[str, tuple[str, int]] | None = None,
+    settings: Settings | None = None,
 ) -> dict[str, DataFrame]:
-    """Turn a folder of CSV files into checked Parquet tables and return them.
+    """Turn a folder of CSV files into checked tables and return them.
 
-    With ``database`` the tables are published there as well. Reviews that
-    still repeat an order after cleaning stop the job before anything is
-    saved; small row counts are only reported.
+    Malformed numbers stop the job before anything is saved, with their columns
+    and counts; malformed timestamps become NULL. The files are then parsed once,
+    into ``target_folder/raw``, where the audits (saved in ``target_folder/audits``)
+    and the cleaning read them; small row counts are reported. Reviews that still
+    repeat an order after cleaning stop the job before a cleaned table is saved.
+    The cleaned tables are written once: published in ``database`` if it is given,
+    else saved in ``target_folder``.
     """
-    raw = read_all(spark, source_folder)
+    text = read_all_text(spark, source_folder)
+    malformed = malformed_numbers(text).collect()  # one row per declared number column at most
+    if malformed:
+        named = ", ".join(f"{r['table_name']}.{r['column_name']}: {r['malformed']}" for r in malformed)
+        raise MalformedNumbersError(f"values that are no numbers: {named}")
+    parsed = {
+        name: parse_moments(with_numbers(df, ALL_TABLES[name]), ALL_TABLES[name])
+        for name, df in text.items()
+    }
+    raw_folder, findings = (f"{target_folder.rstrip('/')}/{part}" for part in ("raw", "audits"))
+    save_all(parsed, raw_folder)
+    raw = load_all(spark, raw_folder)
 
-    # The medians look at products several times; do not parse the text each time.
-    raw["products"] = raw["products"].persist(StorageLevel.DISK_ONLY)
-    cleaned = dict(clean_all(raw, impute_by=impute_by))
+    audit(raw, findings, settings)
+    for row in spark.read.parquet(table_path(findings, "audit_row_counts")).toLocalIterator():
+        log.info("read %s: %d rows, %d columns", *row)
+    for row in spark.read.parquet(table_path(findings, "audit_row_floors")).toLocalIterator():
+        level = logging.INFO if row["status"] == "passed" else logging.WARNING
+        log.log(level, "%s: %d rows, %s", row["table_name"], row["row_count"], row["status"])
 
+    cleaned = dict(clean_all(raw, impute_by=impute_by))
     # Both the uniqueness check and the save need the deduplicated reviews.
     use_checkpoint_dir(spark)
     cleaned["order_reviews"] = cleaned["order_reviews"].checkpoint()
     require_unique(cleaned["order_reviews"], ORDER_REVIEWS.key, ORDER_REVIEWS.name)
 
-    for name in cleaned:
-        cleaned[name] = published_form(name, cleaned[name])
-    save_all(cleaned, target_folder)
-    raw["products"].unpersist()
-
-    # Counted on the saved files, whose footers hold the counts.
-    saved = load_all(spark, target_folder)
-    for row in row_counts(saved).toLocalIterator():
-        log.info("saved %s: %d rows, %d columns", *row)
-    for row in row_floors(saved).toLocalIterator():
-        level = logging.INFO if row["status"] == "passed" else logging.WARNING
-        log.log(level, "%s: %d rows, %s", row["table_name"], row["row_count"], row["status"])
-
-    if database is not None:
-        batch = batch or datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S")
-        publish(spark, saved, database, batch, buckets)
-    return saved
+    if database is None:
+        save_all({name: published_form(name, df) for name, df in cleaned.items()}, target_folder)
+        return load_all(spark, target_folder)
+    batch = batch or datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S")
+    publish(spark, cleaned, database, batch, buckets)
+    return published_tables(spark, database)

@@ -7,10 +7,17 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import average_days, quarter_of, within
+from ..functions.money import from_cents
 from ..functions.rates import growth_percent, percent, rounded
-from ..operators.delivered import delivered_facts, handling_durations
+from ..operators.delivered import (
+    delivered_facts,
+    handling_durations,
+    has_status_delivered,
+    is_delivered,
+    order_values,
+)
 from ..settings import Settings
-from .business_cases import gmv_by_delivery_quarter, gmv_by_purchase_quarter
 from .chart_data import monthly_buffer_vs_late
 from .kpis import category_analysis
 
@@ -54,8 +61,8 @@ def carrier_share(t: Tables, s: Settings) -> DataFrame:
         .where("possible")
         .agg(
             F.count("*").alias("orders"),
-            F.avg("seller_days").alias("seller"),
-            F.avg("carrier_days").alias("carrier"),
+            average_days("seller_micros").alias("seller"),
+            average_days("carrier_micros").alias("carrier"),
         )
         .select(
             "orders",
@@ -77,7 +84,7 @@ def buffer_threshold(t: Tables, s: Settings) -> DataFrame:
             rounded("avg_buffer_days").alias("avg_buffer_days"),
             rounded("late_rate_pct").alias("late_rate_pct"),
             (F.col("avg_buffer_days") < s.buffer_days).alias("below_threshold"),
-            (F.col("late_rate_pct") >= 10.0).alias("double_digit_late_rate"),
+            (F.col("late_rate_pct") >= s.high_late_rate_pct).alias("double_digit_late_rate"),
         )
         .orderBy("month")
     )
@@ -92,20 +99,40 @@ def category_weight_correlation(t: Tables, s: Settings) -> DataFrame:
 
 
 def period_growth(t: Tables, s: Settings) -> DataFrame:
-    """Quarter-over-quarter growth of delivered value by purchase and by delivery date."""
-    quarters = [
-        gmv_by_purchase_quarter(t, s).select(
-            F.lit("purchase").alias("basis"), "quarter", "delivered_gmv"
-        ),
-        gmv_by_delivery_quarter(t, s).select(
-            F.lit("delivery").alias("basis"), "quarter", "delivered_gmv"
+    """Quarter-over-quarter growth of delivered value by purchase and by delivery date.
+
+    One pass: each order is valued once and counts in the quarter it was bought
+    in, and in the quarter it arrived in if it has items.
+    """
+    bought, arrived = "order_purchase_timestamp", "order_delivered_customer_date"
+    window = s.quarters
+    in_bought = within(bought, window.start, window.end)
+    in_arrived = is_delivered() & within(arrived, window.start, window.end)
+    delivered_cents = F.when(F.col("delivered"), F.col("cents"))
+    bases = F.array(
+        F.struct(F.lit("purchase").alias("basis"), F.col("bought").alias("quarter"), delivered_cents.alias("cents")),
+        F.struct(
+            F.lit("delivery").alias("basis"),
+            F.when(F.col("cents").isNotNull(), F.col("arrived")).alias("quarter"),
+            F.col("cents").alias("cents"),
         ),
-    ]
+    )
     gmv = F.col("delivered_gmv")
     before = F.lag(gmv).over(Window.partitionBy("basis").orderBy("quarter"))
     return (
-        quarters[0]
-        .unionByName(quarters[1])
+        t["orders"]
+        .where(in_bought | in_arrived)
+        .select(
+            "order_id",
+            has_status_delivered().alias("delivered"),
+            F.when(in_bought, quarter_of(bought)).alias("bought"),
+            F.when(in_arrived, quarter_of(arrived)).alias("arrived"),
+        )
+        .join(order_values(t["order_items"]), "order_id", "left")
+        .select(F.inline(bases))
+        .where("quarter IS NOT NULL")
+        .groupBy("basis", "quarter")
+        .agg(from_cents(F.sum("cents")).alias("delivered_gmv"))
         .withColumn("gmv_growth_pct", rounded(growth_percent(gmv, before)))
         .orderBy("basis", "quarter")
     )

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.probability import (
+    correlation_p,
     normal_two_sided_p,
     pearson_t,
-    student_two_sided_p,
     two_proportion_z,
     wald_interval,
 )
-from ..functions.rates import ratio, rounded
+from ..functions.rates import ratio, rounded, significant
 from ..settings import Settings
 from .business_cases import low_score_counts, period_status_counts
 from .chart_data import monthly_buffer_vs_late
@@ -37,7 +37,7 @@ def correlation_test(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return (
         pairs.agg(F.count_if(both).alias("n"), F.corr(x, y).alias("r"))
         .withColumn("t", pearson_t(F.col("r"), F.col("n")))
-        .withColumn("p_value", student_two_sided_p(F.col("t"), F.col("n") - 2))
+        .withColumn("p_value", correlation_p(F.col("r"), F.col("n")))
     )
 
 
@@ -48,7 +48,7 @@ def buffer_late_significance(t: Tables, s: Settings) -> DataFrame:
     ).select(
         F.col("n").alias("months"),
         rounded("r", 6).alias("r"),
-        rounded("p_value", 8).alias("p_value"),
+        significant("p_value").alias("p_value"),
     )
 
 
@@ -101,7 +101,7 @@ def low_score_z_test(t: Tables, s: Settings) -> DataFrame:
         rounded(100.0 * ratio("hits0", "n0")).alias("base_rate_pct"),
         rounded(100.0 * ratio("hits1", "n1")).alias("next_rate_pct"),
         rounded("z", 6).alias("z"),
-        rounded("p_value", 8).alias("p_value"),
+        significant("p_value").alias("p_value"),
     )
 
 

@@ -30,6 +30,24 @@ def shuffle_settings(shuffled_bytes: int) -> dict[str, str]:
     return {"spark.sql.shuffle.partitions": str(max(200, -(-shuffled_bytes // PARTITION_BYTES)))}
 
 
+def stored_bytes(spark: SparkSession, *paths: str) -> int:
+    """Bytes of the files in the folders, in whatever store they are."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folders = [hadoop.Path(path) for path in paths]
+    return sum(f.getFileSystem(conf).getContentSummary(f).getLength() for f in folders)
+
+
+def size_shuffles(spark: SparkSession, stored: int) -> None:
+    """Set the shuffle partitions for queries over files of ``stored`` bytes.
+
+    Packed columns take several times their size in a shuffle, but no query
+    shuffles all columns, so the stored bytes are taken for the shuffled ones.
+    """
+    for name, value in shuffle_settings(stored).items():
+        spark.conf.set(name, value)
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra) -> SparkSession:
     """A single-machine session for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("orderlens")

@@ -41,6 +41,7 @@ class Settings:
     min_category_orders: int = 30
     low_score: int = 2
     buffer_days: float = 8.0
+    high_late_rate_pct: float = 10.0
     moving_months: int = 3
     confidence_z: float = 1.96
     # A delivery date is suspicious when this many late orders share it, bought

@@ -93,7 +93,7 @@ def order_items(source: DataFrame) -> DataFrame:
         "l_orderkey AS order_id",
         "l_linenumber AS order_item_id",
         "l_partkey AS product_id",
-        "l_suppkey AS seller_id",
+        "CASE WHEN l_suppkey = 1 AND l_orderkey % 97 <> 0 THEN 2L ELSE l_suppkey END AS seller_id",
         "l_shipdate AS shipping_limit_date",
         "CAST(l_extendedprice AS DECIMAL(12,2)) AS price",
         "CAST(l_quantity AS DECIMAL(12,2)) AS freight_value",
@@ -152,7 +152,7 @@ def category_translation(source: DataFrame) -> DataFrame:
 def customers(source: DataFrame, nation: DataFrame) -> DataFrame:
     return source.join(nation, F.expr("c_nationkey = n_nationkey")).selectExpr(
         "c_custkey AS customer_id",
-        "c_custkey AS customer_unique_id",
+        "c_custkey - c_custkey % 2 AS customer_unique_id",
         "lpad(CAST(c_custkey % 100000 AS STRING), 5, '0') AS customer_zip_code_prefix",
         "lower(c_mktsegment) AS customer_city",
         "n_name AS customer_state",

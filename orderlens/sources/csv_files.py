@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import ALL_TABLES, MOMENT, Table
+from .tables import ALL_TABLES, Table
 
 # Quoting of the source files (RFC 4180, doubled quotes).
 _FORMAT = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-def read_table(spark: SparkSession, folder: str, table: Table) -> DataFrame:
-    """One source table, columns matched by header name.
+def read_text(spark: SparkSession, folder: str, table: Table) -> DataFrame:
+    """One source table as text, columns matched by header name.
 
-    Timestamps stay text here; unknown columns are kept as text and missing
-    ones are left for the column check. Only the files whose texts can hold
-    line breaks are read unsplit.
+    Unknown columns are kept and missing ones left for the column check. Only the
+    files whose texts can hold line breaks are read unsplit.
     """
     path = f"{folder.rstrip('/')}/{table.file_pattern}"
     try:
@@ -26,23 +29,62 @@ def read_table(spark: SparkSession, folder: str, table: Table) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         raise FileNotFoundError(f"no file for table {table.name}: {path}") from e
-    declared = {f.name: f.dataType for f in table.schema.fields}
-    file_schema = T.StructType(
-        [
-            T.StructField(
-                name,
-                T.StringType() if declared.get(name, MOMENT) == MOMENT else declared[name],
-            )
-            for name in header
-        ]
-    )
     return (
         spark.read.options(**_FORMAT, multiLine=table.quoted_newlines, enforceSchema=False)
-        .schema(file_schema)
+        .schema(T.StructType([T.StructField(name, T.StringType()) for name in header]))
         .csv(path)
     )
 
 
+def _numbers(table: Table, columns: Sequence[str]) -> dict[str, T.DataType]:
+    declared = {f.name: f.dataType for f in table.schema.fields}
+    return {c: declared[c] for c in columns if isinstance(declared.get(c), T.NumericType)}
+
+
+def _as_number(name: str, kind: T.DataType) -> Column:
+    return F.nullif(F.col(name), F.lit("")).try_cast(kind)
+
+
+def with_numbers(text: DataFrame, table: Table) -> DataFrame:
+    """Numbers in their declared types; timestamps stay text until they are cleaned.
+
+    A malformed number becomes NULL here, which `malformed_numbers` counts and the
+    batch job does not let pass.
+    """
+    numbers = _numbers(table, text.columns)
+    return text.withColumns({name: _as_number(name, kind) for name, kind in numbers.items()})
+
+
+def malformed_numbers(text: Mapping[str, DataFrame]) -> DataFrame:
+    """Values per table and column that are no number of the declared type, where there are any.
+
+    ``text`` holds the tables as `read_text` gives them.
+    """
+    parts = []
+    for name, df in text.items():
+        numbers = _numbers(ALL_TABLES[name], df.columns)
+        if not numbers:
+            continue
+        bad = {
+            c: F.count_if(F.nullif(F.col(c), F.lit("")).isNotNull() & _as_number(c, kind).isNull())
+            for c, kind in numbers.items()
+        }
+        counts = df.agg(*[count.alias(c) for c, count in bad.items()])
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("malformed")) for c in bad])
+        parts.append(counts.select(F.lit(name).alias("table_name"), F.inline(rows)))
+    return reduce(DataFrame.unionByName, parts).where("malformed > 0")
+
+
+def read_table(spark: SparkSession, folder: str, table: Table) -> DataFrame:
+    """One source table, numbers typed and timestamps as text."""
+    return with_numbers(read_text(spark, folder, table), table)
+
+
+def read_all_text(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Every source table by name, as text."""
+    return {name: read_text(spark, folder, table) for name, table in ALL_TABLES.items()}
+
+
 def read_all(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Every source table by name."""
     return {name: read_table(spark, folder, table) for name, table in ALL_TABLES.items()}

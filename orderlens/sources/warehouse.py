@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from ..operators.delivered import delivered_orders
 from .tables import ALL_TABLES, published_columns
 
 DELIVERED_VIEW = "v_delivered_orders"
+_CURRENT = "current_batch"
 
 
 class MissingColumnsError(ValueError):
@@ -25,39 +27,85 @@ def published_form(name: str, df: DataFrame) -> DataFrame:
     return df.select(*wanted)
 
 
+def order_buckets(count: int) -> dict[str, tuple[str, int]]:
+    """The fact tables bucketed alike on their order, so joins between them need no shuffle.
+
+    Leave a table out if one order holds a large share of its rows: a bucket is one task.
+    """
+    return {name: ("order_id", count) for name in ("orders", "order_items", "order_reviews")}
+
+
 def publish(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
     database: str,
     batch: str,
     buckets: Mapping[str, tuple[str, int]] | None = None,
+    keep_batches: int = 2,
 ) -> None:
-    """Stage every table as ``name__batch``, then point the public views at the new batch.
+    """Write the tables and the delivered-order view into a database of their own, then switch to it.
 
-    All columns are checked before anything is written, and readers see the
-    old batch until every table of the new one is complete, so a failed load
-    never leaves an empty or half-filled warehouse. ``buckets`` maps a table to
-    (column, count): tables bucketed alike on ``order_id`` join without a
-    shuffle. Leave a table out if one key holds a large share of its rows.
+    The batch goes to ``database__batch``. All columns are checked before anything
+    is written, and a property of ``database`` names the current batch: setting it
+    is the one switch, so readers see all of the old batch or all of the new one.
+    ``buckets`` maps a table to (column, count). Of the batches, in the order of
+    their names, the last ``keep_batches`` and the current one stay.
     """
     ready = {name: published_form(name, tables[name]) for name in ALL_TABLES}
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    home = f"{database}__{batch}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{home}`")
     for name, df in ready.items():
         writer = df.write
         if buckets and name in buckets:
             column, count = buckets[name]
             writer = df.repartition(count, column).write.bucketBy(count, column).sortBy(column)
-        writer.mode("overwrite").format("parquet").saveAsTable(f"`{database}`.`{name}__{batch}`")
-    for name in ALL_TABLES:
-        spark.sql(
-            f"CREATE OR REPLACE VIEW `{database}`.`{name}` "
-            f"AS SELECT * FROM `{database}`.`{name}__{batch}`"
-        )
+        elif name == "orders":
+            writer = df.sortWithinPartitions("order_purchase_timestamp").write
+        writer.mode("overwrite").format("parquet").saveAsTable(f"`{home}`.`{name}`")
+    spark.sql(f"CREATE OR REPLACE VIEW `{home}`.`{DELIVERED_VIEW}` AS {_DELIVERED_SQL.format(home=home)}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    _switch(spark, database, batch)
+    _drop_old(spark, database, home, keep_batches)
+
+
+# The columns and conditions of `delivered_orders`, as a catalog view can only be SQL.
+_DELIVERED_SQL = """
+SELECT order_id, customer_id, order_purchase_timestamp, order_delivered_customer_date,
+       order_estimated_delivery_date,
+       CAST(order_delivered_customer_date AS DATE) > CAST(order_estimated_delivery_date AS DATE) AS is_late,
+       CAST(CAST(CAST(CAST(order_delivered_customer_date - order_purchase_timestamp AS INTERVAL SECOND)
+            AS DECIMAL(18,6)) * 1000000 AS BIGINT) AS DOUBLE) / 86400000000D AS delivery_days
+FROM `{home}`.`orders`
+WHERE order_status = 'delivered' AND order_delivered_customer_date IS NOT NULL
+"""
+
+
+def _switch(spark: SparkSession, database: str, batch: str) -> None:
+    spark.sql(f"ALTER DATABASE `{database}` SET DBPROPERTIES ('{_CURRENT}' = '{batch}')")
+
+
+def _drop_old(spark: SparkSession, database: str, home: str, keep: int) -> None:
+    found = spark.sql(f"SHOW DATABASES LIKE '{database}__*'").collect()
+    batches = sorted(row[0] for row in found)
+    for old in batches[: max(0, len(batches) - keep)]:
+        if old != home:
+            spark.sql(f"DROP DATABASE `{old}` CASCADE")
+
+
+def current_database(spark: SparkSession, database: str) -> str:
+    """The database that holds the current batch, for ``USE`` and for qualified names."""
+    rows = spark.sql(f"DESCRIBE DATABASE EXTENDED `{database}`").collect()
+    properties = next((row[1] for row in rows if row[0] == "Properties"), "")
+    found = re.search(rf"\({_CURRENT},([^)]*)\)", properties)
+    if found is None:
+        raise LookupError(f"{database}: nothing has been published")
+    return f"{database}__{found[1]}"
 
 
 def published_tables(spark: SparkSession, database: str) -> dict[str, DataFrame]:
     """The current batch of every published table."""
-    return {name: spark.table(f"`{database}`.`{name}`") for name in ALL_TABLES}
+    home = current_database(spark, database)
+    return {name: spark.table(f"`{home}`.`{name}`") for name in ALL_TABLES}
 
 
 def register_views(tables: Mapping[str, DataFrame]) -> None:

@@ -18,12 +18,13 @@ from orderlens.functions.calendar import (
 from orderlens.functions.medians import middle_values
 from orderlens.functions.money import from_cents, in_cents, require_cents
 from orderlens.functions.probability import (
+    correlation_p,
     normal_two_sided_p,
     student_two_sided_p,
     two_proportion_z,
     wald_interval,
 )
-from orderlens.functions.rates import growth_percent, percent, ratio, rounded
+from orderlens.functions.rates import growth_percent, percent, ratio, rounded, significant
 
 
 def moments(spark, *pairs):
@@ -138,6 +139,21 @@ def test_middle_values_by_group_with_a_dominant_value(spark, groups_at_most):
     assert found == {g: exact_middles(vs) for g, vs in data.items()}
 
 
+def test_a_crowded_minute_is_narrowed_by_counts(spark):
+    """A million distinct values in one minute; what is ranked last is one bucket of 10,000."""
+    df = spark.range(1_000_000).selectExpr("id * 59 % 60000000 AS v")
+    totals = {"rows": F.count("*"), "sum": F.sum("v")}
+    found = middle_values(df, "v", widths=(60_000_000, 10_000, 1), totals=totals).first()
+    values = sorted(i * 59 % 60_000_000 for i in range(1_000_000))
+    assert tuple(found) == (*exact_middles(values), 1_000_000, sum(values))
+
+
+def test_totals_of_a_group_without_values(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), ("b", 4)], "g string, v bigint")
+    found = middle_values(df, "v", keys=["g"], totals={"rows": F.count("*")}).orderBy("g")
+    assert [tuple(r) for r in found.collect()] == [("a", None, None, 2), ("b", 4, 4, 1)]
+
+
 def test_widths_must_reach_single_values(spark):
     with pytest.raises(ValueError):
         middle_values(spark.range(3).withColumnRenamed("id", "v"), "v", widths=(10,))
@@ -172,6 +188,36 @@ def test_student_tail(spark):
         assert p == pytest.approx(student_tail_by_integration(t, nu), rel=1e-7, abs=1e-300)
 
 
+@pytest.mark.parametrize("n", [3, 20, 1_000_002])
+def test_student_tail_at_any_size(spark, n):
+    """Against the normal tail where the size is large, else against integration; constant steps."""
+    points = [(t, n) for t in (0.5, 1.9, 2.1, 6.0)]
+    df = spark.createDataFrame(points, "t double, n bigint")
+    for t, nu, p in df.select("t", F.col("n") - 2, student_two_sided_p(F.col("t"), F.col("n") - 2)).collect():
+        if n > 1000:
+            tail, phi = math.erfc(t / math.sqrt(2)), math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+            # first term of the expansion in 1 / nu
+            assert p == pytest.approx(tail + 2 * phi * (t**3 + t) / (4 * nu), rel=1e-9)
+        else:
+            assert p == pytest.approx(student_tail_by_integration(t, nu), rel=1e-7)
+
+
+def test_p_of_perfect_and_undefined_correlations(spark):
+    points = [(1.0, 10), (-1.0, 3), (1.0, 2), (-1.0, 2), (None, 5), (None, 1), (0.0, 3)]
+    df = spark.createDataFrame(points, "r double, n bigint")
+    found = [row[0] for row in df.select(correlation_p(F.col("r"), F.col("n"))).collect()]
+    assert found[:6] == [0.0, 0.0, 1.0, 1.0, None, None]
+    assert found[6] == pytest.approx(1.0)
+
+
+def test_six_significant_digits(spark):
+    p = normal_two_sided_p(F.lit(10.07))
+    found = spark.range(1).select(significant(p), significant(F.lit(0.0)), significant(F.lit(0.25))).first()
+    assert f"{found[0]:.1e}" == "7.5e-24" and found[1:] == (0.0, 0.25)
+    published = spark.range(1).select(significant(normal_two_sided_p(F.lit(10.0686)))).first()[0]
+    assert 7e-24 < published < 8e-24
+
+
 def test_published_correlation_is_significant(spark):
     # r = -0.61 over the 20 months of the published window, p = 0.004.
     t = -0.61 * math.sqrt(18 / (1 - 0.61**2))

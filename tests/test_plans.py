@@ -6,13 +6,15 @@ import re
 import pytest
 
 import __spark_entry__ as registry
+from orderlens.functions.calendar import average_days
 from orderlens.operators.cleaning import clean_all, clean_reviews
 from orderlens.operators.joins import lookup
-from orderlens.plans import business_cases, chart_data, kpis
+from orderlens.plans import business_cases, chart_data, kpis, reported_kpis
 from orderlens.plans.catalogue import QUERIES
 from orderlens.settings import Settings
 from orderlens.sources.benchmark_tables import BENCHMARK_SETTINGS, raw_tables
 from orderlens.sources.parquet_files import load_all, save_all
+from orderlens.sources.warehouse import order_buckets, publish, published_tables
 from tests.shop import dicts, item, order, product, raw_shop, review, rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -38,7 +40,10 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+OTHERS = {"pipeline", *(registry.llm.QUERIES if registry.llm else ())}
+
+
+@pytest.mark.parametrize("name", [n for n in registry.queries() if n not in OTHERS])
 def test_no_cross_join_and_no_python(spark, no_broadcast, name):
     text = plan(registry.queries()[name](spark, FOLDER))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
@@ -70,6 +75,7 @@ def test_filters_and_columns_reach_the_scan(saved, capsys):
         (kpis.monthly_trend, 2), (kpis.delay_vs_review, 2), (kpis.state_performance, 3),
         (kpis.seller_late_rate, 3), (kpis.category_analysis, 4),
         (chart_data.monthly_buffer_vs_late, 1), (business_cases.gmv_by_purchase_quarter, 2),
+        (reported_kpis.period_growth, 2),
     ],
 )
 def test_each_table_is_scanned_once(saved, query, tables):
@@ -94,6 +100,36 @@ def test_median_has_no_unbounded_buffer(saved):
     assert "percentile" not in text and "median" not in text.replace("median_delivery_days", "")
 
 
+def test_median_report_scans_orders_twice(saved):
+    report = kpis.late_delivery_rate(saved, S)
+    report.collect()
+    final = plan(report).partition("== Initial Plan ==")[0]
+    assert len(scans(final)) == 2
+
+
+@pytest.mark.parametrize(
+    "query",
+    [kpis.monthly_trend, kpis.seller_late_rate, business_cases.gmv_by_purchase_quarter,
+     business_cases.gmv_by_delivery_quarter, kpis.category_analysis],
+)
+def test_published_facts_meet_without_a_shuffle_by_order(spark, no_broadcast, saved, query):
+    if "shop_plans__one" not in [r[0] for r in spark.sql("SHOW DATABASES").collect()]:
+        publish(spark, saved, "shop_plans", "one", buckets=order_buckets(4))
+    text = plan(query(published_tables(spark, "shop_plans"), S))
+    assert not re.search(r"Exchange hashpartitioning\(order_id", text)
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 50])
+def test_unrounded_mean_durations_do_not_depend_on_partitions(spark, partitions):
+    rng = random.Random(5)
+    values = [(rng.randint(0, 30 * 86_400_000_000),) for _ in range(2000)] + [(None,), (-1,)]
+    df = spark.createDataFrame(values, "m bigint").repartition(partitions)
+    known = [v for v, in values if v is not None]
+    exact = sum(known) // 1_000_000 + (sum(known) % 1_000_000) / 1_000_000
+    assert df.agg(average_days("m")).first()[0] == pytest.approx(exact / 86_400 / len(known), rel=1e-15)
+    assert df.agg(average_days("m")).first()[0] == df.coalesce(1).agg(average_days("m")).first()[0]
+
+
 def test_subquery_of_medians_runs_once(spark):
     cleaned = clean_all(raw_tables(spark, FOLDER))["products"]
     cleaned.collect()
@@ -209,13 +245,14 @@ def test_lookup_of_a_large_table_with_hot_keys(spark, skewed, no_broadcast):
         "product_id", "product_category_name AS category", "product_weight_g AS weight")
     category = {r["product_id"]: (r["category"], r["weight"]) for r in one.collect()}
     expected = sorted((i[0], i[1], i[2], str(category[i[2]])) for i in items if i[2] in category)
-    for limit in (0, 10, 10_000):
-        joined = lookup(many, one, "product_id", broadcast_rows=limit)
+    for limit in (0, 1 << 30):
+        joined = lookup(many, one, "product_id", broadcast_bytes=limit)
         assert joined.columns == ["product_id", *[c for c in many.columns if c != "product_id"],
                                   "category", "weight"]
         found = sorted((r["order_id"], r["order_item_id"], r["product_id"],
                         str((r["category"], r["weight"]))) for r in joined.collect())
         assert found == expected
-        assert ("SortMergeJoin" in plan(joined)) == (limit < 10_000)
-    empty = lookup(many.limit(0), one, "product_id", broadcast_rows=0)
+        assert ("SortMergeJoin" in plan(joined)) == (limit == 0)
+        assert "GlobalLimit" not in plan(joined)
+    empty = lookup(many.limit(0), one, "product_id", broadcast_bytes=0)
     assert empty.collect() == []

@@ -5,14 +5,16 @@ from decimal import Decimal
 import pytest
 
 from orderlens.__main__ import main
-from orderlens.operators.delivered import DELIVERED_COLUMNS
+from orderlens.operators.delivered import DELIVERED_COLUMNS, delivered_orders
 from orderlens.plans import etl_job
-from orderlens.session import shuffle_settings, use_checkpoint_dir
+from orderlens.session import shuffle_settings, size_shuffles, stored_bytes, use_checkpoint_dir
+from orderlens.sources import warehouse
 from orderlens.sources.csv_files import read_all, read_table
 from orderlens.sources.parquet_files import load_all, save_all, table_path
 from orderlens.sources.tables import ALL_TABLES, ORDER_REVIEWS, PRODUCTS, SELLERS, published_columns
 from orderlens.sources.warehouse import (
     MissingColumnsError,
+    current_database,
     publish,
     published_tables,
     register_views,
@@ -105,7 +107,12 @@ def test_whole_job(spark, folder, tmp_path, caplog):
     assert "orders: 2 rows, below expected" in caplog.text
     for name, table in ALL_TABLES.items():
         assert saved[name].columns == published_columns(table)
-        assert spark.table(f"shop_a.{name}").columns == published_columns(table)
+        assert spark.table(f"shop_a__one.{name}").columns == published_columns(table)
+    assert current_database(spark, "shop_a") == "shop_a__one"
+    view = spark.table("shop_a__one.v_delivered_orders")
+    expected = delivered_orders(saved["orders"])
+    assert tuple(view.columns) == DELIVERED_COLUMNS and dict(view.dtypes) == dict(expected.dtypes)
+    assert view.collect() == expected.collect()
     orders = {r["order_id"]: r for r in saved["orders"].collect()}
     assert orders["o1"]["order_delivered_carrier_date"] == datetime(2017, 10, 4, 19, 55)
     assert orders["o2"]["order_delivered_carrier_date"] is None
@@ -114,13 +121,15 @@ def test_whole_job(spark, folder, tmp_path, caplog):
     assert products["p3"]["product_weight_g"] == Decimal("612.5")
     assert products["p2"]["product_category_name_english"] == "unknown"
 
-    # The job again, with other data: saved files are replaced, the views move on.
+    # The job again, with other data: the old batch stays until there are too many.
     (folder / "shop_sellers_dataset.csv").write_text(
         "seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,1,a,SP\ns2,2,b,RJ\n")
     etl_job.run(spark, str(folder), target, database="shop_a", batch="two")
-    assert load_all(spark, target)["sellers"].count() == 2
     assert published_tables(spark, "shop_a")["sellers"].count() == 2
-    assert spark.table("shop_a.sellers__one").count() == 1
+    assert spark.table("shop_a__one.sellers").count() == 1
+    etl_job.run(spark, str(folder), target, database="shop_a", batch="zero")
+    kept = [row[0] for row in spark.sql("SHOW DATABASES LIKE 'shop_a__*'").collect()]
+    assert sorted(kept) == ["shop_a__two", "shop_a__zero"]
 
 
 def test_duplicate_reviews_stop_the_job(spark, folder, tmp_path, monkeypatch):
@@ -128,16 +137,65 @@ def test_duplicate_reviews_stop_the_job(spark, folder, tmp_path, monkeypatch):
         etl_job, "clean_all", lambda raw, impute_by=None: dict(raw))
     with pytest.raises(ValueError, match="order_reviews: 1 rows repeat"):
         etl_job.run(spark, str(folder), str(tmp_path / "processed"))
+    assert not (tmp_path / "processed" / "orders.parquet").exists()
+
+
+def test_malformed_numbers_stop_the_job(spark, folder, tmp_path):
+    items = folder / "shop_order_items_dataset.csv"
+    items.write_text(items.read_text().replace("58.90", "12.3.4").replace("0.01", ""))
+    with pytest.raises(etl_job.MalformedNumbersError, match="order_items.price: 1$"):
+        etl_job.run(spark, str(folder), str(tmp_path / "processed"))
     assert not (tmp_path / "processed").exists()
 
 
+def test_audits_see_the_raw_tables(spark, folder, tmp_path):
+    orders = folder / "shop_orders_dataset.csv"
+    orders.write_text(orders.read_text().replace("2017-10-04 19:55:00", "oops") + (
+        "o3,c1,delivered,2018-01-01 00:00:00,,2018-01-02 00:00:00,2018-01-09 00:00:00,bad-date\n"))
+    target = tmp_path / "p"
+    etl_job.run(spark, str(folder), str(target))
+
+    def audit(name):
+        return spark.read.parquet(table_path(str(target / "audits"), name))
+
+    durations = audit("audit_impossible_durations").first().asDict()
+    assert durations == {"delivered_orders": 2, "carrier_before_purchase": 0,
+                         "delivered_before_carrier": 0, "carrier_missing": 1}
+    assert audit("audit_batch_deliveries").count() == 0
+    assert tuple(audit("audit_duplicate_reviews").first()) == (1, 1)
+    missing = {r["column_name"]: r["null_count"] for r in audit("audit_null_profile").where(
+        "table_name = 'products'").collect()}
+    assert missing["product_category_name"] == 1
+    joint = audit("audit_missing_together").collect()
+    assert any(1 in tuple(row) for row in joint)
+
+
 def test_failed_publish_leaves_the_old_batch(spark, folder, tmp_path):
     saved = etl_job.run(spark, str(folder), str(tmp_path / "p"), database="shop_b", batch="one")
     broken = {**saved, "geolocation": saved["geolocation"].drop("geolocation_lat")}
     with pytest.raises(MissingColumnsError, match="geolocation_lat"):
         publish(spark, broken, "shop_b", "two")
-    assert not spark.catalog.tableExists("shop_b.customers__two")
-    assert spark.table("shop_b.orders").count() == 2
+    assert "shop_b__two" not in [row[0] for row in spark.sql("SHOW DATABASES").collect()]
+    assert published_tables(spark, "shop_b")["orders"].count() == 2
+
+
+def test_failed_switch_leaves_every_old_table(spark, folder, tmp_path, monkeypatch):
+    saved = etl_job.run(spark, str(folder), str(tmp_path / "p"), database="shop_e", batch="one")
+
+    def broken(*args):
+        raise RuntimeError("lost the catalog")
+
+    monkeypatch.setattr(warehouse, "_switch", broken)
+    with pytest.raises(RuntimeError):
+        publish(spark, {n: df.limit(0) for n, df in saved.items()}, "shop_e", "two")
+    found = published_tables(spark, "shop_e")
+    assert all(found[name].count() == saved[name].count() > 0 for name in ALL_TABLES)
+
+
+def test_nothing_published(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS shop_empty")
+    with pytest.raises(LookupError, match="shop_empty"):
+        published_tables(spark, "shop_empty")
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, folder, tmp_path):
@@ -170,9 +228,15 @@ def test_views_for_sql(spark, folder, tmp_path):
 def test_command_line(spark, folder, tmp_path, capsys):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     main(["load", str(folder), str(tmp_path / "p"), "--database", "shop_d", "--batch", "one"])
-    assert spark.table("shop_d.orders").count() == 2
-    main(["query", "late_delivery_rate", str(tmp_path / "p")])
+    assert spark.table("shop_d__one.orders").count() == 2
+    main(["query", "late_delivery_rate", "--database", "shop_d"])
     assert "|1               |0          |0.0          |8.44" in capsys.readouterr().out
+    out = str(tmp_path / "result")
+    main(["query", "delivered_orders", "--database", "shop_d", "--output", out])
+    assert spark.read.parquet(out).count() == 1
+    main(["query", "audit_duplicate_reviews", "--source", str(folder)])
+    main(["query", "audit_duplicate_reviews", "--tables", str(tmp_path / "p" / "raw")])
+    assert capsys.readouterr().out.count("|1            |1         |") == 2
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
@@ -181,6 +245,18 @@ def test_shuffle_partitions_follow_the_data():
     assert shuffle_settings(25 << 40) == {"spark.sql.shuffle.partitions": "204800"}
 
 
+def test_shuffle_partitions_follow_the_files(spark, tmp_path):
+    for name, size in (("a", 1000), ("b", 24)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part").write_bytes(b"x" * size)
+    assert stored_bytes(spark, str(tmp_path)) == 1024
+    assert stored_bytes(spark, str(tmp_path / "a"), f"file://{tmp_path}/b") == 1024
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    size_shuffles(spark, 100 << 30)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "800"
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_orders_are_sorted_by_purchase_inside_files(spark, folder, tmp_path):
     raw = read_all(spark, str(folder))
     save_all({"orders": raw["orders"].orderBy("order_id", ascending=False)}, str(tmp_path))
