@@ -8,10 +8,11 @@ such windows cover.
 Equal windows have equal anchors (see `anchors`), so:
 
 1. every document is cut into runs of windows with the same anchor;
-2. runs whose anchor hash occurs once are done, as they share nothing. A grouped
-   count finds the others, summed map-side;
-3. of the runs with the same anchor and content all but the first have earlier
-   copies throughout;
+2. of the runs with the same anchor and content all but the first have earlier
+   copies throughout. Each task leaves out those it sees itself, so a very
+   frequent run is one row a slice of texts;
+3. the others meet by anchor in one shuffle. Runs whose anchor hash occurs once
+   are done, as they share nothing;
 4. only where contents with the same anchor differ are single windows compared,
    and only in the first run of each content: by the operator's own method, on
    buckets of anchors. Anchors with more than ``HOT_CONTENTS`` contents go
@@ -58,6 +59,7 @@ def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(every, np.uint64, int(sizes.sum())), sizes
 
 
+_ODD = 0x9E3779B97F4A7C15
 _SPREAD_BYTES = anchors.mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -66,10 +68,19 @@ def _spread(symbols: np.ndarray) -> np.ndarray:
 
 
 def _all_runs(symbols_of, window: int, gram: int):
+    """Rows of ``key, start, windows, anchor, content`` and ``later`` for each slice of texts.
+
+    Of the runs of a slice with the same anchor and content all but the first are
+    known to be later ones, so a frequent run goes on once a slice. These have a
+    made-up anchor that spreads them evenly.
+    """
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             symbols, sizes = symbols_of(texts)
+            keys = part.column("key").to_numpy()
             first = np.cumsum(sizes) - sizes
+            blocks = []
             for at in range(0, len(symbols), BLOCK_SYMBOLS):
                 stop = min(len(symbols), at + BLOCK_SYMBOLS + window - 1)
                 place = np.arange(at, stop)
@@ -79,16 +90,31 @@ def _all_runs(symbols_of, window: int, gram: int):
                     _spread(symbols[at:stop]), left, window, gram
                 )
                 text = text[start]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("key").take(pa.array(text)),
-                        pa.array(at + start - first[text]),
-                        pa.array(windows.astype(np.int32)),
-                        pa.array(anchor.view(np.int64)),
-                        pa.array(content.view(np.int64)),
-                    ],
-                    ["key", "start", "windows", "anchor", "content"],
-                )
+                blocks.append((keys[text], at + start - first[text], windows, anchor, content))
+            if not blocks:
+                continue
+            key, start, windows, anchor, content = (np.concatenate(column) for column in zip(*blocks))
+            order = np.lexsort((start, key, content, anchor))
+            new = np.ones(len(key), bool)
+            for column in (anchor, content):
+                new[1:] &= column[order][1:] == column[order][:-1]
+            new[1:] = ~new[1:]
+            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+            later = np.zeros(len(key), bool)  # a repeated row is at the same place, not later
+            later[order] = (key[order] != key[lead]) | (start[order] != start[lead])
+            spread = anchors.mixed(key.astype(np.uint64) * np.uint64(_ODD) + start.astype(np.uint64))
+            anchor = np.where(later, spread, anchor)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(key),
+                    pa.array(start),
+                    pa.array(windows.astype(np.int32)),
+                    pa.array(anchor.view(np.int64)),
+                    pa.array(content.view(np.int64)),
+                    pa.array(later),
+                ],
+                ["key", "start", "windows", "anchor", "content", "later"],
+            )
 
     return found
 
@@ -108,26 +134,23 @@ def earlier_copies(
     docs = docs.where("key IS NOT NULL")
     runs = docs.mapInArrow(
         _all_runs(symbols_of, window, gram),
-        "key bigint, start bigint, windows int, anchor bigint, content bigint",
+        "key bigint, start bigint, windows int, anchor bigint, content bigint, later boolean",
     )
-    runs = written(runs, "runs")
-    shared = runs.groupBy("anchor").agg(
-        F.count("*").alias("n"), F.min("content").alias("least"), F.max("content").alias("most")
-    )
-    shared = written(
-        shared.where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("differ")), "shared"
+    # one shuffle by anchor serves all windows; known later runs are groups of their own
+    by_anchor = Window.partitionBy("anchor", "later")
+    by_content = Window.partitionBy("anchor", "later", "content").orderBy("key", "start")
+    runs = (
+        runs.repartition("anchor")
+        .withColumn("place", F.rank().over(by_content))
+        .withColumn("shared", F.count("*").over(by_anchor) > 1)
+        .withColumn("differ", F.min("content").over(by_anchor) != F.max("content").over(by_anchor))
+        .where("later OR shared AND (place > 1 OR differ)")
+        .select("key", "start", "windows", "anchor", (F.col("later") | (F.col("place") > 1)).alias("later"))
     )
-    runs = written(runs.join(small(shared, shared.count()), "anchor"), "shared-runs")
-    contents = runs.groupBy("anchor", "content").agg(
-        F.min(F.struct("key", "start")).alias("at"), F.first("windows").alias("windows"),
-        F.first("differ").alias("differ"),
-    )
-    contents = written(contents, "contents")
-    later = runs.join(contents.select("anchor", "content", "at"), ["anchor", "content"]).where(
-        F.struct("key", "start") != F.col("at")
-    )
-    spans = later.select("key", "start", (F.col("windows") + window - 1).cast("bigint").alias("length"))
-    unsure = contents.where("differ").select("anchor", "at.key", "at.start", "windows")
+    runs = written(runs, "runs")
+    length = (F.col("windows") + window - 1).cast("bigint")
+    spans = runs.where("later").select("key", "start", length.alias("length"))
+    unsure = runs.where("NOT later").select("anchor", "key", "start", "windows")
     sizes = unsure.groupBy("anchor").agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > hot_contents).select("anchor", F.lit(True).alias("hot"))
     hot = written(hot, "hot")
