@@ -110,7 +110,7 @@ def _odds(rate: Column) -> Column:
     return F.log(held / (1 - held))
 
 
-def _strength(sites: DataFrame, rate: Column) -> Column:
+def _strength(rate: Column) -> Column:
     """Pseudo-documents of the prior: large where the sites' rates differ by chance only.
 
     A method of moments: the spread of the sites' rates around ``rate``, less what
@@ -124,24 +124,26 @@ def _strength(sites: DataFrame, rate: Column) -> Column:
 
 
 def site_rates(expected: DataFrame, host: str, path: Sequence[str]) -> DataFrame:
-    """``host, *path, rate`` from one row a document with ``good``, its chance to be good.
+    """``host, *path, host_rate, path_rate`` from one row a document with ``good``, its chance to be good.
 
     Documents are summed per path map-side first; all later steps are on sites.
     """
-    paths = expected.groupBy(host, *path).agg(F.count("*").alias("n"), F.sum("good").alias("good"))
+    sites = [f"site_{i}" for i in range(1 + len(path))]
+    expected = expected.select(host, *path, "good").toDF(*sites, "good")
+    paths = expected.groupBy(*sites).agg(F.count("*").alias("n"), F.sum("good").alias("good"))
     paths = written(paths, "paths")
-    hosts = paths.groupBy(host).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    hosts = paths.groupBy("site_0").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     every = paths.agg(F.coalesce(F.sum("good") / F.sum("n"), F.lit(1.0)).alias("rate"))
     overall = F.lit(every.first()["rate"])
-    prior = hosts.agg(_strength(hosts, overall).alias("s")).first()["s"] or 1.0
+    prior = hosts.agg(_strength(overall).alias("s")).first()["s"] or 1.0
     hosts = hosts.select(
-        F.col(host).alias("host"),
+        F.col("site_0").alias("host"),
         ((F.col("good") + prior * overall) / (F.col("n") + prior)).alias("host_rate"),
     )
-    paths = paths.join(hosts, paths[host].eqNullSafe(hosts["host"])).drop("host")
-    prior = paths.agg(_strength(paths, F.col("host_rate")).alias("s")).first()["s"] or 1.0
+    paths = paths.join(hosts, F.col("site_0").eqNullSafe(F.col("host"))).drop("host")
+    prior = paths.agg(_strength(F.col("host_rate")).alias("s")).first()["s"] or 1.0
     rate = (F.col("good") + prior * F.col("host_rate")) / (F.col("n") + prior)
-    return paths.select(host, *path, "host_rate", rate.alias("path_rate"))
+    return paths.select(*sites, "host_rate", rate.alias("path_rate")).toDF(host, *path, "host_rate", "path_rate")
 
 
 def _scored(

@@ -57,11 +57,12 @@ _BYTE_CLASSES = np.array([[chr(b) in chars for b in range(256)] for chars in _CL
 _OBFUSCATED = re.compile(r"[^\W\d_][0-9@$!|*]+[^\W\d_]")
 _STRETCHED = re.compile(r"(\w)\1\1")
 _LETTERS = re.compile(r"[\W\d_]+")
+_EDGES = re.compile(r"^\W+|\W+$")
 
 
 def plain(word: str) -> str:
     """Lower case, look-alike signs between letters read as letters, other signs dropped."""
-    word = word.lower()
+    word = _EDGES.sub("", word.lower())
     if _OBFUSCATED.search(word):
         word = word.translate(LOOKALIKES)
     return _LETTERS.sub("", word)
