@@ -12,6 +12,7 @@ number is bounded by the bucket widths and not by the number of rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,20 +57,19 @@ def middle_values(
     located = _locate_ranks(counted, keys, list(totals))
     narrowed = located
     if len(widths) > 1:
-        sized = rows.where("value IS NOT NULL").select(
-            *keys, _bucket(widths[0], "outer"), F.col("value").alias("bucket")
-        )
+        sized = rows.select(*keys, _bucket(widths[0], "outer"), F.col("value").alias("bucket"))
         if few:
             exact = (
-                sized.join(F.broadcast(located), [*keys, "outer"])
+                _meet(sized, located, [*keys, "outer"], few)
                 .groupBy(*carried, "rank", "bucket")
                 .agg(F.count("*").alias("n"))
             )
         else:
-            exact = (
-                sized.groupBy(*keys, "outer", "bucket")
-                .agg(F.count("*").alias("n"))
-                .join(located, [*keys, "outer"])
+            exact = _meet(
+                sized.groupBy(*keys, "outer", "bucket").agg(F.count("*").alias("n")),
+                located,
+                [*keys, "outer"],
+                few,
             )
         for width in widths[1:-1]:
             exact = exact.withColumn("outer", _bucket(width, "outer", "bucket"))
@@ -77,11 +77,8 @@ def middle_values(
                 F.sum("n").alias("n")
             )
             found = _narrow(coarse, carried).select(*keys, "side", "outer", "rank")
-            exact = exact.drop("rank").join(F.broadcast(found) if few else found, [*keys, "side", "outer"])
+            exact = _meet(exact.drop("rank"), found, [*keys, "side", "outer"], few)
         narrowed = _narrow(exact, carried)
-    if totals:  # a group without any value still has its totals
-        empty = located.where("total = 0").select(narrowed.columns)
-        narrowed = narrowed.unionByName(empty)
     return narrowed.groupBy(*keys).agg(
         F.min("outer").alias("lower"),
         F.max("outer").alias("upper"),
@@ -89,6 +86,14 @@ def middle_values(
     )
 
 
+def _meet(rows: DataFrame, located: DataFrame, on: Sequence[str], few: bool) -> DataFrame:
+    """Inner join in which NULLs are equal, so that groups without any value stay."""
+    renamed = located.withColumnsRenamed({c: f"at_{c}" for c in on})
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in on))
+    joined = rows.join(F.broadcast(renamed) if few else renamed, same)
+    return joined.drop(*[f"at_{c}" for c in on])
+
+
 def _bucket(width: int, name: str, value: str = "value") -> Column:
     """Floor of ``value / width`` on integers, also for negative values."""
     if width == 1:

@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 # A key with at least this share of the rows counts as frequent: at most 1,000 keys.
 FREQUENT_SHARE = 0.001
+_UNKNOWN_BYTES = 1 << 62
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """What the optimizer expects the rows to take, from file sizes and chosen columns."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """What the optimizer expects the rows to take, from file sizes and chosen columns.
+
+    Where it knows nothing of a size, the rows are counted.
+    """
+    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if expected >= _UNKNOWN_BYTES:
+        return df.count() * df._jdf.schema().defaultSize()
+    return expected
 
 
 def lookup(
@@ -21,7 +28,7 @@ def lookup(
 ) -> DataFrame:
     """Inner join of a large table with a table that has one short row per ``key``.
 
-    ``one`` is broadcast if its estimated size allows it, which needs no job.
+    ``one`` is broadcast if its estimated size allows it, which needs no job for files.
     Otherwise a key may hold a third of ``many``, so frequent keys are found first,
     by Spark's bounded frequent-items pass over that one column. Rows holding them
     meet a broadcast of their at most 1,000 rows of ``one`` without a shuffle; the

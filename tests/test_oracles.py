@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from orderlens.operators import quality
 from orderlens.operators.cleaning import clean_all
 from orderlens.operators.delivered import order_values
 from orderlens.plans import business_cases, chart_data, kpis
@@ -89,7 +90,7 @@ def test_totals_agree(shop):
     always = replace(s, analysis=DateRange(date(1900, 1, 1), date(2100, 1, 1)))
     months = kpis.monthly_trend(shop, always)
     itemless = (
-        registry.quality.itemless_orders(
+        quality.itemless_orders(
             {**shop, "orders": kpis.delivered_facts(shop["orders"]).selectExpr(
                 "order_id", "'delivered' AS order_status")}
         ).first()["orders"]
