@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 # A key with at least this share of the rows counts as frequent: at most 1,000 keys.
 FREQUENT_SHARE = 0.001
-_UNKNOWN_BYTES = 1 << 62
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """What the optimizer expects the rows to take, from file sizes and chosen columns.
+def is_small(df: DataFrame, most_bytes: int) -> bool:
+    """Whether the rows take at most ``most_bytes``.
 
-    Where it knows nothing of a size, the rows are counted.
+    The optimizer's estimate from file sizes and chosen columns settles it without
+    a job where it is low enough; it multiplies the sizes of joined tables, so
+    otherwise the rows are counted, one number per task.
     """
-    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if expected >= _UNKNOWN_BYTES:
-        return df.count() * df._jdf.schema().defaultSize()
-    return expected
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most_bytes:
+        return True
+    return df.count() * df._jdf.schema().defaultSize() <= most_bytes
 
 
 def lookup(
@@ -28,7 +28,7 @@ def lookup(
 ) -> DataFrame:
     """Inner join of a large table with a table that has one short row per ``key``.
 
-    ``one`` is broadcast if its estimated size allows it, which needs no job for files.
+    ``one`` is broadcast if its size allows it, which for files needs no job.
     Otherwise a key may hold a third of ``many``, so frequent keys are found first,
     by Spark's bounded frequent-items pass over that one column. Rows holding them
     meet a broadcast of their at most 1,000 rows of ``one`` without a shuffle; the
@@ -36,7 +36,7 @@ def lookup(
     count as frequent affects speed only: every row is in exactly one of the two
     parts. That way gives up buckets of ``many`` on another column.
     """
-    if estimated_bytes(one) <= broadcast_bytes:
+    if is_small(one, broadcast_bytes):
         return many.join(F.broadcast(one), key)
     found = many.stat.freqItems([key], FREQUENT_SHARE).first()[0]
     is_frequent = F.col(key).isin([k for k in found if k is not None])
