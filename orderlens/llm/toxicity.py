@@ -74,26 +74,31 @@ def entries(word: str) -> list[str]:
 
 
 class Marks(dict):
-    """For each word as written: lexicon weight, second person, obfuscated, capitals, stretched."""
+    """For each word as written: the place of its weight in ``weights``, times 16, and four flags.
+
+    The flags are: second person, obfuscated, capitals, stretched.
+    """
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
-        self.lexicon = lexicon
+        self.weights = np.array([0.0, *lexicon.values()])
+        self.places = {entry: place for place, entry in enumerate(lexicon, 1)}
 
-    def __missing__(self, token: bytes) -> tuple[float, int]:
+    def __missing__(self, token: bytes) -> int:
         word = token.decode()
         bare = plain(word)
-        weight = max((self.lexicon.get(e, 0.0) for e in entries(bare)), default=0.0) if bare else 0.0
-        flags = (
-            (bare in SECOND_PERSON)
+        found = [self.places[e] for e in entries(bare) if e in self.places] if bare else []
+        place = max(found, key=lambda i: self.weights[i], default=0)
+        if len(self) > MEMORY_WORDS:
+            self.clear()
+        self[token] = mark = (
+            place << 4
+            | (bare in SECOND_PERSON)
             | bool(_OBFUSCATED.search(word)) << 1
             | (len(bare) > 1 and word.isupper()) << 2
             | bool(_STRETCHED.search(word)) << 3
         )
-        if len(self) > MEMORY_WORDS:
-            self.clear()
-        self[token] = found = (weight, flags)
-        return found
+        return mark
 
 
 def features_of(text: bytes, marks: Marks) -> np.ndarray:
@@ -102,8 +107,8 @@ def features_of(text: bytes, marks: Marks) -> np.ndarray:
     found = np.zeros(len(FEATURES))
     if not tokens:
         return found
-    table = np.array(list(map(marks.__getitem__, tokens)))
-    weight, flags = table[:, 0], table[:, 1].astype(np.int64)
+    flags = np.fromiter(map(marks.__getitem__, tokens), np.int64, len(tokens))
+    weight = marks.weights[flags >> 4]
     hits, second = weight > 0, (flags & 1) > 0
     words, hit_count = len(tokens), int(hits.sum())
     close = 0
