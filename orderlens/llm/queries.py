@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.llm import (
     graph_index,
+    merkle_manifest,
     packing,
     piece_sampling,
     quality_classifier,
@@ -149,6 +150,79 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", kept)
 
 
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest.manifest(
+        _table(spark, folder, "documents"),
+        tampered={"text": F.translate("text", CAPITALS, CAPITALS.lower())},
+        tampered_if=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+    )
+
+
+# The CRC-32 of the key's digits: the reflected polynomial, bit by bit.
+CRC32 = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)))"""
+
+
+def _merkle_sql(fanout: int = 16, group_levels: int = 7, top_levels: int = 5) -> str:
+    """Trees level by level; a level of one node is passed on as it is. Enough levels for 16 ** 7 leaves."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+
+    def leaf(replaced: dict[str, str]) -> str:
+        parts = []
+        for name in fields:
+            value = f"CAST({replaced.get(name, name)} AS VARCHAR)"
+            parts.append(f"coalesce(CAST(strlen({value}) AS VARCHAR) || ':' || {value}, '-')")
+        return f"sha256({' || '.join(parts)})"
+
+    letters = f"translate(text, '{CAPITALS}', '{CAPITALS.lower()}')"
+    steps = [
+        f"""leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM (SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf({})} AS leaf,
+               {leaf({"text": letters})} AS altered FROM documents))""",
+        "g0 AS (SELECT tree, i, leaf AS d FROM leaves)",
+    ]
+
+    def levels(name: str, count: int) -> None:
+        for n in range(1, count + 1):
+            steps.append(f"""{name}{n} AS (
+  SELECT tree, i // {fanout} AS i,
+         CASE WHEN any_value(nodes) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS nodes FROM {name}{n - 1}) GROUP BY tree, i // {fanout})""")
+            steps.append(f"""{name}_path{n} AS (
+  SELECT a.tree, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+         coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS behind,
+         any_value(b.nodes) > 1 AS hashed
+  FROM {name}{n - 1} a JOIN (SELECT *, count(*) OVER (PARTITION BY tree) AS nodes FROM {name}{n - 1}) b
+    ON a.tree = b.tree AND a.i // {fanout} = b.i // {fanout} GROUP BY a.tree, a.i)""")
+
+    levels("g", group_levels)
+    steps.append(f"""t0 AS (SELECT '' AS tree, tree AS part, row_number() OVER (ORDER BY tree) - 1 AS i, d
+  FROM g{group_levels})""")
+    levels("t", top_levels)
+    steps.append(f"""f0 AS (
+  SELECT l.*, t0.i AS top, t0.d AS subroot, '' AS proof,
+         CASE WHEN crc32_of % 5 = 0 THEN altered ELSE leaf END AS folded
+  FROM (SELECT *, {CRC32} AS crc32_of FROM leaves) l JOIN t0 ON t0.part = l.tree)""")
+    last = 0
+    for name, count, tree, at in (("g", group_levels, "f.tree", "f.i"), ("t", top_levels, "''", "f.top")):
+        for n in range(1, count + 1):
+            steps.append(f"""f{last + 1} AS (
+  SELECT f.* REPLACE (proof || before || behind AS proof,
+                      CASE WHEN hashed THEN sha256(before || folded || behind) ELSE folded END AS folded)
+  FROM f{last} f JOIN {name}_path{n} p ON p.tree = {tree} AND p.i = {at} // {fanout ** (n - 1)})""")
+            last += 1
+    return f"""WITH {", ".join(steps)}
+SELECT doc_id, leaf, subroot, t.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = t.d AS verified
+FROM f{last} CROSS JOIN t{top_levels} t"""
+
+
 QUERIES: dict[str, Runner] = {
     "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -160,9 +234,11 @@ QUERIES: dict[str, Runner] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 # DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op1_url_filters": URL_FILTERS_SQL,
+    "op13_merkle_manifest": _merkle_sql(),
 }
