@@ -19,6 +19,7 @@ from orderlens.llm import (
     suffix_dedup,
     toxicity,
     url_filter,
+    window_packing,
 )
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -150,6 +151,10 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", kept)
 
 
+def op12_window_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return window_packing.pack_windows(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -234,6 +239,7 @@ QUERIES: dict[str, Runner] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op12_window_packing": op12_window_packing,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 

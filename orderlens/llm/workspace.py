@@ -56,15 +56,12 @@ def column_of(name: str, field: str | None = None) -> Callable[[pa.RecordBatch],
     return lambda batch: batch.column(name).field(field)
 
 
-def slices(
+def parts_of(
     batches: Iterator[pa.RecordBatch],
-    text_of: Callable[[pa.RecordBatch], pa.Array] = column_of("text"),
     limit: int = SLICE_BYTES,
-) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Runs of rows with about ``limit`` bytes of text, and their texts (null: empty) as UTF-8.
-
-    A longer text is a run of its own.
-    """
+    text_of: Callable[[pa.RecordBatch], pa.Array] = column_of("text"),
+) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``limit`` bytes of text; a longer text is a run of its own."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(text_of(batch)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths.astype(np.int64))
@@ -72,7 +69,16 @@ def slices(
         while start < len(lengths):
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
-            part = batch.slice(start, stop - start)
-            texts = text_of(part).cast(pa.binary()).to_pylist()
-            yield part, [t or b"" for t in texts]
+            yield batch.slice(start, stop - start)
             start = stop
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch],
+    text_of: Callable[[pa.RecordBatch], pa.Array] = column_of("text"),
+    limit: int = SLICE_BYTES,
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The runs of `parts_of` and their texts (null: empty) as UTF-8."""
+    for part in parts_of(batches, limit, text_of):
+        texts = text_of(part).cast(pa.binary()).to_pylist()
+        yield part, [t or b"" for t in texts]
