@@ -11,6 +11,7 @@ from orderlens.llm import (
     graph_index,
     merkle_manifest,
     packing,
+    phrase_mining,
     piece_sampling,
     quality_classifier,
     quality_rules,
@@ -151,6 +152,44 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", kept)
 
 
+def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_mining.collocations(_table(spark, folder, "documents"))
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), counts AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM pieces CROSS JOIN (VALUES (1), (2), (3), (4), (5)) sizes(k))
+  GROUP BY ALL
+), candidates AS (
+  SELECT c.lang, k, phrase, f AS a, n
+  FROM counts c JOIN (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang) USING (lang)
+  WHERE k > 1 AND f >= 100
+), cuts AS (
+  SELECT lang, k, phrase, a, n, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, c.k, a, h.f AS l, r.f AS r, n,
+         1000::HUGEINT * a * n // (h.f::HUGEINT * r.f) AS score, j
+  FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = head JOIN counts r ON r.lang = c.lang AND r.phrase = rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM scored s
+WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.lang = s.lang AND c.k > s.k AND 100 * c.a >= 100 * s.a
+                  AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' '))
+QUALIFY rank <= 2000
+"""
+
+
 def op12_window_packing(spark: SparkSession, folder: str) -> DataFrame:
     return window_packing.pack_windows(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -239,6 +278,7 @@ QUERIES: dict[str, Runner] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_window_packing": op12_window_packing,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -246,5 +286,6 @@ QUERIES: dict[str, Runner] = {
 # DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op1_url_filters": URL_FILTERS_SQL,
+    "op11_phrase_mining": PHRASES_SQL,
     "op13_merkle_manifest": _merkle_sql(),
 }
