@@ -20,6 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 from string import punctuation
 
@@ -36,8 +37,8 @@ from orderlens.llm.workspace import column_of, slices, whole_rows
 SMOOTHING = 0.7
 SEED = 17
 SPACE = "▁"
-# Edges of remembered lattices in a worker, and the longest word remembered.
-MEMORY_EDGES = 3_000_000
+# Edges of the lattices a task remembers, some 30 bytes each, and the longest word remembered.
+MEMORY_EDGES = 1_500_000
 MEMORY_CHARS = 48
 # Text bytes sampled in one go, and rows decoded in one go.
 RUN_BYTES, RUN_ROWS = 1 << 20, 500
@@ -343,12 +344,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _lattices(path: str, smoothing: float) -> Lattices:
-    return Lattices(Pieces(path, smoothing))
+@lru_cache(maxsize=1)
+def _pieces(path: str, smoothing: float) -> Pieces:
+    """The model, which a worker keeps; lattices are forgotten when a task ends."""
+    return Pieces(path, smoothing)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _piece_bytes(path: str) -> list[bytes]:
     """What each piece stands for."""
     model = SentencePieceProcessor(model_file=path)
@@ -364,6 +366,15 @@ def _piece_bytes(path: str) -> list[bytes]:
     return found
 
 
+def _row_keys(keys: pa.Array, seed: int) -> np.ndarray:
+    names = [str(k).encode() for k in keys.to_pylist()]
+    return np.array([xxhash.xxh3_64_intdigest(k, seed) for k in names], np.uint64)
+
+
+def _text_of(ids: list[int], table: list[bytes]) -> str:
+    return b"".join(map(table.__getitem__, ids)).removeprefix(b" ").decode()
+
+
 def encode(
     docs: DataFrame,
     model: str,
@@ -383,11 +394,10 @@ def encode(
     rows = whole_rows(docs)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _lattices(model, smoothing)
+        known = Lattices(_pieces(model, smoothing))
         key_of, text_of = column_of("row", key), column_of("row", text)
         for part, texts in slices(batches, text_of, RUN_BYTES):
-            names = [str(k).encode() for k in key_of(part).to_pylist()]
-            keys = np.array([xxhash.xxh3_64_intdigest(k, seed) for k in names], np.uint64)
+            keys = _row_keys(key_of(part), seed)
             ids = known.sample([t.decode() for t in texts], keys)
             offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32())
             values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
@@ -416,8 +426,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
                 for row in column_of("row", ids)(part):
                     found = None
                     if row.is_valid:
-                        found = b"".join(map(table.__getitem__, row.values.to_numpy().tolist()))
-                        found = found.removeprefix(b" ").decode()
+                        found = _text_of(row.values.to_numpy().tolist(), table)
                     texts.append(found)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), pa.array(texts, pa.string())], ["row", "decoded"]
@@ -427,14 +436,43 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     return whole.mapInArrow(joined, schema)
 
 
-def round_trip(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_pieces, ids_hash, decoded_sha256, lossless`` of each row, encoded and decoded."""
-    encoded = encode(docs.select(key, text), model, key, text)
-    found = decode(encoded, model)
-    return found.select(
-        F.col(f"row.row.{key}").alias(key),
-        F.size("row.ids").cast("bigint").alias("n_pieces"),
-        F.xxhash64("row.ids").alias("ids_hash"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.col("decoded").eqNullSafe(F.col(f"row.row.{text}")).alias("lossless"),
-    )
+def round_trip(
+    docs: DataFrame,
+    model: str,
+    key: str = "doc_id",
+    text: str = "text",
+    smoothing: float = SMOOTHING,
+    seed: int = SEED,
+) -> DataFrame:
+    """``key, n_pieces, ids_hash, decoded_sha256, lossless`` of each row, as `encode` and `decode` give them.
+
+    Both are done in one step, a run of texts at a time, so that neither texts nor
+    ids travel between workers.
+    """
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table = Lattices(_pieces(model, smoothing)), _piece_bytes(model)
+        for part, texts in slices(batches, limit=RUN_BYTES):
+            ids = known.sample([t.decode() for t in texts], _row_keys(part.column("key"), seed))
+            missing = part.column("text").is_null().to_pylist()
+            counts, hashes, digests, same = [], [], [], []
+            for own, source, no_text in zip(ids, texts, missing):
+                decoded = b"" if no_text else _text_of(own.tolist(), table).encode()
+                counts.append(None if no_text else len(own))
+                hashes.append(None if no_text else xxhash.xxh3_64_intdigest(own.astype("<i4").tobytes(), SEED))
+                digests.append(None if no_text else sha256(decoded).hexdigest())
+                same.append(decoded == source)
+            columns = [
+                part.column("key"),
+                pa.array(counts, pa.int64()),
+                pa.array(hashes, pa.uint64()).view(pa.int64()),
+                pa.array(digests, pa.string()),
+                pa.array(same),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", *names])
+
+    names = ["n_pieces", "ids_hash", "decoded_sha256", "lossless"]
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"key {kind}, n_pieces bigint, ids_hash bigint, decoded_sha256 string, lossless boolean"
+    return rows.mapInArrow(tried, schema).withColumnRenamed("key", key)

@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -104,3 +105,16 @@ def test_null_keys_repeated_rows_and_empty_tables(spark):
     assert len(found) == 3
     assert found[1].ids == found[2].ids
     assert piece_sampling.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_the_round_trip_in_one_step_is_that_of_both(spark):
+    docs = documents(spark, AWKWARD + [prose(i, 30) for i in range(20)])
+    encoded = piece_sampling.encode(docs, PATH)
+    decoded = {r.row.row.doc_id: (r.decoded, r.row.ids) for r in piece_sampling.decode(encoded, PATH).collect()}
+    for row in piece_sampling.round_trip(docs, PATH).collect():
+        text, ids = decoded[row.doc_id]
+        if text is None:
+            assert (row.n_pieces, row.ids_hash, row.decoded_sha256, row.lossless) == (None, None, None, True)
+        else:
+            assert row.n_pieces == len(ids) and row.lossless
+            assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
