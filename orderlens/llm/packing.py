@@ -15,11 +15,11 @@ cell costs at most a few sequences more than one packing of everything would.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,8 +35,8 @@ END_ID = 0
 GROUPS = 64
 SMALL_PART = 8
 CELL_PIECES = 1 << 16
-# Words (in two generations) and pre-tokens whose ids a worker remembers, and the longest of them.
-MEMORY_WORDS, MEMORY_TOKENS = 250_000, 600_000
+# Words (in two generations) and pre-tokens whose ids a task remembers, and the longest of them.
+MEMORY_WORDS, MEMORY_TOKENS = 200_000, 400_000
 MEMORY_CHARS = 64
 # Letters that normalization only lower-cases, and signs but the apostrophe (which may take a letter).
 PLAIN_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
@@ -65,6 +65,7 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        require_plain_words(self.tokenizer)
         self.model = self.tokenizer.model
         self.older: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {"": b""}
@@ -103,9 +104,15 @@ class WordIds(dict):
         return found
 
 
-@lru_cache(maxsize=2)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def require_plain_words(tokenizer: Tokenizer) -> None:
+    """Raise unless texts are lower-cased and cut at white space, which is then dropped."""
+    rules = json.loads(tokenizer.to_str())
+    normalizers = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+    cutters = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    split = cutters[0].get("type"), cutters[0].get("behavior"), cutters[0].get("invert")
+    ends = rules["model"].get("end_of_word_suffix")
+    if normalizers != ["NFC", "Replace", "Lowercase"] or split != ("Split", "Removed", True) or not ends:
+        raise ValueError("the vocabulary is not one of lower-case words without white space")
 
 
 def tokenized_pieces(
@@ -115,7 +122,7 @@ def tokenized_pieces(
     end = np.array([END_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _word_ids(tokenizer)
+        known = WordIds(tokenizer)  # forgotten when the task ends
         for part, texts in slices(batches):
             rows, numbers, starts, lengths, sums = [], [], [], [], []
             for row, ids in enumerate(known.of_texts([t.decode() for t in texts])):
@@ -306,7 +313,8 @@ def pack_documents(
     A document is its ids and ``END_ID``; only one longer than the capacity is
     cut, into full pieces and a rest. A null or empty text is the one id
     ``END_ID``. Rows may repeat and keys may be null: each row is packed for
-    itself. An empty table gives no rows; other columns are ignored.
+    itself. An empty table gives no rows; other columns are ignored. Vocabularies
+    that do not lower-case and drop white space are refused.
     """
     pieces = written(tokenized_pieces(docs, tokenizer, key, text, capacity), "pieces")
     return packed(pieces, capacity, cell_pieces).withColumnRenamed("key", key)

@@ -73,3 +73,8 @@ def test_groups_have_equal_cardinality():
     assert len(sizes) == 16
     assert max(sizes.values()) - min(sizes.values()) <= 10
     assert sum(sizes.values()) == 10 * (2047 - 256)
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="lower-case"):
+        packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
