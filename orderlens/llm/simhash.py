@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.components import connected_components
-from orderlens.llm.workspace import slices, small, written
+from orderlens.llm.workspace import slices, small, whole_rows, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -157,16 +157,34 @@ def near_duplicates(
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of their component, all columns kept.
+    """One row of each group of near duplicates, with the smallest key of the group, all columns kept.
 
-    Of several rows with the same key one stays, any if they differ. A row with a
-    null key has no duplicates.
+    Rows are judged, not keys: rows with the same key and different texts may
+    belong to different groups, and of several rows of a group that share its
+    smallest key one stays. A row with a null key has no duplicates. An empty
+    table gives an empty result.
     """
-    found = near_duplicates(docs, key, text)
-    gone = written(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "near-duplicates")
-    kept = docs.join(small(gone, gone.count()), key, "left_anti")
     keys = docs.where(F.col(key).isNotNull()).groupBy(key).count()
-    if keys.where("count > 1").isEmpty():
-        return kept
-    unnamed = kept.where(F.col(key).isNull())
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(unnamed)
+    if not keys.where("count > 1").isEmpty():
+        return _one_row_a_group(docs, key, text)
+    found = near_duplicates(docs, key, text)
+    gone = written(found.where(F.col(key) != F.col("component_id")).select(key), "near-duplicates")
+    return docs.join(small(gone, gone.count()), key, "left_anti")
+
+
+def _one_row_a_group(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The same for repeated keys: rows are numbered in a written copy, and the number decides."""
+    numbered = written(whole_rows(docs).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    named = numbered.where(F.col(f"row.{key}").isNotNull())
+    texts = named.select(F.col("number"), F.col(f"row.{text}").alias("text"))
+    prints = written(fingerprints(texts, "number", "text"), "fingerprints")
+    prints = prints.join(named.select("number", F.col(f"row.{key}").alias("key")), "number")
+    nodes = written(prints.groupBy("fingerprint").agg(F.min("number").alias("node")), "nodes")
+    found = connected_components(links(nodes, MAX_BITS, LIST_LIMIT), "a", "b")
+    group = F.coalesce("component", "node").alias("group")
+    rows = prints.join(nodes.join(found, "node", "left").select("fingerprint", group), "fingerprint")
+    rows = written(rows.select("number", "key", "group"), "groups")
+    first = rows.groupBy("group").agg(F.min(F.struct("key", "number")).alias("first"))
+    gone = written(rows.join(first.select("first.number"), "number", "left_anti").select("number"), "near-duplicates")
+    kept = numbered.join(small(gone, gone.count()), "number", "left_anti")
+    return kept.select("row.*")

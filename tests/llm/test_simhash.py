@@ -87,3 +87,35 @@ def test_one_component_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(None, 3), (7, 7)], "a bigint, b bigint")
     found = simhash.connected_components(edges, "a", "b")
     assert collected(found, "node", "component") == [(i, 0) for i in range(61)]
+
+
+def test_rows_with_the_same_key_are_judged_alone(spark):
+    a, b, c, d = (prose(i, 60) for i in (21, 22, 23, 24))
+    docs = documents(spark, [(1, a), (5, a), (5, b), (7, c), (7, c), (8, d), (None, d), (None, a)])
+    kept = simhash.without_near_duplicates(docs.repartition(4))
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert found == sorted([(1, a), (5, b), (7, c), (8, d), (0, d), (0, a)])
+
+
+def test_groups_of_repeated_keys_against_all_pairs(spark):
+    draw = random.Random(3)
+    base = [prose(100 + i, 40) for i in range(12)]
+    rows = []
+    for i in range(120):
+        words = draw.choice(base).split()
+        if draw.random() < 0.5:
+            words[draw.randrange(len(words))] = draw.choice(["x", "y"])
+        rows.append((draw.randint(1, 40), " ".join(words)))
+    prints = [simhash._fingerprint(t.encode(), simhash.SHINGLE_WORDS) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, p in enumerate(prints):
+            group[i] = min(group[j] for j, q in enumerate(prints) if (p ^ q).bit_count() <= 2)
+    smallest = {}
+    for (key, _), g in zip(rows, group):
+        smallest[g] = min(key, smallest.get(g, key))
+    found = simhash.without_near_duplicates(documents(spark, rows)).collect()
+    assert sorted(r.doc_id for r in found) == sorted(smallest.values())
+    of_text = {t: g for (_, t), g in zip(rows, group)}
+    assert len({of_text[r.text] for r in found}) == len(found) == len(smallest)
