@@ -32,6 +32,9 @@ def main(argv: list[str] | None = None) -> None:
     load.add_argument("--database")
     load.add_argument("--batch")
     load.add_argument("--impute-by")
+    load.add_argument(
+        "--allow-malformed", action="store_true", help="malformed numbers become NULL instead of stopping the load"
+    )
     load.add_argument(
         "--buckets", type=int, help="buckets of published facts on order_id; 0: none, default: by size"
     )
@@ -61,6 +64,7 @@ def main(argv: list[str] | None = None) -> None:
         etl_job.run(
             spark, args.source, args.target, args.database, args.batch,
             impute_by=args.impute_by, buckets=order_buckets(count) if count else None,
+            allow_malformed=args.allow_malformed,
         )
         return
     result = {**QUERIES, **AUDITS}[args.name](_tables(spark, args), Settings())

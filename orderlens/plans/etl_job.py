@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping
-from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.cleaning import clean_all, parse_moments
+from ..operators.cleaning import clean_all
 from ..operators.quality import require_unique
 from ..session import use_checkpoint_dir
 from ..settings import Settings
-from ..sources.csv_files import malformed_numbers, read_all_text, with_numbers
-from ..sources.parquet_files import load_all, save_all, table_path
+from ..sources.batches import now
+from ..sources.csv_files import parsed, rejected_values
+from ..sources.parquet_files import commit, commit_all, discard, load_all, new_batch, save_table, table_path
 from ..sources.tables import ALL_TABLES, ORDER_REVIEWS
 from ..sources.warehouse import publish, published_form, published_tables
 from .catalogue import AUDITS
@@ -25,14 +26,56 @@ class MalformedNumbersError(ValueError):
     """A source file holds values that are no numbers."""
 
 
+QUARANTINE = "quarantine"
+
+
 def audit(raw: Mapping[str, DataFrame], folder: str, settings: Settings | None = None) -> None:
     """Save every audit of the raw tables as ``folder/NAME.parquet``."""
     for name, query in AUDITS.items():
-        query(raw, settings or Settings()).coalesce(1).write.mode("overwrite").parquet(
+        query(raw, settings or Settings()).repartition(1).write.mode("overwrite").parquet(
             table_path(folder, name)
         )
 
 
+def ingest(spark: SparkSession, source_folder: str, target_folder: str, allow_malformed: bool = False) -> int:
+    """Parse the files, once, into a new batch of ``target_folder/raw``; the number of malformed values.
+
+    Malformed values become NULL, are counted by column during that pass and kept,
+    with table, column and file, in ``target_folder/quarantine.parquet``. Without
+    ``allow_malformed`` a malformed number stops the job and nothing stays behind;
+    a malformed timestamp never does.
+    """
+    target = target_folder.rstrip("/")
+    tables = [parsed(spark, source_folder, table) for table in ALL_TABLES.values()]  # all files are there
+    batch = new_batch(f"{target}/raw")
+    try:
+        malformed = {}
+        for part in tables:
+            save_table(part.table.name, part.rows, batch)
+            malformed[part.table.name] = part.malformed()
+        numbers = [
+            f"{part.table.name}.{column}: {n}"
+            for part in tables
+            for column, n in malformed[part.table.name].items()
+            if column in part.numbers
+        ]
+        if numbers and not allow_malformed:
+            raise MalformedNumbersError(f"values that are no numbers: {', '.join(numbers)}")
+    except BaseException:
+        discard(spark, batch)
+        raise
+    for name, columns in malformed.items():
+        for column, n in columns.items():
+            log.warning("%s.%s: %d malformed values", name, column, n)
+    # only the tables that have any are read again, and of these one column
+    found = [n for n in ALL_TABLES if malformed[n]]
+    parts = [rejected_values(n, spark.read.parquet(table_path(batch, n))) for n in found]
+    empty = spark.createDataFrame([], "table_name string, column_name string, value string, file string")
+    reduce(DataFrame.unionByName, parts, empty).write.mode("overwrite").parquet(table_path(target, QUARANTINE))
+    commit(spark, batch)
+    return sum(n for columns in malformed.values() for n in columns.values())
+
+
 def run(
     spark: SparkSession,
     source_folder: str,
@@ -42,28 +85,18 @@ def run(
     impute_by: str | None = None,
     buckets: Mapping[str, tuple[str, int]] | None = None,
     settings: Settings | None = None,
+    allow_malformed: bool = False,
 ) -> dict[str, DataFrame]:
     """Turn a folder of CSV files into checked tables and return them.
 
-    Malformed numbers stop the job before anything is saved, with their columns
-    and counts; malformed timestamps become NULL. The files are then parsed once,
-    into ``target_folder/raw``, where the audits (saved in ``target_folder/audits``)
-    and the cleaning read them; small row counts are reported. Reviews that still
-    repeat an order after cleaning stop the job before a cleaned table is saved.
-    The cleaned tables are written once: published in ``database`` if it is given,
-    else saved in ``target_folder``.
+    The files are parsed once, by `ingest`, into ``target_folder/raw``, where the
+    audits (saved in ``target_folder/audits``) and the cleaning read them; small row
+    counts are reported. Reviews that still repeat an order after cleaning stop the
+    job before a cleaned table is saved. The cleaned tables are written once:
+    published in ``database`` if it is given, else committed in ``target_folder``.
     """
-    text = read_all_text(spark, source_folder)
-    malformed = malformed_numbers(text).collect()  # one row per declared number column at most
-    if malformed:
-        named = ", ".join(f"{r['table_name']}.{r['column_name']}: {r['malformed']}" for r in malformed)
-        raise MalformedNumbersError(f"values that are no numbers: {named}")
-    parsed = {
-        name: parse_moments(with_numbers(df, ALL_TABLES[name]), ALL_TABLES[name])
-        for name, df in text.items()
-    }
     raw_folder, findings = (f"{target_folder.rstrip('/')}/{part}" for part in ("raw", "audits"))
-    save_all(parsed, raw_folder)
+    ingest(spark, source_folder, target_folder, allow_malformed)
     raw = load_all(spark, raw_folder)
 
     audit(raw, findings, settings)
@@ -80,8 +113,8 @@ def run(
     require_unique(cleaned["order_reviews"], ORDER_REVIEWS.key, ORDER_REVIEWS.name)
 
     if database is None:
-        save_all({name: published_form(name, df) for name, df in cleaned.items()}, target_folder)
+        ready = {name: published_form(name, df) for name, df in cleaned.items()}
+        commit_all(spark, ready, target_folder.rstrip("/"))
         return load_all(spark, target_folder)
-    batch = batch or datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S")
-    publish(spark, cleaned, database, batch, buckets)
+    publish(spark, cleaned, database, batch or now(), buckets)
     return published_tables(spark, database)

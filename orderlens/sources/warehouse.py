@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.delivered import delivered_orders
+from . import batches, monthly
+from .batches import current_database
+from .batches import switch as _switch
 from .tables import ALL_TABLES, published_columns
 
 DELIVERED_VIEW = "v_delivered_orders"
-_CURRENT = "current_batch"
 
 
 class MissingColumnsError(ValueError):
@@ -45,30 +46,42 @@ def publish(
 ) -> None:
     """Write the tables and the delivered-order view into a database of their own, then switch to it.
 
-    The batch goes to ``database__batch``. All columns are checked before anything
-    is written, and a property of ``database`` names the current batch: setting it
-    is the one switch, so readers see all of the old batch or all of the new one.
-    ``buckets`` maps a table to (column, count). Of the batches, in the order of
-    their names, the last ``keep_batches`` and the current one stay.
+    The batch goes to ``database__batch``, which must not exist. All columns are
+    checked before anything is written, and a property of ``database`` names the
+    current batch: setting it is the one switch, so readers see all of the old batch
+    or all of the new one. ``buckets`` maps a table to (column, count). The last
+    ``keep_batches`` published ones and the current one stay; databases that
+    `publish` did not make are never dropped.
     """
     ready = {name: published_form(name, tables[name]) for name in ALL_TABLES}
-    home = f"{database}__{batch}"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{home}`")
+    home = batches.begin(spark, database, batch)
     for name, df in ready.items():
-        writer = df.write
-        if buckets and name in buckets:
-            column, count = buckets[name]
-            writer = df.repartition(count, column).write.bucketBy(count, column).sortBy(column)
-        elif name == "orders":
-            writer = df.sortWithinPartitions("order_purchase_timestamp").write
-        writer.mode("overwrite").format("parquet").saveAsTable(f"`{home}`.`{name}`")
-    spark.sql(f"CREATE OR REPLACE VIEW `{home}`.`{DELIVERED_VIEW}` AS {_DELIVERED_SQL.format(home=home)}")
+        _write_table(df, home, name, (buckets or {}).get(name))
+    complete(spark, database, batch, keep_batches)
+
+
+def _write_table(df: DataFrame, home: str, name: str, bucket: tuple[str, int] | None = None) -> None:
+    writer = df.write
+    if bucket:
+        column, count = bucket
+        writer = df.repartition(count, column).write.bucketBy(count, column).sortBy(column)
+    elif name == "orders":
+        writer = df.sortWithinPartitions("order_purchase_timestamp").write
+    writer.format("parquet").saveAsTable(f"`{home}`.`{name}`")
+
+
+def complete(spark: SparkSession, database: str, batch: str, keep_batches: int) -> None:
+    """Add the view to a written batch, switch to the batch and drop those out of date."""
+    home = f"{database}__{batch}"
+    spark.sql(f"CREATE VIEW `{home}`.`{DELIVERED_VIEW}` AS {_DELIVERED_SQL.format(home=home)}")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    batches.finish(spark, home)
     _switch(spark, database, batch)
-    _drop_old(spark, database, home, keep_batches)
+    old = batches.outdated(batches.own_batches(spark, database), home, keep_batches)
+    monthly.drop_batches(spark, database, old)
 
 
-# The columns and conditions of `delivered_orders`, as a catalog view can only be SQL.
+# The columns and conditions of `delivered_orders`, as a catalog view can only be SQL; a test holds the two equal.
 _DELIVERED_SQL = """
 SELECT order_id, customer_id, order_purchase_timestamp, order_delivered_customer_date,
        order_estimated_delivery_date,
@@ -80,28 +93,6 @@ WHERE order_status = 'delivered' AND order_delivered_customer_date IS NOT NULL
 """
 
 
-def _switch(spark: SparkSession, database: str, batch: str) -> None:
-    spark.sql(f"ALTER DATABASE `{database}` SET DBPROPERTIES ('{_CURRENT}' = '{batch}')")
-
-
-def _drop_old(spark: SparkSession, database: str, home: str, keep: int) -> None:
-    found = spark.sql(f"SHOW DATABASES LIKE '{database}__*'").collect()
-    batches = sorted(row[0] for row in found)
-    for old in batches[: max(0, len(batches) - keep)]:
-        if old != home:
-            spark.sql(f"DROP DATABASE `{old}` CASCADE")
-
-
-def current_database(spark: SparkSession, database: str) -> str:
-    """The database that holds the current batch, for ``USE`` and for qualified names."""
-    rows = spark.sql(f"DESCRIBE DATABASE EXTENDED `{database}`").collect()
-    properties = next((row[1] for row in rows if row[0] == "Properties"), "")
-    found = re.search(rf"\({_CURRENT},([^)]*)\)", properties)
-    if found is None:
-        raise LookupError(f"{database}: nothing has been published")
-    return f"{database}__{found[1]}"
-
-
 def published_tables(spark: SparkSession, database: str) -> dict[str, DataFrame]:
     """The current batch of every published table."""
     home = current_database(spark, database)

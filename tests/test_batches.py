@@ -1,0 +1,168 @@
+import pytest
+from pyspark.sql import functions as F
+
+from orderlens.operators.cleaning import clean_all
+from orderlens.sources import batches, folders, monthly, parquet_files, warehouse
+from orderlens.sources.tables import ALL_TABLES
+from orderlens.sources.warehouse import current_database, publish, published_tables
+from tests.shop import item, order, raw_shop, review
+
+
+def shop(spark, orders):
+    ids = [o[0] for o in orders]
+    raw = raw_shop(
+        spark,
+        orders=orders,
+        items=[item(i, n, "p1", "s1", "10.00") for i in ids for n in (1, 2)],
+        reviews=[review(f"r{i}", i, 5, "2018-05-01 00:00:00") for i in ids],
+        products=[],
+        sellers=[],
+    )
+    return {name: warehouse.published_form(name, df) for name, df in clean_all(raw).items()}
+
+
+def databases(spark, database):
+    return sorted(row[0] for row in spark.sql(f"SHOW DATABASES LIKE '{database}__*'").collect())
+
+
+def made(spark, database, batch):
+    """A published batch without tables."""
+    batches.finish(spark, batches.begin(spark, database, batch))
+
+
+@pytest.fixture
+def tables(spark):
+    return shop(spark, [order("o1", "2018-01-05 00:00:00"), order("o2", "2018-02-05 00:00:00"), order("o3", None)])
+
+
+def test_foreign_databases_are_never_dropped(spark, tables):
+    foreign = ["kept__2024", "kept__archive", "kept__1finance", "kept__eu", "kept__eu__2024"]
+    for name in foreign:
+        spark.sql(f"CREATE DATABASE `{name}`")
+        spark.sql(f"CREATE TABLE `{name}`.figures USING parquet AS SELECT 1 AS x")
+    for batch in ("b3", "b1", "b2"):
+        made(spark, "kept", batch)
+    publish(spark, tables, "kept", "b0")
+    assert databases(spark, "kept") == sorted([*foreign, "kept__b2", "kept__b0"])
+    assert all(spark.table(f"`{name}`.figures").count() == 1 for name in foreign)
+    assert current_database(spark, "kept") == "kept__b0"
+
+
+def test_batches_of_another_name_are_not_mistaken(spark, tables):
+    """``kept2__eu`` has batches ``kept2__eu__x``, which also begin with ``kept2__``."""
+    for database, batch in [("kept2__eu", "x"), ("kept2__eu", "y"), ("kept2", "a"), ("kept2", "b")]:
+        made(spark, database, batch)
+    spark.sql("CREATE DATABASE `kept2__eu`")
+    publish(spark, tables, "kept2", "c")
+    assert databases(spark, "kept2") == ["kept2__b", "kept2__c", "kept2__eu", "kept2__eu__x", "kept2__eu__y"]
+
+
+def test_a_taken_name_is_refused(spark, tables):
+    publish(spark, tables, "taken", "one")
+    with pytest.raises(batches.BatchExistsError, match="taken__one"):
+        publish(spark, tables, "taken", "one")
+    spark.sql("CREATE DATABASE `taken__foreign`")
+    with pytest.raises(batches.BatchExistsError):
+        publish(spark, tables, "taken", "foreign")
+    assert published_tables(spark, "taken")["orders"].count() == 3
+
+
+def test_which_batches_are_outdated():
+    def batch(home, begun, published=None):
+        return batches.Batch(home, begun, published)
+
+    all_of_them = [batch("a", "1", "2"), batch("failed", "3"), batch("b", "4", "5"), batch("c", "6", "9"),
+                   batch("d", "7", "8"), batch("writing", "91")]
+
+    def gone(current, keep):
+        return [b.home for b in batches.outdated(all_of_them, current, keep)]
+
+    assert gone("c", 2) == ["a", "failed", "b"]
+    assert gone("c", 3) == ["a", "failed"]
+    assert gone("a", 1) == ["b", "d"]
+    assert gone("c", 9) == []
+
+
+def by_id(spark, database, name="orders"):
+    found = published_tables(spark, database)[name]
+    return sorted((r.order_id, r[monthly.MONTH]) for r in found.collect())
+
+
+def test_one_month_is_replaced(spark, tables):
+    monthly.publish_months(spark, tables, "mon", "one")
+    assert by_id(spark, "mon") == [("o1", "2018-01"), ("o2", "2018-02"), ("o3", "none")]
+    before = published_tables(spark, "mon")  # a reader of the first batch
+    places = monthly.partitions(spark, "mon__one", "orders")
+
+    late = shop(spark, [order("o2", "2018-02-06 00:00:00"), order("o4", "2018-02-07 00:00:00"),
+                        order("o9", "2018-01-09 00:00:00")])
+    monthly.publish_months(spark, late, "mon", "two", months=["2018-02"])
+    assert by_id(spark, "mon") == [("o1", "2018-01"), ("o2", "2018-02"), ("o3", "none"), ("o4", "2018-02")]
+    assert sorted(set(by_id(spark, "mon", "order_items"))) == by_id(spark, "mon")
+    assert published_tables(spark, "mon")["order_items"].count() == 8
+    assert by_id(spark, "mon", "order_reviews") == by_id(spark, "mon")
+    view = spark.table("mon__two.v_delivered_orders")
+    assert view.count() == 0 and "order_id" in view.columns
+    # the first batch still reads its own state, and no file of the other months was copied
+    assert sorted(r.order_id for r in before["orders"].collect()) == ["o1", "o2", "o3"]
+    now = monthly.partitions(spark, "mon__two", "orders")
+    assert now["2018-01"] == places["2018-01"] and now["2018-02"] != places["2018-02"]
+
+    # a month without rows is emptied; the first batch goes, but not the files still referred to
+    monthly.publish_months(spark, late, "mon", "three", months=["2018-02", "none", "2019-01"])
+    assert by_id(spark, "mon") == [("o1", "2018-01"), ("o2", "2018-02"), ("o4", "2018-02")]
+    assert databases(spark, "mon") == ["mon__three", "mon__two"]
+    assert folders.exists(spark, places["2018-01"]) and not folders.exists(spark, places["2018-02"])
+    monthly.publish_months(spark, late, "mon", "four")
+    monthly.publish_months(spark, late, "mon", "five")
+    assert not folders.exists(spark, places["2018-01"])
+    assert by_id(spark, "mon") == [("o2", "2018-02"), ("o4", "2018-02"), ("o9", "2018-01")]
+
+
+def test_a_failed_month_changes_nothing(spark, tables, monkeypatch):
+    monthly.publish_months(spark, tables, "mon2", "one")
+    monkeypatch.setattr(warehouse, "_switch", lambda *args: (_ for _ in ()).throw(RuntimeError("lost the catalog")))
+    with pytest.raises(RuntimeError):
+        monthly.publish_months(spark, shop(spark, [order("o7", "2018-02-06 00:00:00")]), "mon2", "two", ["2018-02"])
+    assert by_id(spark, "mon2") == [("o1", "2018-01"), ("o2", "2018-02"), ("o3", "none")]
+
+
+def test_months_need_a_batch_by_months(spark, tables):
+    publish(spark, tables, "mon3", "one")
+    with pytest.raises(ValueError, match="by months"):
+        monthly.publish_months(spark, tables, "mon3", "two", months=["2018-02"])
+
+
+def test_only_the_month_is_read(spark, tables):
+    monthly.publish_months(spark, tables, "mon4", "one")
+    orders = published_tables(spark, "mon4")["orders"].where(F.col(monthly.MONTH) == "2018-01")
+    plan = orders._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(purchase_month" in plan and orders.count() == 1
+
+
+def test_saved_folders_are_committed_together(spark, tables, tmp_path):
+    folder = str(tmp_path / "saved")
+    parquet_files.commit_all(spark, tables, folder)
+    broken = dict(tables)
+    filled = spark.createDataFrame([("1", 1.0, 1.0, "x", "y")], tables["geolocation"].schema)
+    broken["geolocation"] = filled.withColumn("geolocation_lat", F.raise_error(F.lit("lost")).cast("double"))
+    broken["orders"] = tables["orders"].limit(1)
+    with pytest.raises(Exception, match="lost"):
+        parquet_files.commit_all(spark, broken, folder)
+    found = parquet_files.load_all(spark, folder)
+    assert list(found) == list(ALL_TABLES) and found["orders"].count() == 3
+    assert len([n for n in folders.children(spark, folder) if n.startswith("batch-")]) == 1
+
+
+def test_readers_keep_their_batch(spark, tables, tmp_path):
+    folder = str(tmp_path / "saved")
+    (tmp_path / "saved" / "batch-of-others").mkdir(parents=True)
+    parquet_files.commit_all(spark, tables, folder)
+    reader = parquet_files.load_all(spark, folder)
+    parquet_files.commit_all(spark, {n: df.limit(0) for n, df in tables.items()}, folder)
+    assert reader["orders"].count() == 3 and parquet_files.load_all(spark, folder)["orders"].count() == 0
+    parquet_files.commit_all(spark, tables, folder)
+    parquet_files.commit_all(spark, tables, folder)
+    names = [n for n in folders.children(spark, folder) if n.startswith("batch-")]
+    assert len(names) == 3 and "batch-of-others" in names
+    assert not folders.exists(spark, f"{folder}/{parquet_files.POINTER}.new")

@@ -296,3 +296,54 @@ def test_checkpoints_go_to_the_folder_the_cluster_names():
     local = Session("local[4]")
     use_checkpoint_dir(local)
     assert local.sparkContext.folder
+
+
+def test_malformed_values_are_counted_and_kept(spark, folder, tmp_path, caplog):
+    items = folder / "shop_order_items_dataset.csv"
+    items.write_text(items.read_text().replace("58.90", "12.3.4").replace("o1,2,p2,s1,2017", "o1,2,p2,s1,x2017"))
+    (folder / "more_sellers_dataset.csv").write_text(
+        "seller_id,seller_zip_code_prefix,seller_city,seller_state\ns2,00001,x,RJ\n")
+    target = str(tmp_path / "p")
+    with caplog.at_level(logging.WARNING, logger="orderlens.plans.etl_job"):
+        assert etl_job.ingest(spark, str(folder), target, allow_malformed=True) == 3
+    assert "order_items.price: 1 malformed" in caplog.text and "order_items.freight_value" not in caplog.text
+    kept = spark.read.parquet(table_path(target, etl_job.QUARANTINE)).collect()
+    found = sorted((r.table_name, r.column_name, r.value, r.file.rsplit("/", 1)[1]) for r in kept)
+    assert found == [
+        ("order_items", "price", "12.3.4", "shop_order_items_dataset.csv"),
+        ("order_items", "shipping_limit_date", "x2017-10-06 11:07:15", "shop_order_items_dataset.csv"),
+        ("orders", "order_delivered_carrier_date", "oops", "shop_orders_dataset.csv"),
+    ]
+    raw = load_all(spark, f"{target}/raw")
+    assert raw["order_items"].columns == ALL_TABLES["order_items"].schema.names
+    prices = {r.order_item_id: (r.price, r.shipping_limit_date) for r in raw["order_items"].collect()}
+    assert prices == {1: (None, datetime(2017, 10, 6, 11, 7, 15)), 2: (Decimal("0.10"), None)}
+    assert raw["sellers"].count() == 2
+
+    # the values are gone from the next load, and from its quarantine
+    items.write_text(FILES["shop_order_items_dataset.csv"])
+    assert etl_job.ingest(spark, str(folder), target) == 1
+    assert spark.read.parquet(table_path(target, etl_job.QUARANTINE)).count() == 1
+
+
+def test_a_stopped_load_leaves_the_one_before(spark, folder, tmp_path):
+    target = str(tmp_path / "p")
+    assert etl_job.ingest(spark, str(folder), target) == 1
+    reviews = folder / "shop_order_reviews_dataset.csv"
+    reviews.write_text(reviews.read_text().replace("r2,o1,5", "r2,o1,five"))
+    with pytest.raises(etl_job.MalformedNumbersError, match="order_reviews.review_score: 1$"):
+        etl_job.ingest(spark, str(folder), target)
+    assert load_all(spark, f"{target}/raw")["order_reviews"].count() == 2
+    assert len(list((tmp_path / "p" / "raw").glob("batch-*"))) == 1
+
+
+def test_each_file_is_scanned_once(spark, folder, tmp_path):
+    """One scan of the files a table in the plans that ran, apart from the headers."""
+    plans = []
+    from orderlens.sources import csv_files
+
+    for table in ALL_TABLES.values():
+        part = csv_files.parsed(spark, str(folder), table)
+        plan = part.rows._jdf.queryExecution().executedPlan().toString()
+        plans.append(plan.count("FileScan csv"))
+    assert plans == [1] * len(ALL_TABLES)
