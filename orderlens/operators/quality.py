@@ -1,15 +1,19 @@
 """Data-quality audits. Each returns its findings as a DataFrame.
 
+An audit that one pass over a table can answer is a `ScanAudit`: it names its
+measures, and several of them share one pass (`profile`).
+
 Checks over keys count rows per key first, with a map-side partial count, so a
 key that repeats very often costs one row per task in the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_days_between, within
@@ -29,37 +33,240 @@ def _stack(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# -- measures of one pass --------------------------------------------------------
+
+# Aggregates by table and name, each a whole number.
+Measures = dict[str, dict[str, Column]]
+
+
+def profile(tables: Tables, measures: Measures) -> DataFrame:
+    """``table_name, row_count, measure, value``: all measures of a table from one pass over it."""
+    parts = []
+    for name, wanted in measures.items():
+        columns = [column.cast("bigint").alias(f"m{i}") for i, column in enumerate(wanted.values())]
+        counted = tables[name].agg(F.count("*").alias("row_count"), *columns)
+        rows = [F.struct(F.lit(m).alias("measure"), F.col(f"m{i}").alias("value")) for i, m in enumerate(wanted)]
+        parts.append(counted.select(F.lit(name).alias("table_name"), "row_count", F.inline(F.array(*rows))))
+    return _stack(parts)
+
+
+@dataclass(frozen=True)
+class ScanAudit:
+    """What to measure in the tables, and the findings as made from the measured values."""
+
+    measures: Callable[[Tables, Settings], Measures]
+    findings: Callable[[DataFrame, Settings], DataFrame]
+
+    def __call__(self, tables: Tables, settings: Settings | None = None) -> DataFrame:
+        settings = settings or Settings()
+        return self.findings(profile(tables, self.measures(tables, settings)), settings)
+
+
+def shared_measures(audits: Iterable[ScanAudit], tables: Tables, settings: Settings) -> Measures:
+    """The measures of all the audits, for one pass over each table."""
+    found: Measures = {}
+    for audit in audits:
+        for name, wanted in audit.measures(tables, settings).items():
+            found.setdefault(name, {}).update(wanted)
+    return found
+
+
+def _one_row(measured: DataFrame, table: str, columns: Mapping[str, str]) -> DataFrame:
+    """One row with a column for each measure; ``columns``: column to measure."""
+    picked = [F.max(F.when(F.col("measure") == m, F.col("value"))).alias(c) for c, m in columns.items()]
+    return measured.where(F.col("table_name") == table).agg(*picked)
+
+
+_COLUMNS, _NULLS = "columns", "nulls in "
+
+
+def _nulls(columns: Iterable[str]) -> dict[str, Column]:
+    return {_NULLS + c: F.count_if(F.col(c).isNull()) for c in columns}
+
+
+def _null_counts(measured: DataFrame) -> DataFrame:
+    name = F.substring("measure", len(_NULLS) + 1, 1000).alias("column_name")
+    found = measured.where(F.startswith("measure", F.lit(_NULLS)))
+    return found.select("table_name", name, "row_count", F.col("value").alias("null_count"))
+
+
+def _width(tables: Tables) -> Measures:
+    return {name: {_COLUMNS: F.lit(len(df.columns))} for name, df in tables.items()}
+
+
+ROW_COUNTS = ScanAudit(
+    lambda tables, settings: _width(tables),
+    lambda measured, settings: measured.where(F.col("measure") == _COLUMNS).select(
+        "table_name", "row_count", F.col("value").alias("column_count")
+    ),
+)
+
+
+def row_floor_audit(floors: Sequence[RowFloor] = ROW_FLOORS) -> ScanAudit:
+    """Row counts against their expected minimum; reports, never raises."""
+
+    def findings(measured: DataFrame, settings: Settings) -> DataFrame:
+        floor = F.coalesce(*[F.when(F.col("table_name") == f.table, F.lit(f.rows)) for f in floors])
+        rows = measured.where(F.col("measure") == _COLUMNS).withColumn("expected_rows", floor.cast("bigint"))
+        status = F.when(F.col("row_count") < F.col("expected_rows"), "below expected").otherwise("passed")
+        return rows.where(F.col("expected_rows").isNotNull()).select(
+            "table_name", "row_count", "expected_rows", status.alias("status")
+        )
+
+    return ScanAudit(lambda tables, settings: _width({f.table: tables[f.table] for f in floors}), findings)
+
+
+def _declared_required(tables: Tables, settings: Settings) -> Measures:
+    named = {n: t for n, t in ALL_TABLES.items() if t.required and n in tables}
+    return {n: _nulls(t.required) for n, t in named.items()}
+
+
+def _of_required(measured: DataFrame, settings: Settings) -> DataFrame:
+    required = [f"{n}.{c}" for n, t in ALL_TABLES.items() for c in t.required]
+    found = _null_counts(measured)
+    return found.where(F.concat_ws(".", "table_name", "column_name").isin(required))
+
+
+REQUIRED_COLUMNS = ScanAudit(_declared_required, _of_required)
+
+NULL_PROFILE = ScanAudit(
+    lambda tables, settings: {name: _nulls(df.columns) for name, df in tables.items()},
+    lambda measured, settings: _null_counts(measured).withColumn(
+        "null_pct", rounded(percent("null_count", "row_count"))
+    ),
+)
+
+# Listing details that products without a category lack as well.
+CATALOGUE_COLUMNS = (
+    "product_category_name",
+    "product_name_lenght",
+    "product_description_lenght",
+    "product_photos_qty",
+)
+
+
+def _together(columns: Sequence[str]) -> dict[str, Column]:
+    every = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in columns])
+    either = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+    return {"all null": F.count_if(every), "any null": F.count_if(either)}
+
+
+def _missing_catalogue(measured: DataFrame, settings: Settings) -> DataFrame:
+    columns = {"all_null": "all null", "any_null": "any null"}
+    columns |= {f"nulls_{i}": _NULLS + c for i, c in enumerate(CATALOGUE_COLUMNS)}
+    return _by_column(_one_row(measured, "products", columns), CATALOGUE_COLUMNS)
+
+
+CATALOGUE_GAPS = ScanAudit(
+    lambda tables, settings: {"products": _together(CATALOGUE_COLUMNS) | _nulls(CATALOGUE_COLUMNS)},
+    _missing_catalogue,
+)
+
+
+def _delivery_measures(tables: Tables, settings: Settings) -> Measures:
+    carrier, bought = F.col("order_delivered_carrier_date"), F.col("order_purchase_timestamp")
+    delivered_at = F.col("order_delivered_customer_date")
+    window = settings.analysis
+    inside = is_delivered() & within(bought, window.start, window.end)
+    return {
+        "orders": {
+            "marked delivered": F.count_if(has_status_delivered()),
+            "undated": F.count_if(has_status_delivered() & delivered_at.isNull()),
+            "delivered": F.count_if(is_delivered()),
+            "carrier before purchase": F.count_if(is_delivered() & (carrier < bought)),
+            "delivered before carrier": F.count_if(is_delivered() & (delivered_at < carrier)),
+            "carrier missing": F.count_if(is_delivered() & carrier.isNull()),
+            "delivered in window": F.count_if(inside),
+            "first day": F.unix_date(F.min(F.to_date(bought))),
+            "last day": F.unix_date(F.max(F.to_date(bought))),
+        }
+    }
+
+
+def _delivery_audit(columns: Mapping[str, str]) -> ScanAudit:
+    used = set(columns.values())
+
+    def measures(tables: Tables, settings: Settings) -> Measures:
+        found = _delivery_measures(tables, settings)["orders"]
+        return {"orders": {name: column for name, column in found.items() if name in used}}
+
+    return ScanAudit(measures, lambda measured, settings: _one_row(measured, "orders", columns))
+
+
+# Orders marked delivered, and those of them without a delivery date.
+UNDATED_DELIVERIES = _delivery_audit({"delivered_orders": "marked delivered", "undated_orders": "undated"})
+
+# Delivered orders whose carrier date contradicts the purchase or the delivery.
+IMPOSSIBLE_DURATIONS = _delivery_audit(
+    {
+        "delivered_orders": "delivered",
+        "carrier_before_purchase": "carrier before purchase",
+        "delivered_before_carrier": "delivered before carrier",
+        "carrier_missing": "carrier missing",
+    }
+)
+
+_COVERAGE = _delivery_audit(
+    {
+        "first_purchase_date": "first day",
+        "last_purchase_date": "last day",
+        "delivered_orders": "delivered",
+        "delivered_in_window": "delivered in window",
+    }
+)
+
+
+def _coverage(measured: DataFrame, settings: Settings) -> DataFrame:
+    days = {c: F.date_from_unix_date(F.col(c).cast("int")) for c in ("first_purchase_date", "last_purchase_date")}
+    share = rounded(percent("delivered_in_window", "delivered_orders"))
+    return _COVERAGE.findings(measured, settings).withColumns(days).withColumn("in_window_pct", share)
+
+
+# Purchase dates covered, and the share of delivered orders in the analysis window.
+WINDOW_COVERAGE = ScanAudit(_COVERAGE.measures, _coverage)
+
+
 def row_counts(tables: Tables) -> DataFrame:
     """Rows and columns of each table."""
-    return _stack(
-        [
-            df.agg(F.count("*").alias("row_count")).select(
-                F.lit(name).alias("table_name"),
-                "row_count",
-                F.lit(len(df.columns)).cast("bigint").alias("column_count"),
-            )
-            for name, df in tables.items()
-        ]
-    )
+    return ROW_COUNTS(tables)
 
 
 def row_floors(tables: Tables, floors: Sequence[RowFloor] = ROW_FLOORS) -> DataFrame:
     """Row counts against their expected minimum; reports, never raises."""
-    return _stack(
-        [
-            tables[f.table]
-            .agg(F.count("*").alias("row_count"))
-            .select(
-                F.lit(f.table).alias("table_name"),
-                "row_count",
-                F.lit(f.rows).cast("bigint").alias("expected_rows"),
-                F.when(F.col("row_count") < f.rows, "below expected")
-                .otherwise("passed")
-                .alias("status"),
-            )
-            for f in floors
-        ]
-    )
+    return row_floor_audit(floors)(tables)
+
+
+def required_columns(tables: Tables) -> DataFrame:
+    """NULLs in columns declared NOT NULL."""
+    return REQUIRED_COLUMNS(tables)
+
+
+def null_profile(tables: Tables) -> DataFrame:
+    """NULL count and share of every column."""
+    return NULL_PROFILE(tables)
+
+
+def missing_catalogue_data(tables: Tables) -> DataFrame:
+    """Whether products lacking a category lack their listing details as well."""
+    return CATALOGUE_GAPS(tables)
+
+
+def undated_deliveries(tables: Tables) -> DataFrame:
+    """Orders marked delivered, and those of them without a delivery date."""
+    return UNDATED_DELIVERIES(tables)
+
+
+def impossible_durations(tables: Tables) -> DataFrame:
+    """Delivered orders whose carrier date contradicts the purchase or the delivery."""
+    return IMPOSSIBLE_DURATIONS(tables)
+
+
+def window_coverage(tables: Tables, settings: Settings) -> DataFrame:
+    """Purchase dates covered, and the share of delivered orders in the analysis window."""
+    return WINDOW_COVERAGE(tables, settings)
+
+
+# -- keys, references and groups ---------------------------------------------------
 
 
 def duplicate_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -97,91 +304,25 @@ def primary_keys(tables: Tables) -> DataFrame:
     )
 
 
-def _nulls_by_column(name: str, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One scan per table, one output row per column."""
-    counts = df.agg(
-        F.count("*").alias("row_count"),
-        *[F.count_if(F.col(c).isNull()).alias(f"nulls_{i}") for i, c in enumerate(columns)],
-    )
-    return counts.select(
-        F.lit(name).alias("table_name"),
-        "row_count",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column_name"), F.col(f"nulls_{i}").alias("null_count")
-                    )
-                    for i, c in enumerate(columns)
-                ]
-            )
-        ),
-    )
-
-
-def required_columns(tables: Tables) -> DataFrame:
-    """NULLs in columns declared NOT NULL."""
-    return _stack(
-        [
-            _nulls_by_column(name, tables[name], table.required)
-            for name, table in ALL_TABLES.items()
-            if table.required and name in tables
-        ]
-    ).select("table_name", "column_name", "row_count", "null_count")
-
-
-def null_profile(tables: Tables) -> DataFrame:
-    """NULL count and share of every column."""
-    return _stack(
-        [_nulls_by_column(name, df, df.columns) for name, df in tables.items()]
-    ).select(
-        "table_name",
-        "column_name",
-        "row_count",
-        "null_count",
-        rounded(percent("null_count", "row_count")).alias("null_pct"),
-    )
-
-
 def missing_together(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Whether columns are NULL in the same rows: NULLs of each against NULLs of all."""
-    every = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in columns])
-    either = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-    return (
-        df.agg(
-            F.count_if(every).alias("all_null"),
-            F.count_if(either).alias("any_null"),
-            *[F.count_if(F.col(c).isNull()).alias(f"nulls_{i}") for i, c in enumerate(columns)],
-        )
-        .select(
-            "all_null",
-            "any_null",
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(c).alias("column_name"), F.col(f"nulls_{i}").alias("null_count")
-                        )
-                        for i, c in enumerate(columns)
-                    ]
-                )
-            ),
-        )
-        .select("column_name", "null_count", "all_null", "any_null")
+    together = _together(columns)
+    counts = df.agg(
+        together["all null"].alias("all_null"),
+        together["any null"].alias("any_null"),
+        *[F.count_if(F.col(c).isNull()).alias(f"nulls_{i}") for i, c in enumerate(columns)],
     )
+    return _by_column(counts, columns)
 
 
-def missing_catalogue_data(tables: Tables) -> DataFrame:
-    """Whether products lacking a category lack their listing details as well."""
-    return missing_together(
-        tables["products"],
-        [
-            "product_category_name",
-            "product_name_lenght",
-            "product_description_lenght",
-            "product_photos_qty",
-        ],
-    )
+def _by_column(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row for each column, from one row with ``all_null``, ``any_null`` and ``nulls_0`` and so on."""
+    rows = [
+        F.struct(F.lit(c).alias("column_name"), F.col(f"nulls_{i}").alias("null_count"))
+        for i, c in enumerate(columns)
+    ]
+    found = counts.select("all_null", "any_null", F.inline(F.array(*rows)))
+    return found.select("column_name", "null_count", "all_null", "any_null")
 
 
 def foreign_keys(tables: Tables) -> DataFrame:
@@ -243,35 +384,6 @@ def itemless_orders(tables: Tables) -> DataFrame:
     )
 
 
-def undated_deliveries(tables: Tables) -> DataFrame:
-    """Orders marked delivered, and those of them without a delivery date."""
-    return tables["orders"].agg(
-        F.count_if(has_status_delivered()).alias("delivered_orders"),
-        F.count_if(
-            has_status_delivered() & F.col("order_delivered_customer_date").isNull()
-        ).alias("undated_orders"),
-    )
-
-
-def impossible_durations(tables: Tables) -> DataFrame:
-    """Delivered orders whose carrier date contradicts the purchase or the delivery."""
-    carrier = F.col("order_delivered_carrier_date")
-    return (
-        tables["orders"]
-        .where(is_delivered())
-        .agg(
-            F.count("*").alias("delivered_orders"),
-            F.count_if(carrier < F.col("order_purchase_timestamp")).alias(
-                "carrier_before_purchase"
-            ),
-            F.count_if(F.col("order_delivered_customer_date") < carrier).alias(
-                "delivered_before_carrier"
-            ),
-            F.count_if(carrier.isNull()).alias("carrier_missing"),
-        )
-    )
-
-
 def batch_deliveries(tables: Tables, settings: Settings) -> DataFrame:
     """Delivery dates shared by late orders bought long apart, flagged as one-off events."""
     late = tables["orders"].where(is_delivered() & is_late())
@@ -316,22 +428,3 @@ def customer_identity(tables: Tables) -> DataFrame:
         )
 
     return _stack([distinct("customer_id"), distinct("customer_unique_id")])
-
-
-def window_coverage(tables: Tables, settings: Settings) -> DataFrame:
-    """Purchase dates covered, and the share of delivered orders in the analysis window."""
-    bought = F.col("order_purchase_timestamp")
-    window = settings.analysis
-    inside = is_delivered() & within(bought, window.start, window.end)
-    return (
-        tables["orders"]
-        .agg(
-            F.min(F.to_date(bought)).alias("first_purchase_date"),
-            F.max(F.to_date(bought)).alias("last_purchase_date"),
-            F.count_if(is_delivered()).alias("delivered_orders"),
-            F.count_if(inside).alias("delivered_in_window"),
-        )
-        .withColumn(
-            "in_window_pct", rounded(percent("delivered_in_window", "delivered_orders"))
-        )
-    )

@@ -56,19 +56,19 @@ QUERIES: dict[str, Query] = {
 
 # Audits of the tables as they arrive, before cleaning.
 AUDITS: dict[str, Query] = {
-    "audit_row_counts": lambda t, s: quality.row_counts(t),
-    "audit_row_floors": lambda t, s: quality.row_floors(t),
+    "audit_row_counts": quality.ROW_COUNTS,
+    "audit_row_floors": quality.row_floor_audit(),
     "audit_duplicate_reviews": lambda t, s: quality.duplicate_rows(t["order_reviews"], ["order_id"]),
     "audit_primary_keys": lambda t, s: quality.primary_keys(t),
-    "audit_required_columns": lambda t, s: quality.required_columns(t),
+    "audit_required_columns": quality.REQUIRED_COLUMNS,
     "audit_foreign_keys": lambda t, s: quality.foreign_keys(t),
-    "audit_null_profile": lambda t, s: quality.null_profile(t),
-    "audit_missing_together": lambda t, s: quality.missing_catalogue_data(t),
+    "audit_null_profile": quality.NULL_PROFILE,
+    "audit_missing_together": quality.CATALOGUE_GAPS,
     "audit_unreviewed_orders": lambda t, s: quality.unreviewed_orders(t),
     "audit_itemless_orders": lambda t, s: quality.itemless_orders(t),
-    "audit_undated_deliveries": lambda t, s: quality.undated_deliveries(t),
-    "audit_impossible_durations": lambda t, s: quality.impossible_durations(t),
+    "audit_undated_deliveries": quality.UNDATED_DELIVERIES,
+    "audit_impossible_durations": quality.IMPOSSIBLE_DURATIONS,
     "audit_batch_deliveries": quality.batch_deliveries,
     "audit_customer_identity": lambda t, s: quality.customer_identity(t),
-    "audit_window_coverage": quality.window_coverage,
+    "audit_window_coverage": quality.WINDOW_COVERAGE,
 }

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cleaning import clean_all
-from ..operators.quality import require_unique
+from ..operators.quality import ScanAudit, profile, require_unique, shared_measures
 from ..session import use_checkpoint_dir
 from ..settings import Settings
 from ..sources.batches import now
@@ -26,15 +26,24 @@ class MalformedNumbersError(ValueError):
     """A source file holds values that are no numbers."""
 
 
-QUARANTINE = "quarantine"
+QUARANTINE, PROFILE = "quarantine", "profile"
 
 
 def audit(raw: Mapping[str, DataFrame], folder: str, settings: Settings | None = None) -> None:
-    """Save every audit of the raw tables as ``folder/NAME.parquet``."""
+    """Save every audit of the raw tables as ``folder/NAME.parquet``.
+
+    The audits that need one pass over a table share it: their measures are saved
+    as ``folder/profile.parquet`` first. The others look at keys and references.
+    """
+    settings = settings or Settings()
+    scanning = {name: query for name, query in AUDITS.items() if isinstance(query, ScanAudit)}
+    path = table_path(folder, PROFILE)
+    measured = profile(raw, shared_measures(scanning.values(), raw, settings))
+    measured.write.mode("overwrite").parquet(path)
+    measured = measured.sparkSession.read.parquet(path)
     for name, query in AUDITS.items():
-        query(raw, settings or Settings()).repartition(1).write.mode("overwrite").parquet(
-            table_path(folder, name)
-        )
+        found = query.findings(measured, settings) if name in scanning else query(raw, settings)
+        found.repartition(1).write.mode("overwrite").parquet(table_path(folder, name))
 
 
 def ingest(spark: SparkSession, source_folder: str, target_folder: str, allow_malformed: bool = False) -> int:

@@ -146,3 +146,27 @@ def test_published_form_checks_columns(audited):
         "seller_id", "seller_zip_code_prefix", "seller_city", "seller_state"]
     with pytest.raises(MissingColumnsError, match="seller_city"):
         published_form("sellers", extra.drop("seller_city"))
+
+
+def test_audits_share_one_pass_over_each_table(spark, audited, tmp_path):
+    """The shared pass gives the rows that each audit gives alone, from one scan a table."""
+    import re
+
+    from orderlens.plans import etl_job
+    from orderlens.plans.catalogue import AUDITS
+
+    paths = {name: f"{tmp_path}/{name}" for name in audited}
+    for name, path in paths.items():
+        audited[name].write.parquet(path)
+    saved = {name: spark.read.parquet(path) for name, path in paths.items()}
+    scanning = [q for q in AUDITS.values() if isinstance(q, quality.ScanAudit)]
+    assert len(scanning) == 8
+    shared = quality.profile(saved, quality.shared_measures(scanning, saved, Settings()))
+    text = shared._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan parquet", text)) == len(saved)
+    etl_job.audit(saved, str(tmp_path / "audits"))
+    for name, query in AUDITS.items():
+        kept = spark.read.parquet(f"{tmp_path}/audits/{name}.parquet")
+        alone = query(audited, Settings())
+        assert kept.columns == alone.columns
+        assert sorted(map(repr, kept.collect())) == sorted(map(repr, alone.collect())), name
