@@ -90,6 +90,21 @@ def _null_counts(table: str, source: str, columns: dict[str, str]) -> str:
 """
 
 
+def _null_groups(table: str, source: str, columns: dict[str, str]) -> str:
+    """Columns with the same list of NULL patterns."""
+    pattern = " || ".join(f"CASE WHEN {expr} IS NULL THEN '1' ELSE '0' END" for expr in columns.values())
+    names = ", ".join(f"'{name}'" for name in columns)
+    return f"""
+  SELECT '{table}' AS table_name, string_agg(column_name, ', ' ORDER BY i) AS column_names,
+         {big('any_value(nulls)')} AS null_count
+  FROM (SELECT i, [{names}][i] AS column_name, SUM(n) AS nulls, list(pattern ORDER BY pattern) AS patterns
+        FROM (SELECT {pattern} AS pattern, COUNT(*) AS n FROM {source} GROUP BY 1),
+             range(1, {len(columns) + 1}) places(i)
+        WHERE pattern[i] = '1' GROUP BY i)
+  GROUP BY patterns HAVING COUNT(*) > 1
+"""
+
+
 # Shop columns by table: name in the result and the SQL expression behind it.
 _COLUMNS = {
     "customers": ("shoppers", {
@@ -490,6 +505,7 @@ _BODIES = {
       ), LATERAL (VALUES ('product_category_name', a), ('product_name_lenght', b),
                          ('product_description_lenght', c), ('product_photos_qty', d))
                  v(column_name, n)""",
+    "audit_missing_groups": _union([_null_groups(t, source, columns) for t, (source, columns) in _COLUMNS.items()]),
     "audit_unreviewed_orders": f"""
       SELECT 'all orders' AS population, {big('COUNT(*)')} AS orders FROM shop_orders
       UNION ALL

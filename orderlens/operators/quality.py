@@ -325,6 +325,51 @@ def _by_column(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
     return found.select("column_name", "null_count", "all_null", "any_null")
 
 
+def missing_groups(tables: Tables) -> DataFrame:
+    """Columns that are NULL in exactly the same rows, found among all columns of each table.
+
+    Each row is reduced to its pattern of NULLs, and the patterns are counted, so
+    what is shuffled is one row per pattern and task. Columns belong together if
+    they are NULL in the same patterns: two hashes over these propose groups, which
+    the patterns then confirm. Columns without NULLs are in no group.
+    """
+    patterns = _stack([_null_patterns(name, df) for name, df in tables.items()])
+    missing = patterns.select(
+        "*", F.explode(F.sequence(F.lit(1), F.length("pattern"))).alias("position")
+    ).where(F.expr("substring(pattern, position, 1) = '1'"))
+    signature = {
+        "null_count": F.sum("rows"),
+        "patterns": F.count("*"),
+        "one": F.sum(F.xxhash64("pattern").cast("decimal(20,0)")),
+        "two": F.bit_xor(F.xxhash64("pattern", F.lit("two"))),
+    }
+    by_column = missing.groupBy("table_name", "position").agg(*[c.alias(n) for n, c in signature.items()])
+    groups = (
+        by_column.groupBy("table_name", *signature)
+        .agg(F.sort_array(F.collect_list("position")).alias("positions"))  # columns of one table
+        .where(F.size("positions") > 1)
+    )
+    held = F.transform("positions", lambda p: F.substring("pattern", p, F.lit(1)) == "1")
+    checked = groups.join(patterns, "table_name").groupBy("table_name", "positions", "null_count").agg(
+        F.sum(F.when(F.exists(held, lambda h: h), F.col("rows"))).alias("any_null"),
+        F.sum(F.when(F.forall(held, lambda h: h), F.col("rows"))).alias("all_null"),
+    )
+    names = F.create_map(*[
+        x for name, df in tables.items() for x in (F.lit(name), F.array(*[F.lit(c) for c in df.columns]))
+    ])
+    named = F.transform("positions", lambda p: F.element_at(names[F.col("table_name")], p))
+    return checked.where(F.col("any_null") == F.col("all_null")).select(
+        "table_name", F.concat_ws(", ", named).alias("column_names"), "null_count"
+    )
+
+
+def _null_patterns(name: str, df: DataFrame) -> DataFrame:
+    """``table_name, pattern, rows``: a 1 for each column that is NULL, a 0 for the others."""
+    bits = [F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns]
+    counted = df.groupBy(F.concat(*bits).alias("pattern")).agg(F.count("*").alias("rows"))
+    return counted.select(F.lit(name).alias("table_name"), "pattern", "rows")
+
+
 def foreign_keys(tables: Tables) -> DataFrame:
     """Rows whose reference does not exist, per declared reference."""
     found = []

@@ -64,6 +64,7 @@ AUDITS: dict[str, Query] = {
     "audit_foreign_keys": lambda t, s: quality.foreign_keys(t),
     "audit_null_profile": quality.NULL_PROFILE,
     "audit_missing_together": quality.CATALOGUE_GAPS,
+    "audit_missing_groups": lambda t, s: quality.missing_groups(t),
     "audit_unreviewed_orders": lambda t, s: quality.unreviewed_orders(t),
     "audit_itemless_orders": lambda t, s: quality.itemless_orders(t),
     "audit_undated_deliveries": quality.UNDATED_DELIVERIES,

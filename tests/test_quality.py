@@ -170,3 +170,28 @@ def test_audits_share_one_pass_over_each_table(spark, audited, tmp_path):
         alone = query(audited, Settings())
         assert kept.columns == alone.columns
         assert sorted(map(repr, kept.collect())) == sorted(map(repr, alone.collect())), name
+
+
+def test_missing_groups_are_found_without_a_list(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = []
+    for i in range(400):
+        a, b = draw.random() < 0.2, draw.random() < 0.1
+        rows.append((i, None if a else 1, None if a else "x", None if b else 2.0, None if b and i % 2 else 3,
+                     None if b else "y", None if a else True))
+    df = spark.createDataFrame(rows, "id int, a1 int, a2 string, b1 double, c int, b2 string, a3 boolean")
+    tables = {"t": df.repartition(7), "none": df.select("id"), "empty": df.limit(0), "all": df.selectExpr(
+        "CAST(NULL AS INT) AS x", "CAST(NULL AS INT) AS y", "id")}
+    found = {(r.table_name, r.column_names): r.null_count for r in quality.missing_groups(tables).collect()}
+    assert found == {
+        ("t", "a1, a2, a3"): sum(r[1] is None for r in rows),
+        ("t", "b1, b2"): sum(r[3] is None for r in rows),
+        ("all", "x, y"): 400,
+    }
+
+
+def test_the_catalogue_group_is_found(raw, audited):
+    found = {r.table_name: r.column_names for r in quality.missing_groups(audited).collect()}
+    assert "product_category_name" in found["products"]
