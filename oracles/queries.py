@@ -105,6 +105,20 @@ def _null_groups(table: str, source: str, columns: dict[str, str]) -> str:
 """
 
 
+def _determines(table: str, one: str, other: str) -> str:
+    """Whether each value of a column stands with one value of another, and the other way round."""
+    source, columns = _COLUMNS[table]
+    a, b = columns[one], columns[other]
+    known = f"FROM (SELECT {a} AS a, {b} AS b FROM {source}) WHERE a IS NOT NULL AND b IS NOT NULL"
+    return f"""
+  SELECT '{table}' AS table_name, '{one}' AS determinant, '{other}' AS dependent,
+         {big('n')} AS distinct_values, other_way AS both_ways
+  FROM (SELECT COUNT(DISTINCT a) AS n, COUNT(DISTINCT a) = COUNT(DISTINCT (a, b)) AS this_way,
+               COUNT(DISTINCT b) = COUNT(DISTINCT (a, b)) AS other_way {known})
+  WHERE this_way AND n > 0
+"""
+
+
 # Shop columns by table: name in the result and the SQL expression behind it.
 _COLUMNS = {
     "customers": ("shoppers", {
@@ -541,6 +555,13 @@ _BODIES = {
             FROM (SELECT COUNT(*) AS n FROM shoppers GROUP BY {expr})"""
         for c, expr in (("customer_id", "ck"), ("customer_unique_id", "ck - ck % 2"))
     ]),
+    "audit_key_relations": _union([
+        _determines(table, one, other)
+        for table, (_, columns) in _COLUMNS.items()
+        for one in columns for other in columns
+        if one != other and one.endswith("_id") and other.endswith("_id")
+        and "order_item_id" not in (one, other)
+    ]),
     "audit_window_coverage": f"""
       SELECT {text('MIN(CAST(ts AS DATE))')} AS first_purchase_date,
              {text('MAX(CAST(ts AS DATE))')} AS last_purchase_date,

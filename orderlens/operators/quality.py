@@ -12,9 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.calendar import calendar_days_between, within
 from ..functions.rates import percent, rounded
@@ -473,3 +475,64 @@ def customer_identity(tables: Tables) -> DataFrame:
         )
 
     return _stack([distinct("customer_id"), distinct("customer_unique_id")])
+
+
+# Error of a distinct-count sketch, and how many of these errors two counts may lie apart by chance.
+SKETCH_ERROR, SKETCH_ERRORS = 0.02, 6
+
+
+def identifiers(name: str, df: DataFrame) -> list[str]:
+    """Columns named as identifiers and declared as texts, or texts if the table is not declared."""
+    schema = ALL_TABLES[name].schema if name in ALL_TABLES else df.schema
+    texts = {f.name for f in schema.fields if f.dataType == T.StringType()}
+    return [c for c in df.columns if c.endswith("_id") and c in texts]
+
+
+def possible_dependencies(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, str]]:
+    """Pairs of columns of which the first may determine the second, by sketches from one pass.
+
+    If it does, there are as many different pairs as values of the first; where the
+    estimates lie further apart than sketches err, it does not.
+    """
+    pairs = list(permutations(columns, 2))
+    if not pairs:
+        return []
+    alone = {c: F.approx_count_distinct(c, SKETCH_ERROR) for c in columns}
+    joint = {frozenset(p): F.approx_count_distinct(F.struct(*sorted(p)), SKETCH_ERROR) for p in pairs}
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    counts = df.where(known).agg(*alone.values(), *joint.values()).first()  # one number a column and pair
+    of_column = dict(zip(alone, counts))
+    of_pair = dict(zip(joint, counts[len(alone) :]))
+    slack = 1 + SKETCH_ERRORS * SKETCH_ERROR
+    return [(a, b) for a, b in pairs if of_pair[frozenset((a, b))] <= of_column[a] * slack]
+
+
+def key_relations(tables: Tables) -> DataFrame:
+    """Identifiers that determine another one of their table, and whether that holds both ways.
+
+    ``determinant`` determines ``dependent`` if each of its values stands with one
+    value of the other, among rows where both are known. Sketches discard most
+    pairs; the rest is checked exactly, with one row per value and task shuffled.
+    Pairs of a table without rows are left out.
+    """
+    found = []
+    for name, df in tables.items():
+        for a, b in possible_dependencies(df, identifiers(name, df)):
+            values = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("value")).agg(
+                F.min(b).alias("least"), F.max(b).alias("most")
+            )
+            found.append(
+                values.agg(
+                    F.count("*").alias("distinct_values"),
+                    F.count_if(F.col("least") < F.col("most")).alias("broken"),
+                ).select(F.lit(name).alias("table_name"), F.lit(a).alias("determinant"),
+                         F.lit(b).alias("dependent"), "distinct_values", "broken")
+            )
+    if not found:
+        empty = "table_name string, determinant string, dependent string, distinct_values bigint, both_ways boolean"
+        return next(iter(tables.values())).sparkSession.createDataFrame([], empty)
+    held = _stack(found).where("broken = 0 AND distinct_values > 0").drop("broken")
+    turned = held.select("table_name", F.col("dependent").alias("determinant"),
+                         F.col("determinant").alias("dependent"), F.lit(True).alias("turned"))
+    both = held.join(turned, ["table_name", "determinant", "dependent"], "left")
+    return both.withColumn("both_ways", F.col("turned").isNotNull()).drop("turned")

@@ -71,5 +71,6 @@ AUDITS: dict[str, Query] = {
     "audit_impossible_durations": quality.IMPOSSIBLE_DURATIONS,
     "audit_batch_deliveries": quality.batch_deliveries,
     "audit_customer_identity": lambda t, s: quality.customer_identity(t),
+    "audit_key_relations": lambda t, s: quality.key_relations(t),
     "audit_window_coverage": quality.WINDOW_COVERAGE,
 }

@@ -195,3 +195,26 @@ def test_missing_groups_are_found_without_a_list(spark):
 def test_the_catalogue_group_is_found(raw, audited):
     found = {r.table_name: r.column_names for r in quality.missing_groups(audited).collect()}
     assert "product_category_name" in found["products"]
+
+
+def test_key_relations(spark):
+    rows = [(f"c{i}", f"u{i // 2}", f"k{i}", f"o{i % 7}" if i % 5 else None) for i in range(500)]
+    df = spark.createDataFrame(rows + rows[:9], "customer_id string, person_id string, other_id string, group_id string")
+    found = {(r.determinant, r.dependent): (r.distinct_values, r.both_ways)
+             for r in quality.key_relations({"t": df, "empty": df.limit(0)}).collect()}
+    assert found == {
+        ("customer_id", "person_id"): (500, False), ("customer_id", "other_id"): (500, True),
+        ("customer_id", "group_id"): (400, False), ("other_id", "customer_id"): (500, True),
+        ("other_id", "person_id"): (500, False), ("other_id", "group_id"): (400, False),
+    }
+    assert ("person_id", "group_id") not in quality.possible_dependencies(df, quality.identifiers("t", df))
+    assert quality.key_relations({"t": df.select("customer_id")}).collect() == []
+
+
+def test_one_broken_value_is_seen(spark):
+    """A sketch cannot tell one exception among many values; the exact check does."""
+    df = spark.range(3000).selectExpr("CAST(id AS STRING) AS a_id", "CAST(id div 2 AS STRING) AS b_id")
+    broken = df.unionByName(spark.createDataFrame([("7", "x")], "a_id string, b_id string"))
+    assert ("a_id", "b_id") in quality.possible_dependencies(broken, ["a_id", "b_id"])
+    assert [(r.determinant, r.dependent) for r in quality.key_relations({"t": df}).collect()] == [("a_id", "b_id")]
+    assert quality.key_relations({"t": broken}).collect() == []
