@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 # A key with at least this share of the rows counts as frequent: at most 1,000 keys.
 FREQUENT_SHARE = 0.001
+# Enough salts that a key with all rows holds no more than that share under each.
+SALTS = round(1 / FREQUENT_SHARE)
+_SALT = "__salt"
 
 
 def is_small(df: DataFrame, most_bytes: int) -> bool:
@@ -30,16 +33,20 @@ def lookup(
 
     ``one`` is broadcast if its size allows it, which for files needs no job.
     Otherwise a key may hold a third of ``many``, so frequent keys are found first,
-    by Spark's bounded frequent-items pass over that one column. Rows holding them
-    meet a broadcast of their at most 1,000 rows of ``one`` without a shuffle; the
-    others meet the rest of ``one``, each key now holding a small share. Which keys
-    count as frequent affects speed only: every row is in exactly one of the two
-    parts. That way gives up buckets of ``many`` on another column.
+    by Spark's bounded frequent-items pass over that one column, and the join is
+    salted: rows of ``many`` with a frequent key are dealt over ``SALTS`` salts by a
+    hash of the whole row, and the at most 1,000 rows of ``one`` with such a key are
+    repeated once a salt. No key and salt holds more than a thousandth of the rows
+    then, and both tables are read once. Which keys count as frequent affects speed
+    only. Buckets of ``many`` on another column are given up.
     """
     if is_small(one, broadcast_bytes):
         return many.join(F.broadcast(one), key)
     found = many.stat.freqItems([key], FREQUENT_SHARE).first()[0]
     is_frequent = F.col(key).isin([k for k in found if k is not None])
-    frequent = many.where(is_frequent).join(F.broadcast(one.where(is_frequent)), key)
-    others = many.where(~is_frequent).join(one.where(~is_frequent), key)
-    return frequent.unionByName(others)
+    # the hash depends on the row alone, so a task run again deals its rows alike
+    dealt = F.when(is_frequent, F.pmod(F.xxhash64(*many.columns), F.lit(SALTS))).otherwise(0)
+    salts = F.when(is_frequent, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = many.withColumn(_SALT, dealt.cast("int"))
+    repeated = one.withColumn(_SALT, F.explode(salts))
+    return salted.join(repeated, [key, _SALT]).drop(_SALT)

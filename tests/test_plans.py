@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from orderlens.functions.calendar import average_days
@@ -253,6 +254,37 @@ def test_lookup_of_a_large_table_with_hot_keys(spark, skewed, no_broadcast):
                         str((r["category"], r["weight"]))) for r in joined.collect())
         assert found == expected
         assert ("SortMergeJoin" in plan(joined)) == (limit == 0)
-        assert "GlobalLimit" not in plan(joined)
+        assert "GlobalLimit" not in plan(joined) and "Union" not in plan(joined)
     empty = lookup(many.limit(0), one, "product_id", broadcast_bytes=0)
     assert empty.collect() == []
+
+
+def test_salts_split_a_hot_key(spark, no_broadcast):
+    # a third of the rows hold one key, another tenth a second one, and some rows are alike
+    many = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 10 = 1 THEN 'warm' ELSE concat('p', id % 5000) END AS what",
+        "id DIV 2 AS line", "id % 7 AS price")
+    one = spark.range(5000).selectExpr("concat('p', id) AS what", "id AS weight").unionByName(
+        spark.createDataFrame([("hot", -1), ("warm", -2)], "what string, weight bigint"))
+    joined = lookup(many, one, "what", broadcast_bytes=0)
+    assert joined.columns == ["what", "line", "price", "weight"]
+    expected = many.join(one, "what")
+    assert joined.exceptAll(expected).isEmpty() and expected.exceptAll(joined).isEmpty()
+    found = re.search(r"Exchange hashpartitioning\(what#\d+, __salt#\d+, 4\)", plan(joined))
+    assert found and plan(joined).count("Exchange hashpartitioning") == 2
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = lookup(many, one, "what", broadcast_bytes=0).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 1.2 * 30_000 / 4
+
+
+@pytest.mark.parametrize("query", [kpis.category_analysis, reported_kpis.category_weight_correlation])
+def test_items_are_scanned_once_beyond_the_broadcast_limit(saved, no_broadcast, monkeypatch, query):
+    expected = rows(query(saved, BENCHMARK_SETTINGS))
+    monkeypatch.setattr(kpis, "lookup", lambda many, one, key: lookup(many, one, key, broadcast_bytes=0))
+    salted = query(saved, BENCHMARK_SETTINGS)
+    assert "__salt" in plan(salted)
+    assert sum("freight_value" in line for line in scans(plan(salted))) == 1
+    assert rows(salted) == expected
