@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 from orderlens.llm.workspace import slices
 
 MIN_REPEAT = 8
-MAX_COVERED = 30
-MAX_REPEAT = 100
+# Published filters allow 12 % of a text in repeats of eight words. Of 3,243 documents labelled good
+# that the base rules keep, 0.9 % have more than 10 % of their words in such repeats and 0.5 % more
+# than 15 %; of 291 labelled bad, 2.4 % and 0.7 %. No good one repeats more than 13 words at a stretch.
+MAX_COVERED = 12
+MAX_REPEAT = 50
 MIN_WORDS = 50
 MAX_REPEATED_WORDS = 50
 
@@ -79,10 +82,14 @@ class Repeats:
 
     def _ranked(self, places, one, two, kinds) -> np.ndarray:
         order, group = _dense(one * kinds + two)
-        rank = np.empty(self.total, np.int64)
+        rank = np.empty(self.total, np.int32 if self.total < 1 << 31 else np.int64)
         rank[places[order]] = group + 1
         return rank
 
+    def _joined(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Numbers ordered like pairs of ranks, which are small integers to save memory."""
+        return one.astype(np.int64) * (self.total + 2) + two
+
     def _tied(self, rank: np.ndarray, among: np.ndarray) -> np.ndarray:
         size = np.bincount(rank[among], minlength=self.total + 2)
         return among[size[rank[among]] > 1]
@@ -93,7 +100,8 @@ class Repeats:
             return np.zeros(len(self.sizes), np.int64)
         tied = self._tied(self.ranks[1], np.arange(self.total))
         tied = tied[self.left[tied] >= 3]
-        order, group = _dense(self.ranks[1][tied] * (self.total + 2) + self.ranks[1][tied + 1])
+        rank = self.ranks[1]
+        order, group = _dense(self._joined(rank[tied], rank[tied + 1]))
         repeated = tied[order[np.bincount(group, minlength=len(tied))[group] > 1]]
         return self._summed(self._covered(repeated, np.full(len(repeated), 3)))
 
@@ -107,7 +115,7 @@ class Repeats:
         while len(tied):
             rank, offset = self.ranks[-1], 1 << (len(self.ranks) - 1)
             finer = rank.copy()
-            order, group = _dense(rank[tied] * (self.total + 2) + self._at(rank, tied, offset))
+            order, group = _dense(self._joined(rank[tied], self._at(rank, tied, offset)))
             # within a group of equal ranks the new ranks count on from the old one
             old = rank[tied[order]]
             new = np.r_[True, old[1:] != old[:-1]]
@@ -194,7 +202,9 @@ def quality_rules(
 
     Words are runs of other than ASCII white space. A null or empty text has no
     words and fails by its length. Rows may repeat, keys may be null; each row is
-    judged for itself. An empty table gives no rows; other columns are ignored.
+    judged for itself. An empty table gives no rows; other columns are ignored. A text
+    is held whole: its ranks take four bytes a word for each doubling of its longest
+    repeat, so only a long text that repeats itself throughout takes many of them.
     """
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
