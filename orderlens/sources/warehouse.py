@@ -71,9 +71,12 @@ def _write_table(df: DataFrame, home: str, name: str, bucket: tuple[str, int] |
 
 
 def complete(spark: SparkSession, database: str, batch: str, keep_batches: int) -> None:
-    """Add the view to a written batch, switch to the batch and drop those out of date."""
+    """Add the view and functions to a written batch, switch to the batch and drop those out of date."""
     home = f"{database}__{batch}"
     spark.sql(f"CREATE VIEW `{home}`.`{DELIVERED_VIEW}` AS {_DELIVERED_SQL.format(home=home)}")
+    for name, (columns, body) in _FUNCTIONS.items():
+        header = f"CREATE FUNCTION `{home}`.`{name}`(first_day DATE, end_day DATE) RETURNS TABLE ({columns})"
+        spark.sql(f"{header} RETURN {body.format(home=home)}")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     batches.finish(spark, home)
     _switch(spark, database, batch)
@@ -92,6 +95,44 @@ FROM `{home}`.`orders`
 WHERE order_status = 'delivered' AND order_delivered_customer_date IS NOT NULL
 """
 
+# Table functions for SQL users: orders bought from ``first_day`` to the day before ``end_day``. Spark takes
+# no database in such a call, so users say ``USE`` first. The trend equals `kpis.monthly_trend`, held by a test.
+_FUNCTIONS = {
+    "delivered_between": (
+        "order_id STRING, customer_id STRING, order_purchase_timestamp TIMESTAMP_NTZ,"
+        " order_delivered_customer_date TIMESTAMP_NTZ, order_estimated_delivery_date TIMESTAMP_NTZ,"
+        " is_late BOOLEAN, delivery_days DOUBLE",
+        f"""
+SELECT * FROM `{{home}}`.`{DELIVERED_VIEW}`
+WHERE order_purchase_timestamp >= first_day AND order_purchase_timestamp < end_day
+""",
+    ),
+    "monthly_trend": (
+        "month DATE, delivered_orders BIGINT, gmv DECIMAL(21,2), gmv_mom_growth_pct DOUBLE, late_rate_pct DOUBLE",
+        f"""
+SELECT month, delivered_orders, gmv,
+       CAST(ROUND(CAST(100D * CAST(gmv - before AS DOUBLE) / NULLIF(CAST(before AS DOUBLE), 0D)
+            AS DECIMAL(38,8)), 2) AS DOUBLE) AS gmv_mom_growth_pct,
+       CAST(ROUND(CAST(late_rate AS DECIMAL(38,8)), 2) AS DOUBLE) AS late_rate_pct
+FROM (
+  SELECT *, LAG(gmv) OVER (PARTITION BY 0 ORDER BY month) AS before
+  FROM (
+    SELECT TRUNC(CAST(order_purchase_timestamp AS DATE), 'month') AS month, COUNT(*) AS delivered_orders,
+           CAST(CAST(SUM(cents) AS DECIMAL(19,0)) * 0.01BD AS DECIMAL(21,2)) AS gmv,
+           100D * COUNT_IF(is_late) / NULLIF(CAST(COUNT(is_late) AS DOUBLE), 0D) AS late_rate
+    FROM `{{home}}`.`{DELIVERED_VIEW}`
+    JOIN (
+      SELECT order_id, SUM(CAST((price + freight_value) * 100 AS BIGINT)) AS cents
+      FROM `{{home}}`.`order_items` GROUP BY order_id
+    ) USING (order_id)
+    WHERE order_purchase_timestamp >= first_day AND order_purchase_timestamp < end_day
+    GROUP BY 1
+  )
+)
+""",
+    ),
+}
+
 
 def published_tables(spark: SparkSession, database: str) -> dict[str, DataFrame]:
     """The current batch of every published table."""

@@ -1,7 +1,15 @@
+import re
+from dataclasses import replace
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
+from orderlens.functions.calendar import within
 from orderlens.operators.cleaning import clean_all
+from orderlens.operators.delivered import delivered_orders
+from orderlens.plans import kpis
+from orderlens.settings import DateRange, Settings
 from orderlens.sources import batches, folders, monthly, parquet_files, warehouse
 from orderlens.sources.tables import ALL_TABLES
 from orderlens.sources.warehouse import current_database, publish, published_tables
@@ -166,3 +174,31 @@ def test_readers_keep_their_batch(spark, tables, tmp_path):
     names = [n for n in folders.children(spark, folder) if n.startswith("batch-")]
     assert len(names) == 3 and "batch-of-others" in names
     assert not folders.exists(spark, f"{folder}/{parquet_files.POINTER}.new")
+
+
+def test_sql_users_choose_the_window(spark):
+    orders = [
+        order(f"o{i}", f"2018-0{1 + i % 4}-{10 + i % 9} 10:00:00",
+              None if i % 7 == 0 else f"2018-0{2 + i % 4}-{10 + i % 15} 00:00:00", f"2018-0{2 + i % 4}-18 00:00:00")
+        for i in range(60)
+    ]
+    tables = shop(spark, orders)
+    publish(spark, tables, "win", "one")
+    monthly.publish_months(spark, tables, "win", "two")
+    spark.sql(f"USE `{current_database(spark, 'win')}`")
+    try:
+        for start, end in ((date(2018, 1, 1), date(2018, 5, 1)), (date(2018, 2, 3), date(2018, 3, 15))):
+            bounds = f"DATE'{start}', DATE'{end}'"
+            expected = kpis.monthly_trend(tables, replace(Settings(), analysis=DateRange(start, end)))
+            found = spark.sql(f"SELECT * FROM monthly_trend({bounds}) ORDER BY month")
+            assert found.columns == expected.columns and found.collect() == expected.collect() != []
+            between = spark.sql(f"SELECT * FROM delivered_between({bounds})")
+            bought = delivered_orders(tables["orders"]).where(within("order_purchase_timestamp", start, end))
+            assert sorted(between.collect()) == sorted(bought.collect()) != []
+        plan = between._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan
+        # compared with a literal, so it reaches the scan
+        assert re.search(r"Filter .*\(order_purchase_timestamp#\d+ >= 2018-02-03", plan), plan
+        assert spark.sql("SELECT * FROM monthly_trend(NULL, DATE'2018-05-01')").collect() == []
+    finally:
+        spark.sql("USE default")
