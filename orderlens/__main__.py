@@ -14,11 +14,11 @@ from pyspark.sql import SparkSession
 
 from .operators.cleaning import parse_moments
 from .plans import etl_job
-from .plans.catalogue import AUDITS, QUERIES
+from .plans.catalogue import AUDITS, COUNTING, QUERIES
 from .session import PARTITION_BYTES, SETTINGS, shuffle_settings, size_shuffles, stored_bytes
 from .settings import Settings
 from .sources.csv_files import read_all
-from .sources.parquet_files import load_all
+from .sources.parquet_files import footer_tables, load_all
 from .sources.tables import ALL_TABLES
 from .sources.warehouse import order_buckets, published_tables
 
@@ -80,7 +80,7 @@ def _tables(spark: SparkSession, args: argparse.Namespace):
     if args.source:
         raw = read_all(spark, args.source)
         return {name: parse_moments(df, ALL_TABLES[name]) for name, df in raw.items()}
-    return load_all(spark, args.tables)
+    return (footer_tables if args.name in COUNTING else load_all)(spark, args.tables)
 
 
 if __name__ == "__main__":

@@ -46,7 +46,8 @@ def profile(tables: Tables, measures: Measures) -> DataFrame:
     parts = []
     for name, wanted in measures.items():
         columns = [column.cast("bigint").alias(f"m{i}") for i, column in enumerate(wanted.values())]
-        counted = tables[name].agg(F.count("*").alias("row_count"), *columns)
+        # greatest: a count from footers is NULL, not 0, where no file has rows
+        counted = tables[name].agg(F.greatest(F.count("*"), F.lit(0)).alias("row_count"), *columns)
         rows = [F.struct(F.lit(m).alias("measure"), F.col(f"m{i}").alias("value")) for i, m in enumerate(wanted)]
         parts.append(counted.select(F.lit(name).alias("table_name"), "row_count", F.inline(F.array(*rows))))
     return _stack(parts)
@@ -233,6 +234,18 @@ def row_counts(tables: Tables) -> DataFrame:
     return ROW_COUNTS(tables)
 
 
+def row_changes(before: Tables, after: Tables) -> DataFrame:
+    """``table_name, rows_before, rows_after, lost, gained`` of the tables that are in both."""
+    both = [name for name in before if name in after]
+    counts = [row_counts({n: t[n] for n in both}).drop("column_count") for t in (before, after)]
+    counts = [c.withColumnRenamed("row_count", n) for c, n in zip(counts, ("rows_before", "rows_after"))]
+    more = F.col("rows_after") - F.col("rows_before")
+    return counts[0].join(counts[1], "table_name").select(
+        "table_name", "rows_before", "rows_after",
+        F.greatest(-more, F.lit(0)).alias("lost"), F.greatest(more, F.lit(0)).alias("gained"),
+    )
+
+
 def row_floors(tables: Tables, floors: Sequence[RowFloor] = ROW_FLOORS) -> DataFrame:
     """Row counts against their expected minimum; reports, never raises."""
     return row_floor_audit(floors)(tables)

@@ -74,3 +74,6 @@ AUDITS: dict[str, Query] = {
     "audit_key_relations": lambda t, s: quality.key_relations(t),
     "audit_window_coverage": quality.WINDOW_COVERAGE,
 }
+
+# Audits that need no more of a table than its number of rows.
+COUNTING = frozenset({"audit_row_counts", "audit_row_floors"})

@@ -9,12 +9,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cleaning import clean_all
-from ..operators.quality import ScanAudit, profile, require_unique, shared_measures
+from ..operators.quality import ScanAudit, profile, require_unique, row_changes, shared_measures
 from ..session import use_checkpoint_dir
 from ..settings import Settings
 from ..sources.batches import now
 from ..sources.csv_files import parsed, rejected_values
-from ..sources.parquet_files import commit, commit_all, discard, load_all, new_batch, save_table, table_path
+from ..sources.parquet_files import (
+    commit, commit_all, discard, footer_tables, load_all, new_batch, save_table, table_path,
+)
 from ..sources.tables import ALL_TABLES, ORDER_REVIEWS
 from ..sources.warehouse import publish, published_form, published_tables
 from .catalogue import AUDITS
@@ -85,6 +87,12 @@ def ingest(spark: SparkSession, source_folder: str, target_folder: str, allow_ma
     return sum(n for columns in malformed.values() for n in columns.values())
 
 
+def saved_rows(spark: SparkSession, target_folder: str) -> DataFrame:
+    """What cleaning did to the number of rows of each table, raw against saved, from the files' footers alone."""
+    target = target_folder.rstrip("/")
+    return row_changes(footer_tables(spark, f"{target}/raw"), footer_tables(spark, target))
+
+
 def run(
     spark: SparkSession,
     source_folder: str,
@@ -124,6 +132,8 @@ def run(
     if database is None:
         ready = {name: published_form(name, df) for name, df in cleaned.items()}
         commit_all(spark, ready, target_folder.rstrip("/"))
+        for row in saved_rows(spark, target_folder).toLocalIterator():
+            log.info("saved %s: %d of %d rows", row["table_name"], row["rows_after"], row["rows_before"])
         return load_all(spark, target_folder)
     publish(spark, cleaned, database, batch or now(), buckets)
     return published_tables(spark, database)

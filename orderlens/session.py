@@ -17,9 +17,14 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # of effect on tables read with FOOTER_READER only
+    "spark.sql.parquet.aggregatePushdown": "true",
     "spark.ui.enabled": "false",
 }
 
+# While these are set, Parquet folders are opened by the reader that can answer
+# whole counts from the files' footers.
+FOOTER_READER = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text"}
 
 # Shuffled data a task should hold, well inside an executor's memory per core.
 PARTITION_BYTES = 128 << 20

@@ -7,10 +7,12 @@ see the tables of the batch before, all of them. `save_all` writes plain folders
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import FOOTER_READER
 from . import batches, folders
 from .tables import ALL_TABLES
 
@@ -89,3 +91,26 @@ def load_all(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of the current batch; the pointer is read once, so all are of the same one."""
     current = current_folder(spark, folder)
     return {name: spark.read.parquet(table_path(current, name)).drop(REJECTED) for name in ALL_TABLES}
+
+
+def footer_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the current batch, read so that their row counts come from the files' footers.
+
+    An aggregate without filters and groups that only counts rows then reads no
+    data pages. These tables have no other use: the reader behind them knows
+    neither buckets nor the pruning of partitions by a join.
+    """
+    with _settings(spark, FOOTER_READER):
+        return load_all(spark, folder)
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: Mapping[str, str]) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.calendar import within
 from orderlens.operators.cleaning import clean_all
+from orderlens.operators import quality
 from orderlens.operators.delivered import delivered_orders
 from orderlens.plans import kpis
+from orderlens.plans.catalogue import AUDITS
 from orderlens.settings import DateRange, Settings
 from orderlens.sources import batches, folders, monthly, parquet_files, warehouse
 from orderlens.sources.tables import ALL_TABLES
@@ -202,3 +204,39 @@ def test_sql_users_choose_the_window(spark):
         assert spark.sql("SELECT * FROM monthly_trend(NULL, DATE'2018-05-01')").collect() == []
     finally:
         spark.sql("USE default")
+
+
+def test_row_counts_read_footers_only(spark, tables, tmp_path):
+    folder = str(tmp_path / "saved")
+    setting = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(setting)
+    parquet_files.commit_all(spark, tables, folder)
+    footers = parquet_files.footer_tables(spark, folder)
+    assert spark.conf.get(setting) == before
+    found = quality.row_counts(footers)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedAggregation: [COUNT(*)]") == len(ALL_TABLES) and "FileScan" not in plan
+    # count columns are all that the scans return
+    assert set(re.findall(r"ReadSchema: (\S+?),? ", plan)) == {"struct<count(*):bigint>"}
+    scanned = quality.row_counts(parquet_files.load_all(spark, folder))
+    assert "PushedAggregation: [COUNT(*)]" not in scanned._jdf.queryExecution().executedPlan().toString()
+    assert sorted(found.collect()) == sorted(scanned.collect())
+    floors = AUDITS["audit_row_floors"]
+    assert sorted(floors(footers, Settings()).collect()) == sorted(floors(tables, Settings()).collect())
+
+
+def test_row_counts_of_many_files_and_empty_tables(spark, tmp_path):
+    folder = str(tmp_path / "saved")
+    for name in ALL_TABLES:
+        rows = 0 if name == "products" else 1000
+        parquet_files.save_table(name, spark.range(0, rows, 1, 7).toDF("order_purchase_timestamp"), folder)
+    found = {r.table_name: r.row_count for r in quality.row_counts(parquet_files.footer_tables(spark, folder)).collect()}
+    assert found == {name: 0 if name == "products" else 1000 for name in ALL_TABLES}
+
+
+def test_row_changes(spark):
+    def sized(**rows):
+        return {name: spark.range(n) for name, n in rows.items()}
+
+    found = quality.row_changes(sized(a=5, b=2, c=0, only=1), sized(a=3, b=4, c=0, other=1))
+    assert sorted(map(tuple, found.collect())) == [("a", 5, 3, 2, 0), ("b", 2, 4, 0, 2), ("c", 0, 0, 0, 0)]

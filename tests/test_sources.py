@@ -347,3 +347,16 @@ def test_each_file_is_scanned_once(spark, folder, tmp_path):
         plan = part.rows._jdf.queryExecution().executedPlan().toString()
         plans.append(plan.count("FileScan csv"))
     assert plans == [1] * len(ALL_TABLES)
+
+
+def test_saved_rows_against_raw_rows(spark, folder, tmp_path, caplog):
+    target = str(tmp_path / "p")
+    with caplog.at_level(logging.INFO, logger="orderlens.plans.etl_job"):
+        saved = etl_job.run(spark, str(folder), target)
+    found = {r.table_name: r for r in etl_job.saved_rows(spark, target).collect()}
+    raw = load_all(spark, f"{target}/raw")
+    assert set(found) == set(ALL_TABLES)
+    for name, row in found.items():
+        assert (row.rows_before, row.rows_after) == (raw[name].count(), saved[name].count())
+        assert f"saved {name}: {row.rows_after} of {row.rows_before} rows" in caplog.text
+    assert sum(r.lost for r in found.values()) > 0
