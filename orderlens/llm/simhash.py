@@ -1,21 +1,24 @@
 """Near duplicates by SimHash fingerprints and a byte-position inverted index.
 
 Two 64-bit fingerprints that differ in at most d bits share at least 8 - d of
-their 8 byte positions. The index posts every distinct fingerprint under joint
-byte positions: the positions are cut into d + 2 blocks, of which at least two
-stay equal, and each pair of blocks is a posting list. The pairs met in a list
-tally all shared positional bytes; those reaching 8 - d are verified by their
+their 8 byte positions. The positions are cut into d + 4 blocks, of which at
+least four stay equal, and the index posts every distinct fingerprint under the
+bytes of each three blocks. So two fingerprints within d bits meet in at least
+four posting lists (three of the four equal blocks): the lists in which a pair
+meets are counted, pairs in fewer are dropped, the others are verified by their
 bits. A list longer than ``LIST_LIMIT`` is not paired up. Its fingerprints go
 another exact way: each is written under itself and its one-bit neighbours, and
 two fingerprints are within two bits exactly if they meet under one of these,
-where at most 65 distinct ones can meet. Equal fingerprints are one node, so
-copies cost nothing.
+where at most 65 distinct ones can meet. A pair within d bits either shares a
+long list, and both go that way, or meets in short lists only, so that its count
+is whole. Equal fingerprints are one node, so copies cost nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, islice, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,9 @@ MAX_BITS = 2
 SEED = 42
 LIST_LIMIT = 32
 BYTES = 8
+# Blocks under whose joint bytes a fingerprint is posted, and blocks that stay equal.
+JOINT, EQUAL_BLOCKS = 3, 4
+LEAST_SHARED = comb(EQUAL_BLOCKS, JOINT)
 
 
 def fingerprints(
@@ -82,34 +88,36 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIM
     """
     if max_bits not in (1, 2):
         raise ValueError("max_bits must be 1 or 2")
-    lists = _posting_lists(F.col("fingerprint"), max_bits + 2)
-    posts = nodes.select("node", "fingerprint", F.posexplode(F.array(*lists)).alias("list", "value"))
-    sizes = posts.groupBy("list", "value").agg(F.count("*").alias("size")).where("size > 1")
-    posts = written(posts.join(sizes, ["list", "value"]), "postings")
-    short = posts.where(F.col("size") <= list_limit)
-    other = short.select("list", "value", F.col("node").alias("b"), F.col("fingerprint").alias("g"))
-    met = short.join(other, ["list", "value"]).where("node < b")
-    differing = F.col("fingerprint").bitwiseXOR(F.col("g"))
-    tally = sum(
-        (F.shiftrightunsigned(differing, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int")
-        for i in range(BYTES)
-    )
-    pairs = (
-        met.where(tally >= BYTES - max_bits)
-        .where(F.bit_count(differing) <= max_bits)
-        .select(F.col("node").alias("a"), "b")
-    )
+    posts = postings(nodes, max_bits)
+    pairs = shared_lists(posts.where(F.col("size") <= list_limit)).where(F.col("shared") >= LEAST_SHARED)
+    pairs = pairs.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= max_bits).select("a", "b")
     long = posts.where(F.col("size") > list_limit).select("node", "fingerprint").distinct()
     return pairs.unionByName(_meet_at_neighbours(long, max_bits)).distinct()
 
 
-def _posting_lists(fingerprint: Column, blocks: int) -> list[Column]:
-    """The values of each pair of blocks, packed into a bigint."""
+def postings(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``list, value, node, fingerprint, size`` of every posting list that holds more than one node."""
+    lists = F.array(*_joint_bytes(F.col("fingerprint"), max_bits + EQUAL_BLOCKS))
+    posts = nodes.select("node", "fingerprint", F.posexplode(lists).alias("list", "value"))
+    sizes = posts.groupBy("list", "value").agg(F.count("*").alias("size")).where("size > 1")
+    return written(posts.join(sizes, ["list", "value"]), "postings")
+
+
+def shared_lists(posts: DataFrame) -> DataFrame:
+    """``a, b, f, g, shared``: pairs of nodes, their fingerprints and in how many lists they meet."""
+    one = posts.select("list", "value", F.col("node").alias("a"), F.col("fingerprint").alias("f"))
+    other = posts.select("list", "value", F.col("node").alias("b"), F.col("fingerprint").alias("g"))
+    met = one.join(other, ["list", "value"]).where("a < b")
+    return met.groupBy("a", "b", "f", "g").agg(F.count("*").alias("shared"))
+
+
+def _joint_bytes(fingerprint: Column, blocks: int) -> list[Column]:
+    """The bytes of each three blocks of byte positions, in place in a bigint."""
     cuts = np.linspace(0, BYTES, blocks + 1).round().astype(int)
     masks = []
-    for one, other in combinations(range(blocks), 2):
+    for joint in combinations(range(blocks), JOINT):
         mask = 0
-        for position in [*range(cuts[one], cuts[one + 1]), *range(cuts[other], cuts[other + 1])]:
+        for position in (p for block in joint for p in range(cuts[block], cuts[block + 1])):
             mask |= 255 << (8 * position)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     return [fingerprint.bitwiseAND(F.lit(mask).cast("bigint")) for mask in masks]

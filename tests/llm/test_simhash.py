@@ -60,8 +60,7 @@ def test_links_of_random_fingerprints(spark, bits, list_limit):
             value ^= 1 << draw.randrange(64)
             values.add(value)
     prints = dict(enumerate(sorted(values)))
-    signed = [(i, v - (1 << 64) if v >> 63 else v) for i, v in prints.items()]
-    nodes = spark.createDataFrame(signed, "node bigint, fingerprint bigint")
+    nodes = spark.createDataFrame([(i, signed(v)) for i, v in prints.items()], "node bigint, fingerprint bigint")
     pairs = simhash.links(nodes, bits, list_limit)
     found = simhash.connected_components(pairs, "a", "b")
     least = {i: i for i in prints} | dict(collected(found, "node", "component"))
@@ -119,3 +118,55 @@ def test_groups_of_repeated_keys_against_all_pairs(spark):
     assert sorted(r.doc_id for r in found) == sorted(smallest.values())
     of_text = {t: g for (_, t), g in zip(rows, group)}
     assert len({of_text[r.text] for r in found}) == len(found) == len(smallest)
+
+
+def signed(value):
+    return value - (1 << 64) if value >> 63 else value
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+def test_the_count_of_shared_lists_decides(spark, bits):
+    draw = random.Random(8 + bits)
+    values = {draw.getrandbits(64) for _ in range(20)}
+    for value in list(values):
+        for changed in (1, 2, 3, 4):  # bytes, at random places
+            other = value
+            for place in draw.sample(range(8), changed):
+                other ^= 1 << (8 * place + draw.randrange(8))
+            values.add(other)
+    prints = dict(enumerate(sorted(values)))
+    nodes = spark.createDataFrame([(i, signed(v)) for i, v in prints.items()], "node bigint, fingerprint bigint")
+    found = {(r.a, r.b): r.shared for r in simhash.shared_lists(simhash.postings(nodes, bits)).collect()}
+
+    cuts = [round(8 * i / (bits + 4)) for i in range(bits + 5)]
+    expected = {}
+    for a in prints:
+        for b in range(a + 1, len(prints)):
+            equal = [(prints[a] ^ prints[b]) >> (8 * i) & 255 == 0 for i in range(8)]
+            blocks = sum(all(equal[lo:hi]) for lo, hi in zip(cuts, cuts[1:]))
+            if blocks >= 3:
+                expected[a, b] = blocks * (blocks - 1) * (blocks - 2) // 6
+    assert found == expected
+    near = {p for p in expected if (prints[p[0]] ^ prints[p[1]]).bit_count() <= bits}
+    kept = {p for p, n in found.items() if n >= simhash.LEAST_SHARED}
+    # none too few, and one list less would let pairs through that the count rejects
+    assert near <= kept and near < kept
+    assert {p for p, n in found.items() if n >= simhash.LEAST_SHARED - 3} > kept
+
+
+def test_long_and_short_lists_together(spark):
+    """Pairs of which some shared lists are long and some short are lost by neither way."""
+    draw = random.Random(12)
+    values = set()
+    for _ in range(6):
+        centre = draw.getrandbits(64)
+        for _ in range(40):
+            other = centre
+            for place in draw.sample(range(64), draw.randint(0, 4)):
+                other ^= 1 << place
+            values.add(other)
+    prints = dict(enumerate(sorted(values)))
+    nodes = spark.createDataFrame([(i, signed(v)) for i, v in prints.items()], "node bigint, fingerprint bigint")
+    for limit in (2, 5, 12, 32):
+        found = simhash.connected_components(simhash.links(nodes, 2, limit), "a", "b")
+        assert {i: i for i in prints} | dict(collected(found, "node", "component")) == components(prints, 2)
