@@ -6,7 +6,9 @@ base rate. Hosts and paths give the prior: the expected number of good documents
 of each path, summed over all documents, is shrunk toward its host's rate and
 the host's toward the global rate. How strongly follows from how much the sites
 differ beyond chance, so a sparse site says little and a large one much. The
-score joins the evidence with the prior of the document's path.
+score joins the evidence with the prior of the document's path. A document's own
+evidence counts once: its host's, its path's and the global rate are those of
+the other documents.
 """
 
 from __future__ import annotations
@@ -123,9 +125,10 @@ def _strength(rate: Column) -> Column:
     return F.greatest(F.lit(1.0), within / beyond)
 
 
-def site_rates(expected: DataFrame, host: str, path: Sequence[str]) -> DataFrame:
-    """``host, *path, host_rate, path_rate`` from one row a document with ``good``, its chance to be good.
+def site_sums(expected: DataFrame, host: str, path: Sequence[str]) -> DataFrame:
+    """``host, *path`` and the sums and prior strengths that `_rates` needs, one row a site.
 
+    ``expected`` has one row a document with ``good``, its chance to be good.
     Documents are summed per path map-side first; all later steps are on sites.
     """
     sites = [f"site_{i}" for i in range(1 + len(path))]
@@ -133,36 +136,70 @@ def site_rates(expected: DataFrame, host: str, path: Sequence[str]) -> DataFrame
     paths = expected.groupBy(*sites).agg(F.count("*").alias("n"), F.sum("good").alias("good"))
     paths = written(paths, "paths")
     hosts = paths.groupBy("site_0").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    every = paths.agg(F.coalesce(F.sum("good") / F.sum("n"), F.lit(1.0)).alias("rate"))
-    overall = F.lit(every.first()["rate"])
+    every = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
+    count, good = every["n"] or 0, every["good"] or 0.0
+    count = max(1, count)  # without documents there are no sites to rate
+    overall = F.lit(good / count)
     prior = hosts.agg(_strength(overall).alias("s")).first()["s"] or 1.0
     hosts = hosts.select(
-        F.col("site_0").alias("host"),
-        ((F.col("good") + prior * overall) / (F.col("n") + prior)).alias("host_rate"),
-    )
+        F.col("site_0").alias("host"), F.col("n").alias("host_n"), F.col("good").alias("host_good"),
+        F.lit(prior).alias("host_prior"), F.lit(count).alias("all_n"), F.lit(good).alias("all_good"),
+    )
     paths = paths.join(hosts, F.col("site_0").eqNullSafe(F.col("host"))).drop("host")
-    prior = paths.agg(_strength(F.col("host_rate")).alias("s")).first()["s"] or 1.0
-    rate = (F.col("good") + prior * F.col("host_rate")) / (F.col("n") + prior)
-    return paths.select(*sites, "host_rate", rate.alias("path_rate")).toDF(host, *path, "host_rate", "path_rate")
+    whole_host_rate = _rates(F.lit(0), F.lit(0.0))[0]
+    prior = paths.agg(_strength(whole_host_rate).alias("s")).first()["s"] or 1.0
+    return paths.withColumn("path_prior", F.lit(prior)).toDF(host, *path, *SUMS)
+
+
+# The columns of `site_sums` after the site's own.
+SUMS = ("n", "good", "host_n", "host_good", "host_prior", "all_n", "all_good", "path_prior")
+
+
+def _rates(left_out: Column, left_out_good: Column) -> tuple[Column, Column]:
+    """The shrunk rates of host and path without so many documents of theirs; the priors' strengths stay."""
+
+    def rest(n: str, good: str) -> tuple[Column, Column]:
+        return F.col(n) - left_out, F.greatest(F.lit(0.0), F.col(good) - left_out_good)
+
+    n, good = rest("all_n", "all_good")
+    overall = F.when(n > 0, good / n).otherwise(F.col("all_good") / F.col("all_n"))
+    n, good = rest("host_n", "host_good")
+    host = (good + F.col("host_prior") * overall) / (n + F.col("host_prior"))
+    n, good = rest("n", "good")
+    return host, (good + F.col("path_prior") * host) / (n + F.col("path_prior"))
+
+
+def site_rates(expected: DataFrame, host: str, path: Sequence[str]) -> DataFrame:
+    """``host, *path, host_rate, path_rate`` from one row a document with ``good``, its chance to be good."""
+    of_host, of_path = _rates(F.lit(0), F.lit(0.0))
+    sites = [f"site_{i}" for i in range(1 + len(path))]
+    sums = site_sums(expected, host, path).toDF(*sites, *SUMS)
+    return sums.select(*sites, of_host, of_path).toDF(host, *path, "host_rate", "path_rate")
 
 
 def _scored(
-    measured: DataFrame, rates: DataFrame, host: str, path: Sequence[str], broadcast_sites: int
+    measured: DataFrame, sums: DataFrame, rate: float, host: str, path: Sequence[str], broadcast_sites: int
 ) -> DataFrame:
-    """``row, evidence, host_rate, path_rate, score``."""
+    """``row, evidence, host_rate, path_rate, score``, both rates without the document itself."""
     names = [f"site_{i}" for i in range(1 + len(path))]
-    rates = written(rates, "rates").toDF(*names, "host_rate", "path_rate")
-    if rates.count() <= broadcast_sites:
-        rates = F.broadcast(rates)
+    sums = written(sums, "sites").toDF(*names, *SUMS)
+    if sums.count() <= broadcast_sites:
+        sums = F.broadcast(sums)
     columns = zip([host, *path], names)
     same = reduce(Column.__and__, (F.col(f"row.{c}").eqNullSafe(F.col(s)) for c, s in columns))
+    of_host, of_path = _rates(F.lit(1), _chance(rate))
+    rated = measured.join(sums, same).select("row", "evidence", of_host.alias("host_rate"), of_path.alias("path_rate"))
     score = 1 / (1 + F.exp(-(F.col("evidence") + _odds(F.col("path_rate")))))
-    return measured.join(rates, same).select("row", "evidence", "host_rate", "path_rate", score.alias("score"))
+    return rated.withColumn("score", score)
+
+
+def _chance(rate: float) -> Column:
+    """The chance to be good by the evidence and the base rate alone."""
+    return 1 / (1 + F.exp(-(F.col("evidence") + float(np.log(rate / (1 - rate))))))
 
 
 def _expected(measured: DataFrame, rate: float, host: str, path: Sequence[str]) -> DataFrame:
-    good = 1 / (1 + F.exp(-(F.col("evidence") + float(np.log(rate / (1 - rate))))))
-    return measured.select(f"row.{host}", *[f"row.{c}" for c in path], good.alias("good"))
+    return measured.select(f"row.{host}", *[f"row.{c}" for c in path], _chance(rate).alias("good"))
 
 
 def quality_scores(
@@ -178,7 +215,8 @@ def quality_scores(
 ) -> DataFrame:
     """``key, evidence, host_rate, path_rate, score, kept`` of each row.
 
-    ``kept`` is a score of ``KEEP_FROM`` or more. Null and empty texts have all
+    ``kept`` is a score of ``KEEP_FROM`` or more; the rates are those of the other
+    documents, so documents of one site differ in them. Null and empty texts have all
     features zero; a null host or path is a site like any other. Rows may repeat;
     an empty table gives no rows; other columns are ignored.
     """
@@ -186,8 +224,8 @@ def quality_scores(
     evidence, rate = train(own, labels, key, text, label, fit_rows)
     found = evidence(own).select(F.struct(*[f"row.{c}" for c in (key, host, *path)]).alias("row"), "evidence")
     found = written(found, "evidence")
-    rates = site_rates(_expected(found, rate, host, path), host, path)
-    scored = _scored(found, rates, host, path, broadcast_sites)
+    sums = site_sums(_expected(found, rate, host, path), host, path)
+    scored = _scored(found, sums, rate, host, path, broadcast_sites)
     return scored.select(
         F.col(f"row.{key}").alias(key), "evidence", "host_rate", "path_rate", "score",
         (F.col("score") >= KEEP_FROM).alias("kept"),
@@ -209,6 +247,6 @@ def of_good_quality(
     that costs less than a shuffle of all texts.
     """
     evidence, rate = train(docs, labels, key, text, "quality")
-    rates = site_rates(_expected(evidence(docs), rate, host, path), host, path)
-    scored = _scored(evidence(docs), rates, host, path, broadcast_sites)
+    sums = site_sums(_expected(evidence(docs), rate, host, path), host, path)
+    scored = _scored(evidence(docs), sums, rate, host, path, broadcast_sites)
     return scored.where(F.col("score") >= KEEP_FROM).select("row.*")

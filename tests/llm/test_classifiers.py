@@ -1,5 +1,6 @@
 import math
 import os
+import random
 import zlib
 
 import numpy as np
@@ -134,3 +135,153 @@ def test_plain_words_and_features():
     assert not toxicity.features_of(b" \n", marks).any()
     assert not quality_classifier.features_of(b"").any()
     assert np.isfinite(quality_classifier.features_of(b"a")).all()
+
+
+def plain_strength(groups):
+    """``groups``: (documents, sum, rate expected of them)."""
+    n = sum(g[0] for g in groups)
+    chance = sum(r * (1 - r) for _, _, r in groups) / n
+    spread = sum(m * (g / m - r) ** 2 for m, g, r in groups) / n
+    within = sum(m * r * (1 - r) for m, _, r in groups) / n
+    return max(1.0, within / max(spread - chance, within * 1e-6))
+
+
+def plain_rates(rows):
+    """Per row (host, path, good): the rates of the whole site, and those without the row; sums taken anew for each."""
+    def sums(keep):
+        found = [g for i, (h, p, g) in enumerate(rows) if keep(i, h, p)]
+        return len(found), sum(found)
+
+    hosts, sites = {r[0] for r in rows}, {r[:2] for r in rows}
+    n, good = sums(lambda i, h, p: True)
+    host_sums = {host: sums(lambda i, h, p: h == host) for host in hosts}
+    strong_host = plain_strength([(*host_sums[host], good / n) for host in hosts])
+    whole = {host: (g + strong_host * good / n) / (m + strong_host) for host, (m, g) in host_sums.items()}
+    site_sums = {site: sums(lambda i, h, p: (h, p) == site) for site in sites}
+    strong_path = plain_strength([(*site_sums[site], whole[site[0]]) for site in sites])
+    found = []
+    for own, (host, path, _) in enumerate(rows):
+        for out in (None, own):
+            m, g = sums(lambda i, h, p: i != out)
+            overall = g / m if m else good / n
+            m, g = sums(lambda i, h, p: i != out and h == host)
+            of_host = (g + strong_host * overall) / (m + strong_host)
+            m, g = sums(lambda i, h, p: i != out and (h, p) == (host, path))
+            found.append((of_host, (g + strong_path * of_host) / (m + strong_path)))
+    return found[::2], found[1::2]
+
+
+def test_sites_and_scores_against_plain_sums(spark):
+    draw = random.Random(5)
+    rows = []
+    for i in range(240):
+        host = draw.choice(["hot"] * 6 + ["b", "c", None])
+        rows.append((i, host, draw.choice(["x", "y", None]), draw.gauss(1.5 if host == "b" else -0.5, 2)))
+    rows.append((240, "alone", "x", 3.0))
+    for part in (rows, rows[:1]):
+        rate = 0.7
+        good = [1 / (1 + math.exp(-(e + math.log(rate / (1 - rate))))) for *_, e in part]
+        whole, without = plain_rates([(h, p, g) for (_, h, p, _), g in zip(part, good)])
+        table = spark.createDataFrame(part, "id int, host string, path string, evidence double")
+        measured = table.select(F.struct("id", "host", "path").alias("row"), "evidence")
+        expected = quality_classifier._expected(measured, rate, "host", ["path"])
+        rates = {(r.host, r.path): r for r in site_rates(expected, "host", ["path"]).collect()}
+        sums = quality_classifier.site_sums(expected, "host", ["path"])
+        for limit in (0, 100):
+            scored = quality_classifier._scored(measured, sums, rate, "host", ["path"], limit)
+            scores = {r.row.id: r for r in scored.collect()}
+            assert len(scores) == len(part)
+            for (i, host, path, evidence), all_of, others in zip(part, whole, without):
+                site = rates[host, path]
+                assert (site.host_rate, site.path_rate) == pytest.approx(all_of, abs=1e-9)
+                assert (scores[i].host_rate, scores[i].path_rate) == pytest.approx(others, abs=1e-9)
+                held = min(max(others[1], 1e-4), 1 - 1e-4)
+                score = 1 / (1 + math.exp(-(evidence + math.log(held / (1 - held)))))
+                assert scores[i].score == pytest.approx(score, abs=1e-9)
+
+
+def test_quality_features_against_plain_counts():
+    def share(part, whole):
+        return part / whole if whole else 0.0
+
+    texts = [t for t in AWKWARD if t and t.strip()] + ["A B! a b.\nA B! a b.\n\nC3 #$ U.S? 12", "THE END. THE END. the"]
+    for text in texts:
+        raw = text.encode()
+        words = raw.split()
+        n, size = len(words), len(raw)
+        signs = [c for c in text if c.isascii()]
+        lines = [line for line in raw.split(b"\n") if line.strip()]
+        triples = [tuple(words[i : i + 3]) for i in range(n - 2)]
+        upper, lower = sum(c.isupper() for c in signs), sum(c.islower() for c in signs)
+        expected = {
+            "log_words": math.log(1 + n),
+            "capitals": upper / max(1, upper + lower),
+            "exclamations": math.log(1 + text.count("!") / n),
+            "symbols": math.log(1 + sum(text.count(c) for c in "#*$%&|<>") / n),
+            "digits": sum(c.isdigit() for c in signs) / size,
+            "duplicate_lines": sum(line in lines[:i] for i, line in enumerate(lines)) / len(lines),
+            "distinct_words": len(set(words)) / n,
+            "repeated_triples": share(sum(t in triples[:i] for i, t in enumerate(triples)), len(triples)),
+            "word_length": math.log(1 + size / n),
+            "sentence_ends": math.log(1 + sum(text.count(c) for c in ".?!") / n),
+            "lines": math.log(1 + text.count("\n") / n),
+        }
+        if len(triples) > 500:
+            del expected["repeated_triples"]
+        found = dict(zip(quality_classifier.FEATURES, quality_classifier.features_of(raw)))
+        for name, value in expected.items():
+            assert found[name] == pytest.approx(value, abs=1e-12), name
+
+
+def test_lexicon_against_plain_counts(spark):
+    draw = random.Random(9)
+    vocabulary = [prose(i, 1) for i in range(60)]
+    rows = []
+    for i in range(200):
+        toxic = i % 4 == 0
+        words = draw.choices(vocabulary[: 50 if not toxic else 60], k=30)
+        rows.append((i, " ".join(words) + (" grubbling" if toxic and i % 3 else ""), float(toxic)))
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "key int, text string, label double"))
+    counts = {0.0: {}, 1.0: {}}
+    for _, text, label in rows:
+        plain = {toxicity.plain(w) for w in text.split()} - {""}
+        for entry in {w for w in plain} | {f"{w[:k]}-" for w in plain for k in (4, 5, 6) if len(w) >= k}:
+            counts[label][entry] = counts[label].get(entry, 0) + 1
+    expected = {}
+    for entry, n in counts[1.0].items():
+        odds = math.log((n + 0.5) / (50 + 1)) - math.log((counts[0.0].get(entry, 0) + 0.5) / (150 + 1))
+        if n >= 4 and odds >= 1.5:
+            expected[entry] = odds
+    assert expected and "grubb-" in expected
+    assert found == pytest.approx(expected)
+
+
+def pooled(rows):
+    """Isotonic regression by pooling neighbours that violate the order: (margin, value) of each distinct margin."""
+    blocks = []
+    for margin in sorted({m for m, _ in rows}):
+        labels = [y for m, y in rows if m == margin]
+        blocks.append([sum(labels), len(labels), [margin]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total, n, margins = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + n, blocks[-1][2] + margins]
+    return {m: total / n for total, n, margins in blocks for m in margins}
+
+
+def test_calibration_against_pooled_neighbours(spark, monkeypatch):
+    seen = []
+
+    class Recorded(toxicity.IsotonicRegression):
+        def fit(self, rows, *args):
+            model = super().fit(rows, *args)
+            seen.append((rows.collect(), model.transform(rows).collect()))
+            return model
+
+    monkeypatch.setattr(toxicity, "IsotonicRegression", Recorded)
+    docs, labels = small(spark)
+    turned = labels.withColumn("toxic", F.when(F.col("doc_id") % 7 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    toxicity.train(docs, turned, "doc_id", "text", "toxic")
+    (rows, scores), = seen
+    expected = pooled([(r.margin, r.label) for r in rows])
+    assert len(rows) > 20 and len(set(expected.values())) > 1
+    assert all(r.score == pytest.approx(expected[r.margin], abs=1e-9) for r in scores)
