@@ -1,45 +1,50 @@
 """Packing of tokenized documents into sequences of a fixed length.
 
-Documents are tokenized once, in Arrow batches, and only lengths and checksums
-go further. The lengths are packed by a linear grouping scheme: the histogram of
-lengths, which has at most ``capacity`` rows however many documents there are,
-is cut into groups of equal cardinality above ``SMALL_PART`` of the capacity;
-each length counts as the largest of its group, and the few sizes left are
-packed optimally by a linear program over configurations (column generation
-with a knapsack). The pieces are dealt by hash over cells of about
-``CELL_PIECES``. Each cell fills its share of the configurations with its actual
-pieces, but for the smallest place of each, as actual pieces leave more room than
-rounded ones; what is left then goes where it fits best, the small ones last. A
-cell costs at most a few sequences more than one packing of everything would.
+Documents are tokenized once, in Arrow batches whose different words are looked
+up once each, and only lengths and checksums go further. The lengths are packed
+by a linear grouping scheme: the histogram of lengths, which has at most
+``capacity`` rows however many documents there are, is cut into groups of equal
+cardinality above ``SMALL_PART`` of the capacity; each length counts as the
+largest of its group, and the few sizes left are packed optimally by a linear
+program over configurations (column generation with a knapsack). The pieces are
+dealt by hash over cells of about ``CELL_PIECES``. Each cell fills its share of
+the configurations with its actual pieces, but for the smallest place of each,
+as actual pieces leave more room than rounded ones; what is left then goes where
+it fits best, the small ones last. A cell costs at most a few sequences more
+than one packing of everything would.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orderlens.llm.workspace import slices, written
+from orderlens.llm.workspace import parts_of, written
 
 CAPACITY = 2048
 END_ID = 0
 GROUPS = 64
 SMALL_PART = 8
 CELL_PIECES = 1 << 16
-# Words (in two generations) and pre-tokens whose ids a task remembers, and the longest of them.
-MEMORY_WORDS, MEMORY_TOKENS = 200_000, 400_000
+# Text bytes tokenized together.
+SLICE_BYTES = 8 << 20
+# Texts whose ids a task remembers, of each kind, and the longest of them.
+MEMORY_TEXTS = 400_000
 MEMORY_CHARS = 64
 # Letters that normalization only lower-cases, and signs but the apostrophe (which may take a letter).
-PLAIN_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)]))
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+PLAIN_WORD = r"\A[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]*[!-&(-/:-@\[-`{-~]*\z"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,56 +57,89 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
-class WordIds(dict):
-    """Ids of white-space separated words as little-endian bytes, tokenized when first seen.
+class Remembered(dict):
+    """What ``find`` gives for a text, found once for short ones; forgotten when there are too many."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.find(text)
+        if len(text) <= MEMORY_CHARS:
+            if len(self) >= MEMORY_TEXTS:
+                self.clear()
+            self[text] = found
+        return found
+
+
+class WordIds:
+    """Ids of texts, from those of their white-space separated words.
 
     The pre-tokenizer never joins text across white space, so a text's ids are
     those of its words one after the other. Only characters that every Unicode
     version counts as white space separate words here. A word of plain letters and
     signs behind them is two pre-tokens, whose ids the model gives without
-    normalization; any other word goes the whole way.
+    normalization; any other word goes the whole way. The words of many texts are
+    cut and told apart together, and each different one is looked at once.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         require_plain_words(self.tokenizer)
         self.model = self.tokenizer.model
-        self.older: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {"": b""}
+        self.tokens = Remembered(self._token)
+        self.words = Remembered(self._word)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, none null, and where each text's ids end."""
+        for white in "\n\t\r":
+            texts = pc.replace_substring(texts, white, " ")
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        ids, count = self._of_words(coded.dictionary)
+        ids, ends = joined(ids, count, coded.indices.to_numpy())
+        return ids, ends[cut.offsets.to_numpy()[1:] - 1]
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after the other, and how many each has."""
+        plain = pc.match_substring_regex(words, PLAIN_WORD)
+        heads = pc.utf8_lower(pc.utf8_rtrim(words, SIGNS))
+        tails = pc.utf8_ltrim(words, LETTERS)
+        tokens = pa.concat_arrays([pc.if_else(plain, part, "") for part in (heads, tails)]).dictionary_encode()
+        found = list(map(self.tokens.__getitem__, tokens.dictionary.to_pylist()))
+        code = tokens.indices.to_numpy().reshape(2, len(words)).T.astype(np.int64)
+        odd = pc.invert(plain)
+        others = words.filter(odd).to_pylist()
+        code[odd.to_numpy(zero_copy_only=False), 0] = len(found) + np.arange(len(others))
+        found += map(self.words.__getitem__, others)
+        count = np.array([len(f) // 4 for f in found], np.int64)
+        ids, ends = joined(np.frombuffer(b"".join(found), "<u4"), count, code.ravel())
+        return ids, np.diff(ends[1::2], prepend=0)
+
+    def _word(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _token(self, text: str) -> bytes:
+        """The ids of one normalized pre-token."""
+        letters = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
 
-    def of_texts(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if len(self) > MEMORY_WORDS:
-                self.older = dict(self)
-                self.clear()
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            yield b"".join(map(self.__getitem__, words))
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            parts = PLAIN_WORD(word)
-            if parts:
-                found = self.token(parts[1].lower()) + self.token(parts[2])
-            else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-                found = array("I", ids).tobytes()
-        if len(word) <= MEMORY_CHARS:
-            self[word] = found
-        return found
 
-    def token(self, text: str) -> bytes:
-        """The ids of one normalized pre-token."""
-        found = self.tokens.get(text)
-        if found is None:
-            if len(self.tokens) > MEMORY_TOKENS:
-                self.tokens = {"": b""}
-            letters = text.encode().decode("latin-1").translate(BYTE_LETTERS)
-            found = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
-            if len(text) <= MEMORY_CHARS:
-                self.tokens[text] = found
-        return found
+def joined(ids: np.ndarray, count: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``ids`` (of ``count`` ids each) that ``codes`` name, and where each of them ends."""
+    size = count[codes]
+    ends = np.cumsum(size)
+    shift = (np.cumsum(count) - count)[codes] - (ends - size)
+    place = np.repeat(shift, size)
+    place += np.arange(len(place))
+    return ids[place], ends
+
+
+def numbered(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place repeated ``count`` times, and the number of each repeat from 0."""
+    rows = np.repeat(np.arange(len(count)), count)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
 
 
 def require_plain_words(tokenizer: Tokenizer) -> None:
@@ -119,26 +157,25 @@ def tokenized_pieces(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY
 ) -> DataFrame:
     """``key, piece, start, length, ids_crc32`` of each document, its ids ended by ``END_ID``."""
-    end = np.array([END_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds(tokenizer)  # forgotten when the task ends
-        for part, texts in slices(batches):
-            rows, numbers, starts, lengths, sums = [], [], [], [], []
-            for row, ids in enumerate(known.of_texts([t.decode() for t in texts])):
-                ids += end
-                for number, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[at : at + 4 * capacity]
-                    rows.append(row)
-                    numbers.append(number)
-                    starts.append(at // 4)
-                    lengths.append(len(cut) // 4)
-                    sums.append(zlib.crc32(cut))
+        for part in parts_of(batches, SLICE_BYTES):
+            ids, ends = known.of(pc.fill_null(part.column("text"), ""))
+            ids = np.insert(ids, ends, END_ID).astype("<u4", copy=False)
+            ends += np.arange(1, len(ends) + 1)
+            size = np.diff(ends, prepend=0)
+            rows, number = numbered(-(-size // capacity))
+            start = number * capacity
+            length = np.minimum(capacity, size[rows] - start)
+            first = 4 * ((ends - size)[rows] + start)
+            data = memoryview(ids).cast("B")
+            sums = [zlib.crc32(data[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("key").take(pa.array(rows, pa.int64())),
-                    pa.array(numbers, pa.int32()),
-                    *[pa.array(x, pa.int64()) for x in (starts, lengths, sums)],
+                    part.column("key").take(pa.array(rows)),
+                    pa.array(number, pa.int32()),
+                    *[pa.array(x, pa.int64()) for x in (start, length, sums)],
                 ],
                 ["key", "piece", "start", "length", "ids_crc32"],
             )
@@ -313,7 +350,8 @@ def pack_documents(
     A document is its ids and ``END_ID``; only one longer than the capacity is
     cut, into full pieces and a rest. A null or empty text is the one id
     ``END_ID``. Rows may repeat and keys may be null: each row is packed for
-    itself. An empty table gives no rows; other columns are ignored. Vocabularies
+    itself. An empty table gives no rows; other columns are ignored. A text of any
+    length is tokenized whole, in memory of some fifteen times its size. Vocabularies
     that do not lower-case and drop white space are refused.
     """
     pieces = written(tokenized_pieces(docs, tokenizer, key, text, capacity), "pieces")

@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -78,3 +80,39 @@ def test_groups_have_equal_cardinality():
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError, match="lower-case"):
         packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+ODD = [*"aAzZéÉßÿÀÖØ×÷µªº¼²09'’!?.,-_<|>$`^~ \n\t\r\x0b\x0c\x1c\x85\xa0\u3000漢字🎉İΣσ\u0301\u0308ΩЖ\x00\x7f\xad",
+       "'s", "'LL", "<|endoftext|>", "Hello", "don't"]
+
+
+@pytest.mark.parametrize("memory", [packing.MEMORY_TEXTS, 3])
+def test_ids_of_many_texts_are_the_tokenizers(tokenizer, monkeypatch, memory):
+    monkeypatch.setattr(packing, "MEMORY_TEXTS", memory)
+    draw = random.Random(3)
+    texts = ["", *("".join(draw.choices(ODD, k=draw.randint(0, 30))) for _ in range(3000)), "x" * 3000, ""]
+    known = packing.WordIds(PATH)
+    for part in (pa.array(texts), pa.array(["", ""]), pa.array(texts).slice(5, 900)):
+        ids, ends = known.of(part)
+        found = [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
+        assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in part.to_pylist()]
+    assert max(len(known.tokens), len(known.words)) <= memory
+
+
+class Asked(packing.Remembered):
+    count = 0
+
+    def __getitem__(self, text):
+        self.count += 1
+        return super().__getitem__(text)
+
+
+def test_a_repeated_word_is_looked_up_once(tokenizer):
+    """Work in Python grows with the different words of the texts, not with the words."""
+    known = packing.WordIds(PATH)
+    known.tokens, known.words = Asked(known.tokens.find), Asked(known.words.find)
+    text = "Red, blue\tred BLUE, don't red,\n3 "
+    ids, ends = known.of(pa.array([text * 200] * 5))
+    assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids * 1000
+    assert ends.tolist() == [len(ids) // 5 * n for n in range(1, 6)]
+    assert known.tokens.count <= len({"red", "blue", ",", ""}) and known.words.count == len({"don't", "3"})
