@@ -36,8 +36,6 @@ END_ID = 0
 GROUPS = 64
 SMALL_PART = 8
 CELL_PIECES = 1 << 16
-# Text bytes tokenized together.
-SLICE_BYTES = 8 << 20
 # Texts whose ids a task remembers, of each kind, and the longest of them.
 MEMORY_TEXTS = 400_000
 MEMORY_CHARS = 64
@@ -160,7 +158,7 @@ def tokenized_pieces(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds(tokenizer)  # forgotten when the task ends
-        for part in parts_of(batches, SLICE_BYTES):
+        for part in parts_of(batches):
             ids, ends = known.of(pc.fill_null(part.column("text"), ""))
             ids = np.insert(ids, ends, END_ID).astype("<u4", copy=False)
             ends += np.arange(1, len(ends) + 1)
@@ -179,6 +177,7 @@ def tokenized_pieces(
                 ],
                 ["key", "piece", "start", "length", "ids_crc32"],
             )
+            pa.default_memory_pool().release_unused()  # the words' memory, or the worker keeps it
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
